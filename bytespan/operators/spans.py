@@ -98,12 +98,24 @@ def tags_from_spans(sp, n) -> Column:
     return F.slice(tags, 1, n)
 
 
+def _disjoint(srt) -> Column:
+    """True when sorted spans neither overlap nor share a start."""
+    s = _c(srt)
+    return F.forall(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))),
+                    lambda i: (i >= F.size(s)) | (s[i - 1]["start"] + s[i - 1]["len"] <= s[i]["start"]))
+
+
 def resolve(df: DataFrame, spans: str = "spans", out: str = "resolved",
             conflict: str = "rightmost") -> DataFrame:
-    """Apply a conflict rule to a span-array column (SRT2 / SRT3)."""
-    if conflict == "rightmost":
-        return df.withColumn(out, resolve_rightmost(spans))
+    """Apply a conflict rule to a span-array column (SRT2 / SRT3).
+
+    Disjoint span lists (the common case) are returned sorted without the
+    sequential walk; only rows with a conflict run the greedy ``aggregate``.
+    """
     srt = df.withColumn("_srt", sorted_spans(spans))
+    if conflict == "rightmost":
+        return srt.withColumn(out, F.when(_disjoint("_srt"), _strip(F.col("_srt")))
+                              .otherwise(resolve_rightmost(F.col(spans)))).drop("_srt")
     if conflict == "leftmost":
         return srt.withColumn(out, resolve_leftmost("_srt")).drop("_srt")
     if conflict == "none":

@@ -23,7 +23,22 @@ from ..functions.bytes import chars, text_view, utf8_bytes
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read a driver table.
+
+    Text tables are per-row heavy (whole documents), and a small table can
+    arrive as a single parquet row group, i.e. one task.  When the scan has
+    fewer partitions than the cluster has cores, the rows are spread by a
+    hash of their key (deterministic under task retry); a big input with
+    many splits is left as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = {"documents": "doc_id", "conversations": "conv_id", "benchmark": "item_id",
+           "pages": "page_id"}.get(name)
+    if key is not None:
+        par = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            df = df.repartition(par, key)
+    return df
 
 
 def docs_from_documents(documents: DataFrame) -> DataFrame:
@@ -47,7 +62,7 @@ def words(documents: DataFrame, text: str = "text") -> DataFrame:
         i.alias("i"),
         F.when(i == 0, F.lit(0)).otherwise(F.col("_sp")[i - 1] + 1).cast("int").alias("start"),
         F.length(w).cast("int").alias("len"), w.alias("word")))
-    return d.select("doc_id", F.inline(z))
+    return d.select("doc_id", F.inline_outer(z)).filter(F.col("i").isNotNull())
 
 
 def _type(w):
