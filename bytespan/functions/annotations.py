@@ -81,7 +81,7 @@ def parse_triples(line) -> Column:
     f = F.split(F.trim(_c(line)), " +")
     f = F.when(F.trim(_c(line)) == "", F.array().cast("array<string>")).otherwise(f)
     return F.transform(
-        F.sequence(F.lit(0), F.size(f) / 3 - 1).cast("array<int>"),
+        F.sequence(F.lit(0), (F.size(f) / 3).cast("int") - 1),
         lambda k: F.struct(F.substring(f[k * 3], 2, 1 << 30).cast("int").alias("start"),
                            F.substring(f[k * 3 + 1], 2, 1 << 30).cast("int").alias("len"),
                            f[k * 3 + 2].alias("type")))

@@ -31,7 +31,7 @@ def split_sentences(docs: DataFrame, body: str = "body") -> DataFrame:
     # separator array is small (one entry per sentence), so the prefix sum is
     # a bounded aggregate per row
     starts = F.aggregate("_l", F.array().cast("array<int>"),
-                         lambda acc, x: F.array_append(acc, F.coalesce(F.element_at(acc, -1), F.lit(0)) + x))
+                         lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
     d = d.select("doc_id", "_s", F.concat(F.array(F.lit(0)), starts).alias("_st"))
     z = F.transform("_s", lambda x, i: F.struct(i.alias("idx"), F.col("_st")[i].alias("start"),
                                                 F.length(x).alias("len"), x.alias("text")))

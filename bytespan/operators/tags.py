@@ -122,14 +122,12 @@ def collect_tags(spans: DataFrame) -> DataFrame:
     return first.select("type", (F.row_number().over(w) - 1).alias("idx"))
 
 
-def tag_vocab(types: DataFrame, scheme: str = "IOBES") -> DataFrame:
+def tag_vocab(types: DataFrame, prefixes: str = "BIES") -> DataFrame:
     """FN7: ``O``=0, then for each type (in ``idx`` order) B, I, E, S."""
-    pre = list(scheme.replace("O", ""))
-    p = F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in pre]).alias("p"),
-                               F.sequence(F.lit(0), F.lit(len(pre) - 1)).alias("k")))
-    rows = types.select("type", "idx", p.alias("z")).select(
-        F.concat(F.col("z.p"), F.lit("-"), F.col("type")).alias("tag"),
-        (F.col("idx") * len(pre) + F.col("z.k") + 1).cast("int").alias("id"))
+    pre = list(prefixes)
+    rows = types.select("type", "idx", F.posexplode(F.array(*[F.lit(x) for x in pre])).alias("k", "p")).select(
+        F.concat(F.col("p"), F.lit("-"), F.col("type")).alias("tag"),
+        (F.col("idx") * len(pre) + F.col("k") + 1).cast("int").alias("id"))
     o = types.sparkSession.createDataFrame([("O", 0)], "tag string, id int")
     return o.unionByName(rows)
 

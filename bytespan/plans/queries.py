@@ -65,6 +65,11 @@ SQL_WINDOWS = f"""
         FROM documents)
 """
 
+SQL_DOC_BYTES = """
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(replace(text, chr(10), ' '))), '..'),
+                                lambda x: CAST(('0x' || x) AS INTEGER)) AS bl FROM documents
+"""
+
 SQL_CLIPPED = f"""
   SELECT w.doc_id, w.win, w.n, g.ord, g.start - w.start AS start, g.len, g.type
   FROM ({SQL_WINDOWS}) w JOIN ({SQL_GOLD}) g
@@ -88,8 +93,9 @@ def q_windows(spark, sf):
 
 @query("prj8_byte_ids", f"""
   WITH w AS ({SQL_WINDOWS}),
-  b AS (SELECT CAST(('0x' || substr(hex(encode(replace(text, chr(10), ' '))), CAST(2 * (start + i) + 1 AS BIGINT), 2)) AS INTEGER) AS id
-        FROM (SELECT text, start, unnest(range(0, n)) AS i FROM w WHERE n > 0))
+  b AS (SELECT bl[start + i + 1] AS id
+        FROM (SELECT w.start, d.bl, unnest(range(0, w.n)) AS i
+              FROM w JOIN ({SQL_DOC_BYTES}) d USING (doc_id) WHERE w.n > 0))
   SELECT CAST(id AS BIGINT) AS id, count(*) AS n FROM b GROUP BY id
   UNION ALL SELECT 0 AS id, CAST(sum({W} - n) AS BIGINT) AS n FROM w
 """)
@@ -460,3 +466,337 @@ def q_clip_sentences(spark, sf):
     return c.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("n_spans"),
                                           _long(F.sum("start")).alias("sum_start")).select(
         "doc_id", _long("idx").alias("idx"), "n_spans", "sum_start")
+
+
+# ------------------------------------------------------------------ features
+
+TOKEN_RE_DUCK = "[A-Za-z0-9\\x{80}-\\x{10FFFF}]+|[^ \\n\\t\\rA-Za-z0-9\\x{80}-\\x{10FFFF}]"
+SQL_TOKENS = f"""
+  SELECT doc_id, strlen(tok) AS len FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN_RE_DUCK}')) AS tok FROM documents)
+"""
+
+
+@query("fn12_token_tags", f"""
+  WITH t AS ({SQL_TOKENS})
+  SELECT tag, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT 'S-TOK' AS tag, 1 AS k FROM t WHERE len = 1
+    UNION ALL SELECT 'B-TOK', 1 FROM t WHERE len > 1
+    UNION ALL SELECT 'E-TOK', 1 FROM t WHERE len > 1
+    UNION ALL SELECT 'I-TOK', len - 2 FROM t WHERE len > 2
+    UNION ALL SELECT 'O', (SELECT sum(strlen(text)) FROM documents) - (SELECT sum(len) FROM t)) GROUP BY tag
+""")
+def q_token_tags(spark, sf):
+    """FN15 + FN12: byte-level token boundary tags over whole documents."""
+    documents = load(spark, sf, "documents")
+    from ..operators import features as fe
+    d = fe.with_token_tags(documents.select("doc_id", text_view("text").alias("v")), "v", "tt")
+    return (d.select(F.explode_outer("tt").alias("tag")).filter(F.col("tag").isNotNull())
+            .groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("fn15_tokens", f"""
+  SELECT d.doc_id, count(t.len) AS n_tokens, CAST(coalesce(sum(t.len), 0) AS BIGINT) AS token_bytes
+  FROM documents d LEFT JOIN ({SQL_TOKENS}) t USING (doc_id) GROUP BY d.doc_id
+""")
+def q_tokens(spark, sf):
+    documents = load(spark, sf, "documents")
+    from ..operators import features as fe
+    d = fe.with_tokens(documents.select("doc_id", text_view("text").alias("v")), "v", "toks")
+    return d.select("doc_id", F.size("toks").cast("long").alias("n_tokens"),
+                    F.aggregate("toks", F.lit(0).cast("long"), lambda a, t: a + t["len"]).alias("token_bytes"))
+
+
+SQL_BENCH_VOCAB = """
+  SELECT word, row_number() OVER (ORDER BY word) - 1 AS id
+  FROM (SELECT DISTINCT word FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM benchmark)
+        WHERE strlen(word) > 0)
+"""
+
+
+def _bench_vocab(spark, sf):
+    bench = load(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    from ..operators import features as fe
+    return fe.word_vocab(words(bench))
+
+
+@query("jn7_word_embedding_ids", f"""
+  WITH v AS ({SQL_BENCH_VOCAB}), vs AS (SELECT count(*) AS unk FROM v)
+  SELECT w.doc_id, count(*) AS n_words, count(v.id) AS n_known,
+         CAST(sum(coalesce(v.id, (SELECT unk FROM vs))) AS BIGINT) AS sum_ids
+  FROM ({SQL_WORDS}) w LEFT JOIN v ON v.word = w.word WHERE w.len > 0 GROUP BY w.doc_id
+""")
+def q_word_embedding_ids(spark, sf):
+    """JN7: document words -> ids of a vocabulary built from ``benchmark``;
+    ``<UNKNOWN>`` = vocabulary size."""
+    documents = load(spark, sf, "documents")
+    from ..operators import features as fe
+    vocab = _bench_vocab(spark, sf)
+    unk = vocab.count()   # one number: the vocabulary size
+    w = fe.word_embedding_ids(words(documents).filter(F.col("len") > 0), vocab, unk)
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.count(F.when(F.col("emb_id") < unk, 1))
+                                   .alias("n_known"), _long(F.sum("emb_id")).alias("sum_ids"))
+
+
+@query("fn11_spread_ids", f"""
+  WITH v AS ({SQL_BENCH_VOCAB}), vs AS (SELECT count(*) AS unk FROM v)
+  SELECT w.doc_id, CAST(sum(coalesce(v.id, (SELECT unk FROM vs)) * w.len) + (count(*) - 1) * ((SELECT unk FROM vs) + 1) AS BIGINT) AS byte_id_sum,
+         CAST(sum(w.len) + count(*) - 1 AS BIGINT) AS n_bytes
+  FROM ({SQL_WORDS}) w LEFT JOIN v ON v.word = w.word GROUP BY w.doc_id
+""")
+def q_spread_ids(spark, sf):
+    """FN11: word ids spread over the bytes of each word; separators get
+    ``<SPACE>`` (= vocabulary size + 1)."""
+    documents = load(spark, sf, "documents")
+    from ..operators import features as fe
+    vocab = _bench_vocab(spark, sf)
+    unk = vocab.count()
+    w = fe.word_embedding_ids(words(documents), vocab, unk)
+    per_doc = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("emb_id").alias("id"),
+                                                                            "len"))).alias("p"))
+    b = per_doc.select("doc_id", fe.spread_ids("p", unk + 1).alias("ids"))
+    return b.select("doc_id", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("byte_id_sum"),
+                    F.size("ids").cast("long").alias("n_bytes"))
+
+
+SQL_TYPE_IDX = f"""
+  SELECT type, row_number() OVER (ORDER BY fd, fo) - 1 AS idx
+  FROM (SELECT type, arg_min(doc_id, (doc_id, ord)) AS fd, arg_min(ord, (doc_id, ord)) AS fo FROM ({SQL_GOLD}) GROUP BY type)
+"""
+
+
+@query("fn5_sle_ids", f"""
+  WITH c AS ({SQL_CLIPPED}), t AS ({SQL_TYPE_IDX}), w AS ({SQL_WINDOWS}), nt AS (SELECT count(*) AS k FROM t),
+  s AS (SELECT c.doc_id, c.win, count(*) * 3 AS n, sum(2 * c.start + 2 * c.len - 1 + 2 * {W} + t.idx) AS sm
+        FROM c JOIN t USING (type) WHERE c.len <= {W} GROUP BY c.doc_id, c.win)
+  SELECT w.doc_id, CAST(w.win AS BIGINT) AS win, CAST(coalesce(s.n, 0) + 1 AS BIGINT) AS n_ids,
+         CAST(coalesce(s.sm, 0) + 2 * {W} + (SELECT k FROM nt) AS BIGINT) AS sum_ids
+  FROM w LEFT JOIN s ON s.doc_id = w.doc_id AND s.win = w.win
+""")
+def q_sle(spark, sf):
+    """FN5: window spans -> encoder-decoder id sequences."""
+    _, docs, gold = _base(spark, sf)
+    from ..operators import features as fe
+    types = {r["type"]: r["idx"] for r in tg.collect_tags(gold).collect()}   # bounded by the tag set
+    c = wn.clip_to_windows(wn.make_windows(docs, W, S), gold, W, S)
+    s = c.select("doc_id", "win", fe.sle_ids("spans", W, types).alias("ids"))
+    return s.select("doc_id", _long("win").alias("win"), F.size("ids").cast("long").alias("n_ids"),
+                    F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"))
+
+
+# ------------------------------------------------------------------ emissions and CRF energies
+
+N_TAGS = 5
+# Fixed test parameters of the arithmetic emissions and CRF energies.
+U_TEST = [[((3 * i + 2 * j) % 7) / 10.0 - 0.3 for j in range(N_TAGS)] for i in range(N_TAGS)]
+B_START = [i / 10.0 for i in range(N_TAGS)]
+B_END = [(N_TAGS - 1 - i) / 10.0 for i in range(N_TAGS)]
+
+
+def _emission_windows(spark, sf):
+    """Windows with arithmetic emissions x[t][j] = ((b_t * (j+1)) % 7) / 7
+    over the padded byte ids (a deterministic stand-in for a scorer)."""
+    _, docs, _ = _base(spark, sf)
+    w = wn.make_windows(docs, W, S).select("doc_id", "win", "n", wn.byte_ids("text", W).alias("ids"))
+    return w.select("doc_id", "win", "n", F.transform("ids", lambda b: F.transform(
+        F.sequence(F.lit(1), F.lit(N_TAGS)), lambda j: ((b * j) % 7) / 7.0)).alias("scores"))
+
+
+SQL_DOC_BYTES = """
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(replace(text, chr(10), ' '))), '..'),
+                                lambda x: CAST(('0x' || x) AS INTEGER)) AS bl FROM documents
+"""
+
+SQL_POSITIONS = f"""
+  SELECT doc_id, win, p, b, [((b * 1) % 7) / 7.0, ((b * 2) % 7) / 7.0, ((b * 3) % 7) / 7.0, ((b * 4) % 7) / 7.0,
+                          ((b * 5) % 7) / 7.0] AS l
+  FROM (SELECT doc_id, win, p, CASE WHEN p < n THEN bl[start + p + 1] ELSE 0 END AS b
+        FROM (SELECT w.doc_id, w.win, w.start, w.n, d.bl, unnest(range(0, {W})) AS p
+              FROM ({SQL_WINDOWS}) w JOIN ({SQL_DOC_BYTES}) d USING (doc_id)))
+"""
+
+SQL_ARGMAX = f"""
+  SELECT doc_id, win, p, list_position(l, list_max(l)) - 1 AS y, list_max(l) AS m FROM ({SQL_POSITIONS})
+"""
+
+
+@query("prj13_argmax_tag", f"SELECT CAST(y AS BIGINT) AS tag_id, count(*) AS n FROM ({SQL_ARGMAX}) GROUP BY y")
+def q_argmax(spark, sf):
+    e = _emission_windows(spark, sf).select(an.argmax_tag("scores").alias("y"))
+    return (e.select(F.explode_outer("y").alias("tag_id")).filter(F.col("tag_id").isNotNull())
+            .groupBy("tag_id").agg(F.count(F.lit(1)).alias("n")).select(_long("tag_id").alias("tag_id"), "n"))
+
+
+SQL_ENERGY = f"""
+  SELECT doc_id, win, sum(m) + sum(CASE WHEN py IS NULL THEN 0 ELSE ((3 * py + 2 * y) % 7) / 10.0 - 0.3 END)
+         + arg_min(y, p) / 10.0 + ({N_TAGS - 1} - arg_max(y, p)) / 10.0 AS energy
+  FROM (SELECT *, lag(y) OVER (PARTITION BY doc_id, win ORDER BY p) AS py FROM ({SQL_ARGMAX}))
+  GROUP BY doc_id, win
+"""
+
+
+def _energies(spark, sf):
+    from ..operators import crf
+    e = _emission_windows(spark, sf)
+    e = e.withColumn("y", an.argmax_tag("scores"))
+    return e.withColumn("energy", crf.path_energy("y", "scores", U_TEST, B_START, B_END))
+
+
+@query("ml4_path_energy", f"SELECT doc_id, CAST(win AS BIGINT) AS win, round(energy, 6) AS energy FROM ({SQL_ENERGY})")
+def q_path_energy(spark, sf):
+    """ML4: energy of the argmax path under fixed (U, b_start, b_end)."""
+    e = _energies(spark, sf)
+    return e.select("doc_id", _long("win").alias("win"), F.round("energy", 6).alias("energy"))
+
+
+@query("agg10_doc_score", f"""
+  SELECT doc_id, round(avg(energy / {float(W)}), 6) AS mean_score FROM ({SQL_ENERGY}) GROUP BY doc_id
+""")
+def q_doc_score(spark, sf):
+    """FN13 + AGG10: per-window score normalised by W (padding included),
+    averaged per document."""
+    e = _energies(spark, sf).withColumn("ll", an.normalized_ll("energy", W))
+    return st.doc_log_likelihood(e, "ll").select("doc_id", F.round("mean_ll", 6).alias("mean_score"))
+
+
+@query("agg11_pool_vectors", """
+  SELECT label, CAST(d - 1 AS BIGINT) AS d, round(sum(v), 4) AS v
+  FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY label, d
+""")
+def q_pool_vectors(spark, sf):
+    """AGG11: element-wise vector sums per group (embeddings per label)."""
+    e = load(spark, sf, "embeddings")
+    p = st.pool_vectors(e, "label", "embedding")
+    return (p.select("label", F.posexplode_outer("pooled").alias("d", "v")).filter(F.col("d").isNotNull())
+            .select("label", _long("d").alias("d"), F.round("v", 4).alias("v")))
+
+
+SQL_DOC_IOBES = f"""
+  pos AS (SELECT doc_id, unnest(range(0, strlen(text))) AS p FROM documents),
+  sp AS (SELECT doc_id, start + i AS p,
+                CASE WHEN len = 1 THEN 'S-' WHEN i = 0 THEN 'B-' WHEN i = len - 1 THEN 'E-' ELSE 'I-' END || type AS tag
+         FROM (SELECT doc_id, start, len, type, unnest(range(0, len)) AS i FROM ({SQL_GOLD}))),
+  t AS (SELECT pos.doc_id, pos.p, coalesce(sp.tag, 'O') AS tag FROM pos LEFT JOIN sp ON sp.doc_id = pos.doc_id AND sp.p = pos.p)
+"""
+
+
+@query("agg17_tag_bigrams", f"""
+  WITH {SQL_DOC_IOBES},
+  pr AS (SELECT coalesce(lag(tag) OVER (PARTITION BY doc_id ORDER BY p), '<START>') AS prev, tag AS next FROM t
+         UNION ALL SELECT arg_max(tag, p), '<END>' FROM t GROUP BY doc_id)
+  SELECT prev, next, count(*) AS n FROM pr GROUP BY prev, next
+""")
+def q_tag_bigrams(spark, sf):
+    """AGG17: start / transition / end counts of document IOBES gold tags."""
+    from ..operators import crf
+    _, docs, gold = _base(spark, sf)
+    d = rt.doc_tags(docs, gold).select(tg.to_iobes("tags").alias("tags"))
+    return crf.tag_bigrams(d, "tags")
+
+
+SQL_EPOCH_F1 = f"""
+  WITH g AS (SELECT g.*, CAST(substr(d.source, 4) AS BIGINT) AS epoch FROM ({SQL_GOLD}) g JOIN documents d USING (doc_id)),
+  p AS (SELECT p.*, CAST(substr(d.source, 4) AS BIGINT) AS epoch FROM ({SQL_PRED}) p JOIN documents d USING (doc_id)),
+  m AS (SELECT coalesce(g.epoch, p.epoch) AS epoch, g.ord IS NOT NULL AS in_g, p.ord IS NOT NULL AS in_p
+        FROM g FULL OUTER JOIN p ON g.doc_id = p.doc_id AND g.start = p.start AND g.len = p.len AND g.type = p.type),
+  c AS (SELECT epoch, count(*) FILTER (WHERE in_g) AS ng, count(*) FILTER (WHERE in_p) AS np,
+               count(*) FILTER (WHERE in_g AND in_p) AS nc FROM m GROUP BY epoch),
+  f AS (SELECT epoch, round(CASE WHEN nc > 0 THEN 2 * (100.0 * nc / np) * (100.0 * nc / ng)
+                                 / ((100.0 * nc / np) + (100.0 * nc / ng)) ELSE 0.0 END, 2) AS f1 FROM c)
+"""
+
+
+def _epoch_f1(spark, sf):
+    documents, docs, gold = _base(spark, sf)
+    ep = documents.select("doc_id", F.substring("source", 4, 10).cast("long").alias("epoch"))
+    g = gold.join(ep, "doc_id")
+    p = pred_spans(gold).join(ep, "doc_id")
+    counts = ev.match_chunks(g, p, keys=("epoch", "doc_id")) if False else None  # noqa: F841
+    k = ["doc_id", "start", "len", "type"]
+    j = (g.select(*k, "epoch").withColumn("_g", F.lit(1))
+         .join(p.select(*k, "epoch").withColumn("_p", F.lit(1)), k + ["epoch"], "full_outer"))
+    c = j.groupBy("epoch").agg(F.count("_g").alias("ng"), F.count("_p").alias("np"),
+                               F.count(F.when(F.col("_g").isNotNull() & F.col("_p").isNotNull(), 1)).alias("nc"))
+    _, _, f1 = ev._prf(F.col("nc"), F.col("np"), F.col("ng"))
+    return c.select("epoch", F.round(f1, 2).alias("f1"))
+
+
+@query("win6_running_best", SQL_EPOCH_F1 + """
+  SELECT epoch, f1, max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before,
+         coalesce(f1 > max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved
+  FROM f
+""")
+def q_running_best(spark, sf):
+    """WIN6: per epoch (here: per document source) the dev F1, the best so
+    far and whether it improved (strictly greater; the first always does)."""
+    from ..operators import select as sel
+    return sel.running_best(_epoch_f1(spark, sf), "epoch", "f1")
+
+
+@query("agg16_best_model", SQL_EPOCH_F1 + """
+  SELECT arg_min(epoch, (-f1, epoch)) AS epoch, max(f1) AS f1 FROM f
+""")
+def q_best_model(spark, sf):
+    from ..operators import select as sel
+    return sel.best_model(_epoch_f1(spark, sf), "epoch", "f1")
+
+
+# ------------------------------------------------------------------ annotation types
+
+RAW_TYPES = list(an.DEFAULT_TYPES) + list(an.EXCLUDED_TYPES)
+SQL_RAW_TYPES = "[" + ", ".join("'" + t + "'" for t in RAW_TYPES) + "]"
+SQL_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in an.DEFAULT_TYPES.items()) + "}"
+
+
+@query("prj2_map_types", f"""
+  WITH r AS (SELECT {SQL_RAW_TYPES}[CAST(event_id % {len(RAW_TYPES)} AS INTEGER) + 1] || '_' || event_type || ':' || CAST(user_id AS VARCHAR) AS raw
+             FROM events),
+  n AS (SELECT split_part(split_part(raw, '_', 1), ':', 1) AS t FROM r)
+  SELECT {SQL_MAP}[t] AS type, count(*) AS n FROM n WHERE t NOT IN ('BAO', 'Rfam', 'Corum') GROUP BY 1
+""")
+def q_map_types(spark, sf):
+    """PRJ1 + PRJ3 + PRJ2: raw annotation types built from ``events``
+    normalised, filtered and mapped to entity classes."""
+    ev_ = load(spark, sf, "events")
+    raw = F.concat(F.element_at(F.array(*[F.lit(t) for t in RAW_TYPES]), (F.col("event_id") % len(RAW_TYPES)).cast("int") + 1),
+                   F.lit("_"), F.col("event_type"), F.lit(":"), F.col("user_id").cast("string"))
+    n = ev_.select(an.norm_type(raw).alias("t"))
+    n = an.exclude_types(n, "t")
+    return n.select(an.map_type("t").alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("prj4_clean_docs", f"""
+  SELECT doc_id, replace(lang || ' ' || source, ' ', '|') AS doc_key, CAST(strlen(replace(text, chr(8232), '')) AS BIGINT) AS n_bytes
+  FROM documents
+""")
+def q_clean_docs(spark, sf):
+    d = load(spark, sf, "documents")
+    return d.select("doc_id", an.clean_id(F.concat_ws(" ", "lang", "source")).alias("doc_key"),
+                    F.octet_length(an.clean_text("text")).cast("long").alias("n_bytes"))
+
+
+@query("win2_to_iob2", SQL_DOC_TAG_COUNTS.format(spans=SQL_PRED))
+def q_to_iob2(spark, sf):
+    """WIN2: IOB1 tags (every B- written as I-, the spans never touch) are
+    repaired to IOB2 and counted."""
+    _, docs, gold = _base(spark, sf)
+    t = rt.doc_tags(docs, pred_spans(gold))
+    iob1 = t.select("doc_id", F.transform("tags", lambda x: F.regexp_replace(x, "^B-", "I-")).alias("t1"))
+    return _count_tags(iob1.select("doc_id", tg.to_iob2("t1").alias("tags")), "tags")
+
+
+@query("win4_chunk_bounds", f"""
+  SELECT type, count(*) AS n, CAST(sum(len) AS BIGINT) AS sum_len FROM ({SQL_PRED}) GROUP BY type
+""")
+def q_chunk_bounds(spark, sf):
+    """WIN4: the scorer's chunk rules applied to IOBES document tags."""
+    _, docs, gold = _base(spark, sf)
+    t = rt.doc_tags(docs, pred_spans(gold)).select("doc_id", tg.to_iobes("tags").alias("tags"))
+    c = ev.chunk_rows(t, "tags")
+    return c.groupBy("type").agg(F.count(F.lit(1)).alias("n"), _long(F.sum("len")).alias("sum_len"))
+
+
+@query("srt4_type_names", f"SELECT DISTINCT type FROM (SELECT type FROM ({SQL_GOLD}) UNION ALL SELECT type FROM ({SQL_PRED}))")
+def q_type_names(spark, sf):
+    """SET2 + SRT4: union of gold and predicted types, sorted."""
+    _, _, gold = _base(spark, sf)
+    return ev.type_names(gold, pred_spans(gold))
