@@ -800,3 +800,69 @@ def q_type_names(spark, sf):
     """SET2 + SRT4: union of gold and predicted types, sorted."""
     _, _, gold = _base(spark, sf)
     return ev.type_names(gold, pred_spans(gold))
+
+
+# ------------------------------------------------------------------ rows-only queries (no SQL oracle;
+# tested against brute force on small fixtures in tests/)
+
+@query("ml3_viterbi")
+def q_viterbi(spark, sf):
+    """ML3: Viterbi paths of every window's emissions (Arrow UDF); per
+    document the number of positions per decoded tag."""
+    from ..operators import crf
+    e = crf.viterbi(_emission_windows(spark, sf), "scores", U_TEST, B_START, B_END, "path")
+    return (e.select("doc_id", F.explode_outer("path").alias("tag_id")).filter(F.col("tag_id").isNotNull())
+            .groupBy("doc_id", "tag_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("ml6_log_likelihood")
+def q_log_likelihood(spark, sf):
+    """ML5 + ML6 (+ ML8 masked): log partition and log-likelihood of the
+    argmax path per window."""
+    from ..operators import crf
+    e = _energies(spark, sf)
+    e = crf.log_partition(e, "scores", U_TEST, B_START, B_END, "logz")
+    e = crf.log_partition(e, "scores", U_TEST, B_START, B_END, "logz_masked", mask="n")
+    return e.select("doc_id", "win", F.round("logz", 6).alias("logz"),
+                    F.round(F.col("energy") - F.col("logz"), 6).alias("ll"), F.round("logz_masked", 6).alias("logz_masked"))
+
+
+@query("agg14_learn_bpe")
+def q_learn_bpe(spark, sf):
+    """AGG14 + UDF1 + UDF2 + FN10 + JN5 + AGG12: learn 20 merges from the
+    document words, encode every word (distinct words once), map pieces to
+    ids with the byte fallback, and count pieces and unknown bytes."""
+    from ..operators import bpe
+    documents = load(spark, sf, "documents")
+    w = words(documents).filter(F.col("len") > 0).select("doc_id", "i", display("word").alias("word"))
+    merges = bpe.learn_bpe(w, 20)
+    codes = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
+    enc = bpe.encode_words(w, merges)
+    pieces = bpe.pieces_rows(enc, "pieces", ("doc_id", "i"))
+    pieces = pieces.withColumn("is_final", F.col("printed") == F.col("piece"))
+    ids = bpe.bpe_ids(pieces, bpe.extend_vocab(codes))
+    return ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pieces"),
+                                     _long(F.sum("unknown")).alias("unknown_bytes"),
+                                     F.count("piece_id").alias("n_known"))
+
+
+@query("srt2_srt3_conflicts")
+def q_conflicts(spark, sf):
+    """SRT2 / SRT3: gold and shifted predicted spans overlap; per document
+    the spans kept under the rightmost-first and leftmost-first rules."""
+    _, _, gold = _base(spark, sf)
+    pred = pred_spans(gold).withColumn("ord", F.col("ord") + 1000000)
+    nested = sp.nest_spans(gold.unionByName(pred))
+    r = sp.resolve(nested, "spans", "right", "rightmost")
+    r = sp.resolve(r, "spans", "left", "leftmost")
+    return r.select("doc_id", F.size("right").cast("long").alias("n_right"), F.size("left").cast("long").alias("n_left"))
+
+
+@query("win10_byte_dropout")
+def q_byte_dropout(spark, sf):
+    """WIN10: seeded byte dropout (fraction 0.3) over padded window ids;
+    per document the number of dropped positions."""
+    _, docs, _ = _base(spark, sf)
+    w = wn.make_windows(docs, W, S).select("doc_id", "win", wn.byte_ids("text", W).alias("ids"))
+    d = wn.byte_dropout(w, 0.3, 123, W)
+    return d.groupBy("doc_id").agg(_long(F.sum(F.size(F.filter("ids", lambda x: x == wn.DROP_ID)))).alias("n_dropped"))
