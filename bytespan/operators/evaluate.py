@@ -59,28 +59,32 @@ def chunk_end(pp, p, pt, ty) -> Column:
 def with_chunks(df: DataFrame, tags: str, out: str = "chunks") -> DataFrame:
     """WIN4 on one sequence per row: ``array<struct<start,len,type>>``.
 
-    Prefix, type and the start/end flags are materialised as arrays first
-    (each lambda stays small and is evaluated once per position); a chunk
-    opened at a start runs to the next position where a rule fires.
+    Neither rule can fire between two ``O`` tags, so the rules are evaluated
+    only at candidate positions (a non-``O`` tag or the one after it) --
+    usually a small fraction of the bytes.  Break positions (start or end
+    rule fires) are materialised once; a chunk opened at a start runs to the
+    next break.
     """
     t = F.col(tags)
-    d = df.withColumn("_p", F.transform(t, lambda x: split_tag(x)[0])) \
-          .withColumn("_y", F.transform(t, lambda x: split_tag(x)[1]))
-    p, y = F.col("_p"), F.col("_y")
-    prev = lambda a, i, dflt: F.when(i > 0, a[i - 1]).otherwise(F.lit(dflt))
-    d = d.withColumn("_f", F.transform(p, lambda x, i: F.struct(
-        chunk_start(prev(p, i, "O"), x, prev(y, i, ""), y[i]).alias("s"),
-        chunk_end(prev(p, i, "O"), x, prev(y, i, ""), y[i]).alias("e"))))
-    f = F.col("_f")
     n = F.size(t)
-    d = d.withColumn("_br", F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1),
-                                     lambda i: (i < n) & (f[i]["s"] | f[i]["e"])))
+    d = df.withColumn("_cand", F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i < n) & (
+        (t[i] != "O") | ((i > 0) & (t[F.greatest(i - 1, F.lit(0))] != "O")))))
+
+    def flags(i):
+        prev = F.when(i > 0, t[F.greatest(i - 1, F.lit(0))]).otherwise(F.lit("O"))
+        pp, pt = split_tag(prev)
+        p, ty = split_tag(t[i])
+        return chunk_start(pp, p, pt, ty), chunk_end(pp, p, pt, ty), ty
+
+    d = d.withColumn("_br", F.transform(F.filter(F.col("_cand"), lambda i: flags(i)[0] | flags(i)[1]),
+                                        lambda i: F.struct(i.alias("i"), flags(i)[0].alias("s"),
+                                                           flags(i)[2].alias("ty"))))
     b_ = F.col("_br")
-    nxt = lambda j: F.when(j + 1 < F.size(b_), b_[j + 1]).otherwise(n)
+    nxt = lambda j: F.when(j + 1 < F.size(b_), b_[j + 1]["i"]).otherwise(n)
     out_c = F.transform(b_, lambda b, j: F.when(
-        f[b]["s"], F.struct(b.cast("int").alias("start"), (nxt(j) - b).cast("int").alias("len"),
-                            y[b].alias("type"))))
-    return d.withColumn(out, F.filter(out_c, lambda s: s.isNotNull())).drop("_p", "_y", "_f", "_br")
+        b["s"], F.struct(b["i"].cast("int").alias("start"), (nxt(j) - b["i"]).cast("int").alias("len"),
+                         b["ty"].alias("type"))))
+    return d.withColumn(out, F.filter(out_c, lambda s: s.isNotNull())).drop("_cand", "_br")
 
 
 def chunk_rows(df: DataFrame, tags: str, keys=("doc_id",)) -> DataFrame:
