@@ -86,3 +86,15 @@ def test_byte_iob_reader(spark):
     assert rows[0].body == b"Ab c"
     assert [(s.start, s.len, s.type) for s in rows[0].spans] == [(0, 2, "x"), (3, 1, "y")]
     assert [(s.start, s.len, s.type) for s in rows[1].spans] == [(1, 1, "x")]   # last line flushed
+
+
+def test_batched_kernels_match_single():
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(7, 6, 3))
+    X[2, 3] = X[2, 3, 0]          # ties inside one row
+    U, bs, be = rng.normal(size=(3, 3)), rng.normal(size=3), rng.normal(size=3)
+    vb = crf.viterbi_batch(X, U, bs, be)
+    lb = crf.logz_batch(X, U, bs, be)
+    for k in range(7):
+        assert list(vb[k]) == list(crf.viterbi_path(X[k], U, bs, be))
+        assert abs(lb[k] - crf.log_partition_np(X[k], U, bs, be)) < 1e-9
