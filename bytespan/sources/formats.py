@@ -164,13 +164,20 @@ def read_bioc(spark: SparkSession, path: str):
     annotations are exploded; the type is the ``infon`` with key ``type``.
     """
     x = (spark.read.format("xml").option("rowTag", "document").option("pathGlobFilter", "*.xml")
-         .load(path))
+         .schema(BIOC_SCHEMA).load(path))
     p = x.select(F.col("id").cast("string").alias("doc_key"), F.posexplode_outer("passage").alias("passage_idx", "p"))
     p = p.filter(F.col("p").isNotNull())
     a = p.select("doc_key", "passage_idx", F.col("p.text").alias("text"),
                  F.posexplode_outer("p.annotation").alias("ord", "a"))
     typ = F.filter("a.infon", lambda i: i["_key"] == "type")[0]["_VALUE"]
-    loc = F.col("a.location")
-    loc = F.when(F.col("a").isNull(), F.lit(None)).otherwise(loc)
-    return a.select("doc_key", "passage_idx", "text", "ord", typ.alias("raw_type"), loc.alias("location"),
+    return a.select("doc_key", "passage_idx", "text", "ord", typ.alias("raw_type"),
+                    F.col("a.location._offset").alias("start"), F.col("a.location._length").alias("len"),
                     F.col("a.text").alias("ann_text"))
+
+
+# Explicit schema: with inference a document holding one passage (or a
+# passage holding one annotation) would read as a struct, not an array.
+BIOC_SCHEMA = (
+    "id string, passage array<struct<offset:int, text:string, annotation:array<struct<"
+    "_id:string, infon:array<struct<_VALUE:string,_key:string>>, "
+    "location:struct<_offset:int,_length:int>, text:string>>>>")
