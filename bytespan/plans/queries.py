@@ -815,9 +815,10 @@ def q_viterbi(spark, sf):
     document the number of positions per decoded tag."""
     from ..operators import crf
     e = crf.viterbi(_emission_windows(spark, sf), "scores", U_TEST, B_START, B_END, "path")
-    # counted with an aggregate (a generator over a Python UDF output is not extracted)
-    return e.groupBy("doc_id").agg(*[
-        _long(F.sum(F.size(F.filter("path", _eq(k))))).alias(f"n_tag{k}") for k in range(N_TAGS)])
+    # per-window tag counts in a second Arrow UDF: the aggregate then only
+    # reads array elements (a Python UDF inside a lambda cannot be extracted)
+    e = e.select("doc_id", crf.tag_counts_udf(N_TAGS)(F.col("path")).alias("c"))
+    return e.groupBy("doc_id").agg(*[_long(F.sum(F.col("c")[k])).alias(f"n_tag{k}") for k in range(N_TAGS)])
 
 
 @query("ml6_log_likelihood")
