@@ -139,12 +139,14 @@ def byte_dropout(windows: DataFrame, fraction: float = 0.3, seed: int = 123,
     k = int(fraction * W)
     if k <= 0:
         return windows
-    drawn = F.transform(
-        F.slice(F.array_sort(F.transform(
-            F.sequence(F.lit(0), F.lit(W - 1)),
-            lambda p: F.struct(F.xxhash64(F.lit(seed), "doc_id", "win", p).alias("h"), p.alias("p")))),
-            1, k),
-        lambda s: s["p"])
-    return windows.withColumn(
-        ids, F.transform(F.col(ids), lambda x, i: F.when(
-            F.array_contains(drawn, i) & (x != PAD_ID), F.lit(DROP_ID)).otherwise(x)))
+    # rank the hashed positions once, mark the k smallest, re-sort by
+    # position and zip with the ids: every array is built once per row (no
+    # array is looked up inside another array's lambda)
+    ranked = F.transform(
+        F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(W - 1)), lambda p: F.struct(
+            F.xxhash64(F.lit(seed), "doc_id", "win", p).alias("h"), p.alias("p")))),
+        lambda s, r: F.struct(s["p"].alias("p"), (r < k).alias("d")))
+    by_pos = F.array_sort(ranked)
+    z = F.arrays_zip(F.col(ids).alias("x"), by_pos.alias("m"))
+    return windows.withColumn(ids, F.transform(z, lambda e: F.when(
+        e["m"]["d"] & (e["x"] != PAD_ID), F.lit(DROP_ID)).otherwise(e["x"])))
