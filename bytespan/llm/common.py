@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,7 +42,29 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder: lineage ends here, and a lost
-    executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written as Parquet to the shared checkpoint folder and read again:
+    lineage ends here, so a lost executor costs no recomputation, and the rows
+    are made once."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of the filter in ``semi``; its 4 MB are a fixed bound.
+FILTER_BITS = 1 << 25
+
+
+def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids``.  A bitmap of fixed size goes to
+    all tasks first, so that rows without a partner are not shuffled."""
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)) + 1
+    maps = (ids.select(F.bitmap_bucket_number(bit).alias("_n"), F.bitmap_bit_position(bit).alias("_p"))
+            .groupBy("_n").agg(F.bitmap_construct_agg("_p").alias("_bits")))
+    at = F.bitmap_bit_position(bit)
+    near = (df.withColumn("_n", F.bitmap_bucket_number(bit)).withColumn("_p", at)
+            .join(F.broadcast(maps), "_n")
+            .filter("shiftright(cast(conv(hex(substring(_bits, cast(_p div 8 as int) + 1, 1)), 16, 10) as int),"
+                    " cast(_p % 8 as int)) & 1 = 1")
+            .drop("_n", "_p", "_bits"))
+    return near.join(ids, key, "left_semi")

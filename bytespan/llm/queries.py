@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import minhash, packing, tokens
 from .common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,29 @@ def op1(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+SQL_NEAR = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM d),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.m = p.a),
+c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN c ON d.doc_id = c.doc_id
+"""
+
+
+@query("op2_minhash_near_duplicates", SQL_NEAR)
+def op2(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_best_fit_packing")
 def op5(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
