@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, tokens, toxicity
+from . import minhash, packing, pii, tokens, toxicity
 from .common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op3(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op4_personal_data")
+def op4(spark, sf_dir):
+    return pii.digest(pii.entities(table(spark, sf_dir, "documents")))
+
+
 @query("op5_best_fit_packing")
 def op5(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))

@@ -40,7 +40,7 @@ PREFIXES = (4, 5, 6)
 READINGS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
             "$": "s", "!": "il", "|": "il", "+": "t", "(": "c"}
 SEPARATORS = ".-_*~/\\'\" "
-COST_LEET, COST_BORDER, COST_SEPARATOR, COST_REPEAT = -0.5, -4.0, -0.3, -0.7
+COST_LEET, COST_BORDER, COST_SEPARATOR, COST_REPEAT = -0.5, -7.0, -0.3, -0.7
 
 N = 28               # border, a to z, any other letter
 _CLASS = np.zeros(256, np.int64)
