@@ -5,10 +5,13 @@ number-like and address-like stretches of a text; they are the nodes of a
 random field over the labels none, email, ip, card, phone.  A node's potential
 is a softmax model of its shape and of the word before it, trained on the base
 spans of a bounded sample with features left out at random, so that weaker
-shapes get weight too.  Neighbours in the text are joined by chain edges;
+shapes get weight too; a candidate without a base span that repeats one with a
+base span is not shown as "none", since it is the field's to decide.  Neighbours in the text are joined by chain edges;
 candidates that repeat, or share their last seven digits, are joined by skip
-edges (each with the next of its kind, so their number is linear).  Edge
-potentials are log ratios of label agreement, counted in the same sample.
+edges (each with the next of its kind, so their number is linear).  Chain potentials
+are log ratios of neighbouring labels, counted in the same sample; a skip edge
+has ``SKIP`` for equal and -``SKIP`` for different labels, and is neutral
+towards "none".
 Candidates that hold a base span are evidence.  Loopy message passing over all
 documents of a batch gives beliefs; a candidate that overlaps no base span and
 is believed with ``BELIEF`` or more becomes an added span.
@@ -34,6 +37,7 @@ from .textarrays import slices, text_buffer
 
 KINDS = ("email", "ip", "card", "phone")
 BELIEF = 0.9
+SKIP = 4.0
 SAMPLE = 20_000    # documents that potentials are estimated on, at most
 NODES = 100_000    # and their candidates, at most
 ROUNDS = 8
@@ -170,7 +174,7 @@ def _labels(nodes: list, base: list) -> list[int]:
     return out
 
 
-def _softmax(feats: list[list[int]], y: np.ndarray, steps: int = 200, drop: float = 0.3) -> np.ndarray:
+def _softmax(feats: list[list[int]], y: np.ndarray, steps: int = 200, drop: float = 0.5) -> np.ndarray:
     """Weights (features x labels) by scaled gradient steps on the mean loss."""
     k, rng = len(KINDS) + 1, np.random.default_rng(1)
     row, at = np.repeat(np.arange(len(feats)), [len(f) for f in feats]), np.concatenate(feats)
@@ -199,6 +203,12 @@ def _rows(b: pa.RecordBatch) -> Iterator[tuple[int, str]]:
             yield i + r, data[offsets[i + r]:offsets[i + r + 1]].tobytes().decode("utf-8", "replace")
 
 
+def _log_ratio(count: np.ndarray) -> np.ndarray:
+    p = count / count.sum()
+    q = p.sum(axis=1)
+    return np.clip(np.log(p / (q[:, None] * q[None])), -3, 3)
+
+
 def fit(documents: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> Field:
     """Potentials from the base spans of at most ``sample`` documents."""
     k = len(KINDS) + 1
@@ -219,19 +229,22 @@ def fit(documents: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> Field
     rows = kept(map_batches(some, run, "feats array<array<int>>, labels array<int>, keys array<long>"))
     # documents with at most ``nodes`` candidates in all: few come with many
     got = rows.filter(F.size("labels") <= 1000).orderBy(F.xxhash64("keys")).limit(max(1, nodes // 10)).collect()
-    feats, y, agree = [], [], np.ones((2, k, k))
+    feats, y, chain = [], [], np.ones((k, k))
     for r in got:
         if len(y) >= nodes:
             break
         a, b, kind = _graph([[(0, 0, x) for x in r["keys"]]])
         lab = np.array(r["labels"])
-        np.add.at(agree, (kind, lab[a], lab[b]), 1)
-        feats += [list(f) for f in r["feats"]]
-        y += r["labels"]
-    agree += agree.transpose(0, 2, 1)
-    p = agree / agree.sum(axis=(1, 2), keepdims=True)
-    q = p.sum(axis=2)
-    pair = np.clip(np.log(p / (q[:, :, None] * q[:, None, :])), -3, 3)
+        twin = {k for k, x in zip(r["keys"], r["labels"]) if x}
+        open_ = np.array([not x and r["keys"][i] in twin for i, x in enumerate(r["labels"])])
+        sure = (kind == 0) & ~open_[a] & ~open_[b]
+        np.add.at(chain, (lab[a[sure]], lab[b[sure]]), 1)
+        own = np.flatnonzero(~open_).tolist()
+        feats += [list(r["feats"][i]) for i in own]
+        y += [r["labels"][i] for i in own]
+    skip = np.zeros((k, k))
+    skip[1:, 1:] = SKIP * (2 * np.eye(k - 1) - 1)
+    pair = np.stack([_log_ratio(chain + chain.T), skip])
     unary = _softmax(feats, np.array(y)) if y else np.zeros((WIDTH, k))
     return Field(unary, pair[0], pair[1])
 
