@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, pii, tokens, toxicity
+from . import decontaminate, minhash, packing, pii, tokens, toxicity
 from .common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,25 @@ def op4(spark, sf_dir):
 @query("op5_best_fit_packing")
 def op5(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+SQL_LEAKS = f"""
+WITH i AS (SELECT DISTINCT item_id, {_WORDS} AS w, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT item_id, text, least(5, len(w)) AS k, unnest([0, 1]) AS part, unnest(CASE WHEN len(w) >= 10
+        THEN [w[1:(len(w) + 1) // 2], w[(len(w) + 1) // 2 + 1:]] ELSE [w, w] END) AS x FROM i WHERE len(w) > 0),
+s AS (SELECT item_id, text, k, part, list_distinct(list_transform(range(1, len(x) - k + 2), lambda j: array_to_string(x[j:j + k - 1], ' '))) AS g FROM p),
+t AS (SELECT item_id, text, k, part, len(g) AS n, unnest(g) AS h FROM s),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+e AS (SELECT DISTINCT doc_id, r, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS h
+      FROM d, (SELECT DISTINCT k FROM t)),
+m AS (SELECT doc_id, r, item_id, text, part, n, count(*) AS c FROM e JOIN t USING (k, h) GROUP BY ALL HAVING 100 * count(*) >= 75 * n)
+SELECT q.doc_id, q.item_id, CAST(q.c AS BIGINT) AS n_question, CAST(q.n AS BIGINT) AS question,
+       CAST(a.c AS BIGINT) AS n_answer, CAST(a.n AS BIGINT) AS answer
+FROM m q JOIN m a ON q.r = a.r AND q.item_id = a.item_id AND q.text = a.text AND q.part = 0 AND a.part = 1
+"""
+
+
+@query("op7_benchmark_decontamination", SQL_LEAKS)
+def op7(spark, sf_dir):
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_question", "question", "n_answer", "answer")
