@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, pii, tokens, toxicity
+from . import chat, decontaminate, licenses, minhash, packing, pii, tokens, topk, toxicity
 from .common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,63 @@ FROM m q JOIN m a ON q.r = a.r AND q.item_id = a.item_id AND q.text = a.text AND
 def op7(spark, sf_dir):
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_question", "question", "n_answer", "answer")
+
+
+def _sql_licenses() -> str:
+    norm = r"regexp_extract_all({}, '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+')"
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({quote(n)}, {quote(t)})" for n in sorted(licenses.TEMPLATES) for t in licenses.TEMPLATES[n])
+    return f"""
+WITH t AS (SELECT name, {pairs.format('w')} AS g FROM (SELECT name, {norm.format(low.format('body'))} AS w FROM (VALUES {rows}) v(name, body))),
+d AS (SELECT doc_id, row_number() OVER () AS r, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, r, unnest(l) AS u, CAST(unnest(range(0, len(l))) AS BIGINT) AS line FROM d),
+c AS (SELECT *, sum((u = '')::INT) OVER (PARTITION BY r ORDER BY line) AS gap FROM l),
+b AS (SELECT doc_id, r, 'line' AS unit, line, u FROM c WHERE u <> ''
+      UNION ALL SELECT doc_id, r, 'block', min(line), string_agg(u, chr(10) ORDER BY line) FROM c WHERE u <> '' GROUP BY doc_id, r, gap HAVING count(*) > 1),
+n AS (SELECT doc_id, r, unit, line, {pairs.format('w')} AS g FROM (SELECT *, {norm.format(low.format('u'))} AS w FROM b)),
+m AS (SELECT doc_id, r, unit, line, name, CAST(len(list_intersect(n.g, t.g)) AS BIGINT) AS common, CAST(len(n.g) + len(t.g) AS BIGINT) AS bigrams
+      FROM n JOIN t ON 200 * least(len(n.g), len(t.g)) >= {licenses.PERCENT} * (len(n.g) + len(t.g)) AND len(n.g) > 0
+      WHERE 200 * len(list_intersect(n.g, t.g)) >= {licenses.PERCENT} * (len(n.g) + len(t.g)))
+SELECT doc_id, unit, line, name AS license, common, bigrams FROM m
+QUALIFY row_number() OVER (PARTITION BY r, unit, line ORDER BY common / bigrams DESC, name, bigrams) = 1
+"""
+
+
+@query("op8_license_scan", _sql_licenses())
+def op8(spark, sf_dir):
+    return licenses.license_units(table(spark, sf_dir, "documents"))
+
+
+SQL_CHAT = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker <> 'system'),
+s AS (SELECT conv_id, perspective, turn, speaker, speaker = perspective AS target,
+        CASE WHEN speaker = 'system' THEN '<|im_start|>system' WHEN speaker = perspective THEN '<|im_start|>assistant'
+             ELSE '<|im_start|>user name=' || speaker END || chr(10) || text || '<|im_end|>' || chr(10) AS segment
+      FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c),
+o AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, segment
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS "end" FROM s)
+SELECT conv_id, perspective, turn, speaker, segment, target, "end" - length(segment) AS start, "end" FROM o
+"""
+
+
+@query("op9_chat_perspectives", SQL_CHAT)
+def op9(spark, sf_dir):
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+SQL_TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op10_exact_top_k", SQL_TOPK)
+def op10(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
