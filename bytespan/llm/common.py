@@ -55,16 +55,30 @@ def kept(df: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 25
 
 
+def _flagged(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` as ``row`` with their key ``k`` and ``near``, false only
+    where the key is surely not in ``ids``; and ``ids`` as ``k``."""
+    bit = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS)) + 1
+    known = ids.select(F.col(key).alias("k"))
+    maps = (known.select(F.bitmap_bucket_number(bit).alias("n"), F.bitmap_bit_position(bit).alias("p"))
+            .groupBy("n").agg(F.bitmap_construct_agg("p").alias("bits")))
+    near = F.expr("shiftright(cast(conv(hex(substring(bits, cast(p div 8 as int) + 1, 1)), 16, 10) as int), cast(p % 8 as int)) & 1 = 1")
+    rows = (df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("k"))
+            .withColumn("n", F.bitmap_bucket_number(bit)).withColumn("p", F.bitmap_bit_position(bit))
+            .join(F.broadcast(maps), "n", "left")   # 4 MB at most
+            .select("row", "k", F.coalesce(near, F.lit(False)).alias("near")))
+    return rows, known
+
+
 def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids``.  A bitmap of fixed size goes to
     all tasks first, so that rows without a partner are not shuffled."""
-    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)) + 1
-    maps = (ids.select(F.bitmap_bucket_number(bit).alias("_n"), F.bitmap_bit_position(bit).alias("_p"))
-            .groupBy("_n").agg(F.bitmap_construct_agg("_p").alias("_bits")))
-    at = F.bitmap_bit_position(bit)
-    near = (df.withColumn("_n", F.bitmap_bucket_number(bit)).withColumn("_p", at)
-            .join(F.broadcast(maps), "_n")
-            .filter("shiftright(cast(conv(hex(substring(_bits, cast(_p div 8 as int) + 1, 1)), 16, 10) as int),"
-                    " cast(_p % 8 as int)) & 1 = 1")
-            .drop("_n", "_p", "_bits"))
-    return near.join(ids, key, "left_semi")
+    rows, known = _flagged(df, ids, key)
+    return rows.filter("near").join(known, "k", "left_semi").select("row.*")
+
+
+def anti(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``ids`` (null: kept); only rows that
+    the bitmap cannot clear are shuffled."""
+    rows, known = _flagged(df, ids, key)
+    return rows.filter("not near").select("row.*").unionByName(rows.filter("near").join(known, "k", "left_anti").select("row.*"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, map_batches, semi, texts
+from .common import anti, kept, map_batches, semi, texts
 from .components import components
 from .textarrays import mix, slices, text_buffer, window_hashes, word_arrays
 
@@ -182,3 +182,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     out = sk.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_copies(documents: DataFrame) -> DataFrame:
+    """``documents``, all columns, with one document of each group: the one
+    with the smallest doc_id.  Of rows that share a doc_id one stays, whichever;
+    rows without a doc_id all stay."""
+    lost = kept(near_duplicates(documents).filter("not kept").select("doc_id").distinct())
+    out = anti(documents, lost, "doc_id")
+    twice = kept(out.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    return anti(out, twice, "doc_id").unionByName(semi(out, twice, "doc_id").select(out.columns).dropDuplicates(["doc_id"]))
