@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table by repeated contraction."""
 
 from __future__ import annotations
 
@@ -8,36 +8,28 @@ from pyspark.sql import functions as F
 from .common import kept
 
 
-def _print(edges: DataFrame) -> tuple:
-    """Size and checksum of an edge table."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
-                           F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first())
-
-
-def _least(edges: DataFrame) -> DataFrame:
-    """u -> m, its least neighbour (partial minima before the shuffle)."""
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """-> node, component (least node reachable) for every node with an edge.
-
-    The neighbours of a node are never brought together: each star is a minimum
-    by node joined back to the edges, so a node with very many edges is a
-    skewed join key that Spark can split, not one large group."""
-    u, v = F.greatest(a, b), F.least(a, b)
-    cur = kept(edges.select(u.alias("u"), v.alias("v")).filter("u <> v").distinct())   # u > v
-    was = None
-    while (now := _print(cur)) != was:
-        was = now
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: all greater neighbours of u go to u's least neighbour (or u)
-        big = (both.join(kept(_least(both).withColumn("m", F.least("u", "m"))), "u").filter("v > u")
-               .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        big = kept(big)
-        # small star: u and its smaller neighbours go to the least of them
-        low = kept(_least(big))
-        small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        cur = kept(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.distinct())
+def _ordered(edges: DataFrame, a, b) -> DataFrame:
+    return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) -> node, component (least node reachable) for every node with an edge.
+
+    In each level a node takes its least neighbour (or itself) as label, by
+    minima that are aggregated before the shuffle, and edges are rewritten to
+    labels; every node meets another, so few levels remain even for chains.
+    The neighbours of a node are never brought together: a node with very many
+    edges is a skewed join key, which Spark splits."""
+    cur = kept(_ordered(edges, F.col("a"), F.col("b")))
+    levels: list[DataFrame] = []
+    while not cur.isEmpty() or not levels:
+        both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        label = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+        levels.append(label)
+        of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"{x}{x}"))  # noqa: E731, B023
+        cur = kept(_ordered(cur.join(of("a"), "a").join(of("b"), "b"), F.col("aa"), F.col("bb")))
+    out = levels[0]
+    for label in levels[1:]:
+        label = label.select(F.col("node").alias("component"), F.col("component").alias("c"))
+        out = out.join(label, "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    return out

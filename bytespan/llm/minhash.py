@@ -126,56 +126,58 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             .filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b"))
 
 
-def stars(buckets: DataFrame, centres: DataFrame) -> DataFrame:
-    """Edges of every bucket's members to its centres (array ``c``)."""
-    e = buckets.join(centres, "bucket").select("doc", F.explode("c").alias("c")).filter("doc <> c")
-    return e.select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b")).distinct()
+def stars(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """Edges of every bucket's members to its centres (array ``c`` of doc, comp)
+    in other components."""
+    e = members.join(centres, "bucket").select("doc", "comp", F.explode("c").alias("c")).filter("comp <> c.comp")
+    return e.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """-> doc_id, n_shingles, component_id, kept; one row per row of documents."""
     sk = kept(sketches(documents))
-    linked = sk.filter("doc_id is not null and n_shingles > 0")
-    classes = kept(linked.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    one = F.min(F.struct(F.xxhash64("doc"), F.col("doc")))["doc"]
-    two = F.max(F.struct(F.xxhash64("doc"), F.col("doc")))["doc"]
-    rows = linked.join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep", "bands")
-    own = kept(rows.select("doc_id", "rep").distinct())
-    least = own.groupBy("doc_id").agg(F.min("rep").alias("m"))
-    twice = own.join(least, "doc_id").filter("rep <> m").select(F.col("m").alias("a"), F.col("rep").alias("b"))
-    band = rows.filter("doc_id = rep").select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"))
-    # a bucket of one document is of no use; partial aggregates keep hot buckets small
-    centres = kept(band.groupBy("bucket").agg(one.alias("x"), two.alias("y")).filter("x <> y")
-                   .select("bucket", F.array("x", "y").alias("c")))
-    buckets = kept(band.join(centres.select("bucket"), "bucket").select("bucket", "doc").distinct())
-    pairs = kept(stars(buckets, centres))
-    ids = kept(buckets.select(F.col("doc").alias("doc_id")).distinct())
-    # a class is its first document; of rows that share that id any one whose set is the class's will do
-    sets = kept(full_sets(semi(documents, ids, "doc_id")).filter(F.size("shingles") > 0))
-    links = kept(confirmed(pairs, sets).unionByName(twice).distinct())
-    seed, tried = 0, pairs
+    linked, key = sk.filter("doc_id is not null and n_shingles > 0"), ["k1", "k2", "n_shingles"]
+    # a class is its first document; partial minima take care of large groups of copies
+    classes = kept(linked.groupBy(*key).agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(*key, F.col("r.doc_id").alias("rep"), "r.bands"))
+    own = kept(linked.select("doc_id", *key).join(classes.select("rep", *key), key).select("doc_id", "rep").distinct())
+    twice = (own.join(own.groupBy("doc_id").agg(F.min("rep").alias("m")), "doc_id").filter("rep <> m")
+             .select(F.col("m").alias("a"), F.col("rep").alias("b")))
+    band = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), F.col("rep").alias("comp"))
+    # a bucket of one document is of no use; its two centres are the extremes of a hash
+    order, who = F.xxhash64("doc"), F.struct("doc", "comp")
+    centres = kept(band.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), who.alias("w")))["w"].alias("x"), F.max(F.struct(order.alias("o"), who.alias("w")))["w"].alias("y"))
+                   .filter("x.doc <> y.doc").select("bucket", F.array("x", "y").alias("c")))
+    buckets = kept(band.join(centres.select("bucket"), "bucket").select("bucket", "doc"))
+    tried = kept(stars(buckets.withColumn("comp", F.col("doc")), centres))
+    # of rows that share the id of a class any one whose set is the class's will do
+    sets = kept(full_sets(semi(documents, buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id")).filter(F.size("shingles") > 0))
+    links = kept(confirmed(tried, sets).unionByName(twice).distinct())
+    comp, fresh, seed = kept(components(links)), links, 0
     while True:
-        comp = kept(components(links))
-        of = (buckets.join(comp.withColumnRenamed("node", "doc"), "doc", "left")
-              .select("bucket", "doc", F.coalesce("component", "doc").alias("comp")))
-        degree = (links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("links")))
-        of = of.join(degree, "doc", "left").select("bucket", "doc", "comp", F.coalesce("links", F.lit(0)).alias("links"))
         seed += 1
-        pick = [F.max(F.struct("links", F.xxhash64("doc"), "doc"))["doc"],
-                F.min(F.struct(F.xxhash64("doc", "bucket", F.lit(seed)), F.col("doc")))["doc"]]
-        open_ = (of.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *(p.alias(f"c{i}") for i, p in enumerate(pick)))
-                 .filter("x <> y").select("bucket", F.array("c0", "c1").alias("c")))
-        name = comp.select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-        new = (stars(of.select("bucket", "doc"), kept(open_)).join(tried, ["a", "b"], "left_anti")
-               .join(name.withColumnRenamed("doc", "a").withColumnRenamed("comp", "ca"), "a", "left")
-               .join(name.withColumnRenamed("doc", "b").withColumnRenamed("comp", "cb"), "b", "left")
-               .filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
-        new = kept(new)
-        more = kept(confirmed(new, sets).distinct())
-        tried = tried.unionByName(new)
-        if more.isEmpty():
+        # buckets that still hold several components: the member with most links, and one drawn anew
+        degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("links"))
+        at = (buckets.select("bucket", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").join(degree, "doc", "left")
+              .select("bucket", "doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")))
+        most = F.max(F.struct("links", F.xxhash64("doc").alias("o"), who.alias("w")))["w"]
+        drawn = F.min(F.struct(F.xxhash64("doc", "bucket", F.lit(seed)).alias("o"), who.alias("w")))["w"]
+        at = kept(at)
+        centres = kept(at.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), most.alias("c0"), drawn.alias("c1"))
+                       .filter("x <> y").select("bucket", F.array("c0", "c1").alias("c")))
+        new = kept(stars(at.select("bucket", "doc", "comp"), centres).join(tried, ["a", "b"], "left_anti"))
+        fresh = kept(confirmed(new, sets).distinct())
+        if fresh.isEmpty():
             break
-        links = kept(links.unionByName(more))
+        tried, links = tried.unionByName(new), links.unionByName(fresh)
+        buckets = at.join(centres.select("bucket"), "bucket", "left_semi")   # a closed bucket stays closed
+        # components of components
+        name = comp.select(F.col("node").alias("n"), F.col("component").alias("c"))
+        pair = (fresh.join(name.toDF("a", "ca"), "a", "left").join(name.toDF("b", "cb"), "b", "left")
+                .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+        up = kept(components(pair))
+        every = comp.unionByName(up.select("node", F.col("node").alias("component"))).distinct()
+        joined = every.join(up.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+        comp = kept(joined.select("node", F.coalesce("top", "component").alias("component")).distinct())
     comp = comp.select(F.col("node").alias("rep"), "component")
     named = (own.join(comp, "rep", "left").groupBy("doc_id")
              .agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
