@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, minhash, packing, pii, tokens, topk, toxicity
+from . import chat, decontaminate, licenses, minhash, packing, pii, repeats, tokens, topk, toxicity
 from .common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op5(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+@query("op6_repeated_strings")
+def op6(spark, sf_dir):
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("rest")
+
+
 SQL_LEAKS = f"""
 WITH i AS (SELECT DISTINCT item_id, {_WORDS} AS w, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 p AS (SELECT item_id, text, least(5, len(w)) AS k, unnest([0, 1]) AS part, unnest(CASE WHEN len(w) >= 10

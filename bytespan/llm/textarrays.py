@@ -29,11 +29,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POW: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if n > len(_POW.get("up", ())):
         with np.errstate(over="ignore"):
             up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
@@ -89,9 +89,9 @@ def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         while i < len(start):
             j = max(i + 1, int(np.searchsorted(end, start[i] + _BLOCK, "right")))
             a, b = int(start[i]), int(end[j - 1])
-            up, down = _powers(b - a + 1)
+            up, down = powers(b - a + 1)
             c = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(_BYTE[data[a:b]] * up[:b - a], out=c[1:])
+            np.cumsum(BYTE[data[a:b]] * up[:b - a], out=c[1:])
             s, e = start[i:j] - a, end[i:j] - a
             out[i:j] = mix((c[e] - c[s]) * down[s] + (e - s).astype(np.uint64))
             i = j
