@@ -80,11 +80,12 @@ def parse_triples(line) -> Column:
     threes, the number after the letter)."""
     f = F.split(F.trim(_c(line)), " +")
     f = F.when(F.trim(_c(line)) == "", F.array().cast("array<string>")).otherwise(f)
+    n = (F.size(f) / 3).cast("int")   # none on an unannotated line
     return F.transform(
-        F.sequence(F.lit(0), (F.size(f) / 3).cast("int") - 1),
-        lambda k: F.struct(F.substring(f[k * 3], 2, 1 << 30).cast("int").alias("start"),
-                           F.substring(f[k * 3 + 1], 2, 1 << 30).cast("int").alias("len"),
-                           f[k * 3 + 2].alias("type")))
+        F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(1), n),
+        lambda k: F.struct(F.substring(F.get(f, k * 3), 2, 1 << 30).cast("int").alias("start"),
+                           F.substring(F.get(f, k * 3 + 1), 2, 1 << 30).cast("int").alias("len"),
+                           F.get(f, k * 3 + 2).alias("type")))
 
 
 def zero_digits(col) -> Column:

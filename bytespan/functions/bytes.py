@@ -40,7 +40,7 @@ def text_view(text) -> Column:
 
 def display(view) -> Column:
     """Byte view -> readable UTF-8 string (invalid sequences replaced)."""
-    return F.make_valid_utf8(F.decode(F.encode(_c(view), "ISO-8859-1"), "UTF-8"))
+    return F.make_valid_utf8(F.encode(_c(view), "ISO-8859-1").cast("string"))
 
 
 def n_bytes(body) -> Column:

@@ -6,52 +6,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+RANK_BUCKETS = 1 << 16
+
+
+def _ranked(df: DataFrame, key: str, seed: int, out: str, total: str | None = None) -> DataFrame:
+    digits = F.md5(F.concat(F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    h = df.withColumn("_h", digits).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    # at most RANK_BUCKETS rows, counted with partial aggregates
+    counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    every = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offs = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_o"),
+                         F.sum("_c").over(every).alias("_n"))
+    local = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1
+    r = (h.withColumn("_l", local).join(F.broadcast(offs), "_b")
+         .withColumn(out, (F.col("_o") + F.col("_l")).cast("long")))
+    if total is not None:
+        r = r.withColumn(total, F.col("_n"))
+    return r.drop("_h", "_b", "_l", "_o", "_n")
+
+
 def rank_by_hash(df: DataFrame, key: str, seed: int = 123, out: str = "rank") -> DataFrame:
     """Global 0-based rank of every row in a seeded permutation.
 
-    The permutation is the order of ``md5(seed || key)``.  No single-task
-    window: rows are range-partitioned on the hash, each partition is counted,
-    the (few) partition counts are prefix-summed, and rows get their local
-    row number plus their partition's offset.
+    The permutation is the order of ``md5(seed || key)``.  Its leading digits
+    give one of ``RANK_BUCKETS`` fixed buckets; bucket counts are prefix-summed
+    (a bounded table) and rows are numbered inside their bucket.  Nothing
+    depends on sampled range bounds or on the partition a row is in.
     """
-    spark = df.sparkSession
-    h = df.withColumn("_h", F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"))))
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    r = (h.repartitionByRange(n_parts, "_h", key).sortWithinPartitions("_h", key)
-         .withColumn("_p", F.spark_partition_id()))
-    counts = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    # one row per partition: the prefix sum runs over at most n_parts rows
-    offs = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"))
-    local = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)) - 1
-    return (r.withColumn("_l", local).join(F.broadcast(offs), "_p")
-            .withColumn(out, (F.col("_o") + F.col("_l")).cast("long"))
-            .drop("_h", "_p", "_l", "_o"))
+    return _ranked(df, key, seed, out)
 
 
 def split_corpus(docs: DataFrame, dev: bool = True, test: bool = True, seed: int = 123,
                  key: str = "doc_id") -> DataFrame:
     """WIN9: exact-size random split: rank < int(.8n) train, next int(.1n)
-    dev, rest test; without test int(.9n) / rest; without both all train."""
-    n = docs.count()
+    dev, rest test; without test int(.9n) / rest; without both all train.
+    n is the sum of the bucket counts, so the table is counted once."""
+    r, n = _ranked(docs, key, seed, "_rank", "_total"), F.col("_total")
+    part = lambda x: F.floor(F.lit(x) * n).cast("long")
     if dev and test:
-        a, b = int(0.8 * n), int(0.8 * n) + int(0.1 * n)
+        a, b = part(0.8), part(0.8) + part(0.1)
     elif dev or test:
-        a, b = int(0.9 * n), n
+        a, b = part(0.9), n
     else:
         a, b = n, n
     second = "dev" if dev else "test"
-    r = rank_by_hash(docs, key, seed)
-    return r.withColumn("split", F.when(F.col("rank") < a, "train")
-                        .when(F.col("rank") < b, second).otherwise("test")).drop("rank")
+    return r.withColumn("split", F.when(F.col("_rank") < a, "train")
+                        .when(F.col("_rank") < b, second).otherwise("test")).drop("_rank", "_total")
 
 
 def unique_samples(docs: DataFrame, body: str = "body", key: str = "doc_id") -> DataFrame:
     """AGG2: keep the first document of every group of identical texts.
 
-    The group-by-text aggregate is partial (map-side), so a text copied
+    Texts are grouped by a 256-bit digest and their length, so no text is
+    shuffled as a key; the aggregate is partial (map-side), so a text copied
     millions of times collapses before the shuffle.
     """
-    first = docs.groupBy(body).agg(F.min(key).alias(key))
+    body_ = F.col(body).cast("binary")
+    first = (docs.groupBy(F.sha2(body_, 256).alias("_d"), F.octet_length(body_).alias("_n")).agg(F.min(key).alias(key)))
     return docs.join(first.select(key), key, "left_semi")
 
 

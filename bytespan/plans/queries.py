@@ -426,43 +426,39 @@ def q_singletons(spark, sf):
     return s.select(display("word").alias("word"))
 
 
-SQL_ASCII_DOCS = "SELECT doc_id, text FROM documents WHERE strlen(text) = length(text)"
+# the byte view: every byte as the character of that number
+SQL_BYTE_DOCS = """SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'),
+                          lambda x: chr(CAST(('0x' || x) AS INTEGER))), '') AS text FROM documents"""
 
 SQL_SENTENCES = f"""
   SELECT doc_id, CAST(idx AS BIGINT) AS idx,
-         CAST(coalesce(sum(strlen(s) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-         CAST(strlen(s) AS BIGINT) AS len
+         CAST(coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+         CAST(length(s) AS BIGINT) AS len
   FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS idx
         FROM (SELECT doc_id, string_split(regexp_replace(rtrim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)),
                                                          '([^A-Z]\\.) ([^a-z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ss
-              FROM ({SQL_ASCII_DOCS})))
+              FROM ({SQL_BYTE_DOCS})))
 """
 
 
-def _ascii_docs(spark, sf):
-    documents = load(spark, sf, "documents")
-    a = documents.filter(F.octet_length("text") == F.length("text"))
-    return a, docs_from_documents(a)
-
-
 @query("fn1_sentences", SQL_SENTENCES)
 def q_sentences(spark, sf):
-    """FN1 on documents whose bytes are all ASCII (DuckDB has no byte view)."""
-    _, docs = _ascii_docs(spark, sf)
+    """FN1 over all documents, by bytes."""
+    docs = docs_from_documents(load(spark, sf, "documents"))
     s = se.split_sentences(docs)
     return s.select("doc_id", _long("idx").alias("idx"), _long("start").alias("start"), _long("len").alias("len"))
 
 
 @query("jn3_clip_sentences", f"""
-  WITH s AS ({SQL_SENTENCES}), g AS (SELECT g.* FROM ({SQL_GOLD}) g JOIN ({SQL_ASCII_DOCS}) USING (doc_id))
+  WITH s AS ({SQL_SENTENCES}), g AS ({SQL_GOLD})
   SELECT s.doc_id, s.idx, count(*) AS n_spans, CAST(sum(g.start - s.start) AS BIGINT) AS sum_start
   FROM s JOIN g ON g.doc_id = s.doc_id AND g.start >= s.start AND g.start < s.start + s.len
                 AND g.start + g.len <= s.start + s.len
   GROUP BY s.doc_id, s.idx
 """)
 def q_clip_sentences(spark, sf):
-    a, docs = _ascii_docs(spark, sf)
-    c = se.clip_to_sentences(se.split_sentences(docs), gold_spans(a))
+    documents = load(spark, sf, "documents")
+    c = se.clip_to_sentences(se.split_sentences(docs_from_documents(documents)), gold_spans(documents))
     return c.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("n_spans"),
                                           _long(F.sum("start")).alias("sum_start")).select(
         "doc_id", _long("idx").alias("idx"), "n_spans", "sum_start")
@@ -597,8 +593,8 @@ def _emission_windows(spark, sf):
     over the padded byte ids (a deterministic stand-in for a scorer)."""
     _, docs, _ = _base(spark, sf)
     w = wn.make_windows(docs, W, S).select("doc_id", "win", "n", wn.byte_ids("text", W).alias("ids"))
-    return w.select("doc_id", "win", "n", F.transform("ids", lambda b: F.transform(
-        F.sequence(F.lit(1), F.lit(N_TAGS)), lambda j: ((b * j) % 7) / 7.0)).alias("scores"))
+    return w.select("doc_id", "win", "n", F.transform("ids", lambda b: F.array(
+        *[((b * j) % 7) / 7.0 for j in range(1, N_TAGS + 1)])).alias("scores"))
 
 
 SQL_DOC_BYTES = """
@@ -683,14 +679,15 @@ SQL_DOC_IOBES = f"""
   WITH {SQL_DOC_IOBES},
   pr AS (SELECT coalesce(lag(tag) OVER (PARTITION BY doc_id ORDER BY p), '<START>') AS prev, tag AS next FROM t
          UNION ALL SELECT arg_max(tag, p), '<END>' FROM t GROUP BY doc_id)
-  SELECT prev, next, count(*) AS n FROM pr GROUP BY prev, next
+  , c AS (SELECT prev, next, count(*) AS n FROM pr GROUP BY prev, next)
+  SELECT prev, next, n, round(ln((n + 1.0) / (sum(n) OVER (PARTITION BY prev) + (SELECT count(DISTINCT next) FROM c))), 9) AS logp FROM c
 """)
 def q_tag_bigrams(spark, sf):
     """AGG17: start / transition / end counts of document IOBES gold tags."""
     from ..operators import crf
     _, docs, gold = _base(spark, sf)
     d = rt.doc_tags(docs, gold).select(tg.to_iobes("tags").alias("tags"))
-    return crf.tag_bigrams(d, "tags")
+    return crf.tag_bigrams(d, "tags").withColumn("logp", F.round("logp", 9))
 
 
 SQL_EPOCH_F1 = f"""
@@ -707,10 +704,9 @@ SQL_EPOCH_F1 = f"""
 
 def _epoch_f1(spark, sf):
     documents, docs, gold = _base(spark, sf)
-    ep = documents.select("doc_id", F.substring("source", 4, 10).cast("long").alias("epoch"))
+    ep = documents.select("doc_id", F.expr("substring(source, 4)").cast("long").alias("epoch"))
     g = gold.join(ep, "doc_id")
     p = pred_spans(gold).join(ep, "doc_id")
-    counts = ev.match_chunks(g, p, keys=("epoch", "doc_id")) if False else None  # noqa: F841
     k = ["doc_id", "start", "len", "type"]
     j = (g.select(*k, "epoch").withColumn("_g", F.lit(1))
          .join(p.select(*k, "epoch").withColumn("_p", F.lit(1)), k + ["epoch"], "full_outer"))
@@ -811,26 +807,64 @@ def _eq(k):
 
 @query("ml3_viterbi")
 def q_viterbi(spark, sf):
-    """ML3: Viterbi paths of every window's emissions (Arrow UDF); per
-    document the number of positions per decoded tag."""
+    """ML3: Viterbi paths of every window's emissions; per document the number
+    of positions per decoded tag."""
+    from ..operators import crf
+    e = crf.viterbi(_emission_windows(spark, sf), "scores", U_TEST, B_START, B_END, "path")
+    n = lambda k: F.size(F.filter("path", lambda y: y == k))
+    return e.groupBy("doc_id").agg(*[_long(F.sum(n(k))).alias(f"n_tag{k}") for k in range(N_TAGS)])
+
+
+def _sql_forward(step: str, last: str) -> str:
+    """Forward recursion over a window's positions, one row per position."""
+    x = lambda t, j: f"((bl[{t}] * {j + 1}) % 7) / 7.0"
+    first = ", ".join(f"{x(1, j)} + {float(B_START[j])}" for j in range(N_TAGS))
+    nxt = ", ".join(step.format(*(f"s[{i + 1}] + {float(U_TEST[i][j])}" for i in range(N_TAGS))) + f" + {x('p + 1', j)}" for j in range(N_TAGS))
+    end = last.format(*(f"s[{i + 1}] + {float(B_END[i])}" for i in range(N_TAGS)))
+    return f"""
+  WITH RECURSIVE w AS (SELECT doc_id, win, n, list(b ORDER BY p) AS bl FROM
+                         (SELECT q.*, v.n FROM ({SQL_POSITIONS}) q JOIN ({SQL_WINDOWS}) v USING (doc_id, win)) GROUP BY ALL),
+  r(doc_id, win, n, p, bl, s) AS (SELECT doc_id, win, n, 1, bl, [{first}] FROM w
+    UNION ALL SELECT doc_id, win, n, p + 1, bl, [{nxt}] FROM r WHERE p < {W}),
+  f AS (SELECT doc_id, win, n, p, {end} AS z FROM r)
+"""
+
+
+@query("ml3_viterbi_energy", _sql_forward("greatest({}, {}, {}, {}, {})", "greatest({}, {}, {}, {}, {})") + f"""
+  SELECT a.doc_id, count(*) AS n_windows, round(sum(a.z), 4) AS best, round(sum(b.z), 4) AS best_masked
+  FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.win = b.win AND a.p = {W} AND b.p = b.n GROUP BY a.doc_id
+""")
+def q_viterbi_energy(spark, sf):
+    """ML3 + ML4 + ML8: energies of the decoded paths, unmasked and over a
+    window's own bytes; both are maxima over all paths."""
     from ..operators import crf
     e = crf.viterbi(_emission_windows(spark, sf), "scores", U_TEST, B_START, B_END, "path")
-    # per-window tag counts in a second Arrow UDF: the aggregate then only
-    # reads array elements (a Python UDF inside a lambda cannot be extracted)
-    e = e.select("doc_id", crf.tag_counts_udf(N_TAGS)(F.col("path")).alias("c"))
-    return e.groupBy("doc_id").agg(*[_long(F.sum(F.col("c")[k])).alias(f"n_tag{k}") for k in range(N_TAGS)])
+    e = crf.viterbi(e, "scores", U_TEST, B_START, B_END, "masked", mask="n")
+    e = e.withColumn("masked", F.slice("masked", F.lit(1), F.col("n")))
+    e = e.withColumn("a", crf.path_energy("path", "scores", U_TEST, B_START, B_END))
+    e = e.withColumn("b", crf.path_energy("masked", "scores", U_TEST, B_START, B_END))
+    return e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"), F.round(F.sum("a"), 4).alias("best"),
+                                   F.round(F.sum("b"), 4).alias("best_masked"))
+
 
+_LSE = "ln(exp({}) + exp({}) + exp({}) + exp({}) + exp({}))"
 
-@query("ml6_log_likelihood")
+
+@query("ml6_log_likelihood", _sql_forward(_LSE, _LSE) + f"""
+  SELECT a.doc_id, CAST(a.win AS BIGINT) AS win, round(a.z, 6) AS logz, round(e.energy - a.z, 6) AS ll, round(b.z, 6) AS logz_masked
+  FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.win = b.win AND a.p = {W} AND b.p = b.n
+       JOIN ({SQL_ENERGY}) e ON a.doc_id = e.doc_id AND a.win = e.win
+""")
 def q_log_likelihood(spark, sf):
     """ML5 + ML6 (+ ML8 masked): log partition and log-likelihood of the
     argmax path per window."""
     from ..operators import crf
-    e = _energies(spark, sf)
+    e = _emission_windows(spark, sf).withColumn("y", an.argmax_tag("scores"))
+    e = crf.log_likelihood(e, "y", "scores", U_TEST, B_START, B_END)
     e = crf.log_partition(e, "scores", U_TEST, B_START, B_END, "logz")
     e = crf.log_partition(e, "scores", U_TEST, B_START, B_END, "logz_masked", mask="n")
-    return e.select("doc_id", "win", F.round("logz", 6).alias("logz"),
-                    F.round(F.col("energy") - F.col("logz"), 6).alias("ll"), F.round("logz_masked", 6).alias("logz_masked"))
+    return e.select("doc_id", _long("win").alias("win"), F.round("logz", 6).alias("logz"),
+                    F.round("ll", 6).alias("ll"), F.round("logz_masked", 6).alias("logz_masked"))
 
 
 @query("agg14_learn_bpe")

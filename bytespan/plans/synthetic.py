@@ -56,7 +56,7 @@ def words(documents: DataFrame, text: str = "text") -> DataFrame:
     d = documents.select("doc_id", v.alias("_v"))
     d = d.select("doc_id", "_v", chars("_v").alias("_ch"))
     d = d.select("doc_id", F.split("_v", " ").alias("_w"),
-                 F.filter(F.sequence(F.lit(0), F.size("_ch") - 1),
+                 F.filter(F.slice(F.sequence(F.lit(0), F.greatest(F.size("_ch"), F.lit(1)) - 1), F.lit(1), F.size("_ch")),
                           lambda p: F.col("_ch")[p] == " ").alias("_sp"))
     z = F.transform("_w", lambda w, i: F.struct(
         i.alias("i"),

@@ -13,24 +13,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.annotations import format_triples
-from ..functions.bytes import latin1
+from ..functions.bytes import chars, from_latin1, latin1
 from ..operators import spans as sp
 
 
 def _ordered_text(df: DataFrame, key: str, col: str, out: str, parts: int | None = None):
-    n = parts or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    (df.repartitionByRange(n, key).sortWithinPartitions(key).select(col)
+    """Without ``parts`` their number follows the data (adaptive execution)."""
+    dealt = df.repartitionByRange(parts, key) if parts else df.repartitionByRange(key)
+    (dealt.sortWithinPartitions(key).select(col)
      .write.mode("overwrite").option("lineSep", "\n").text(out))
 
 
+def _raw(view):
+    """Latin-1 view -> string column with the same bytes, valid UTF-8 or not."""
+    return from_latin1(view).cast("string")
+
+
 def write_src_tgt(docs: DataFrame, spans: DataFrame, out: str):
     """SNK1: ``<out>/src`` one document per line; ``<out>/tgt`` its triples,
     greatest offset first."""
     nested = sp.nest_spans(spans)
     j = docs.join(nested, "doc_id", "left")
-    j = j.select("doc_id", latin1("body").alias("_v"),
+    j = j.select("doc_id", F.col("body").cast("string").alias("v"),
                  F.coalesce(format_triples("spans"), F.lit("")).alias("_t"))
-    _ordered_text(j.select("doc_id", F.decode(F.encode("_v", "ISO-8859-1"), "UTF-8").alias("v")), "doc_id", "v",
+    _ordered_text(j, "doc_id", "v",
                   os.path.join(out, "src"))
     _ordered_text(j, "doc_id", "_t", os.path.join(out, "tgt"))
 
@@ -38,7 +44,7 @@ def write_src_tgt(docs: DataFrame, spans: DataFrame, out: str):
 def byte_iob_lines(docs: DataFrame, tags: str = "tags", space_token: str = "<SPACE>") -> DataFrame:
     """SNK2 body: per document ``<byte> <tag>`` lines plus a blank line."""
     v = F.translate(latin1("body"), "\n", " ")
-    d = docs.select("doc_id", F.split(v, "").alias("_c"), tags)
+    d = docs.select("doc_id", chars(v).alias("_c"), tags)
     lines = F.transform(F.arrays_zip(F.col("_c").alias("b"), F.col(tags).alias("t")), lambda z: F.concat(
         F.when(z["b"] == " ", F.lit(space_token)).otherwise(z["b"]), F.lit(" "), z["t"]))
     return d.select("doc_id", F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
@@ -47,7 +53,7 @@ def byte_iob_lines(docs: DataFrame, tags: str = "tags", space_token: str = "<SPA
 def write_byte_iob(docs_with_tags: DataFrame, out: str, space_token: str = "<SPACE>"):
     """SNK2: byte-IOB file (``docs_with_tags`` has body and tags)."""
     lines = byte_iob_lines(docs_with_tags, "tags", space_token)
-    lines = lines.select("doc_id", F.decode(F.encode("text", "ISO-8859-1"), "UTF-8").alias("text"))
+    lines = lines.select("doc_id", _raw("text").alias("text"))
     _ordered_text(lines, "doc_id", "text", out)
 
 
@@ -70,20 +76,39 @@ def ordinal_to_byte_iob(df: DataFrame, b: str = "b", tag: str = "tag", space_tok
     return df.withColumn("line", F.concat(F.when(F.col(b) == 32, F.lit(space_token)).otherwise(ch), F.lit(" "), F.col(tag)))
 
 
+def write_byte_iob_rows(df: DataFrame, out: str, order: str = "pos"):
+    """SNK4 writer: the ``line`` column (Latin-1 view), in order, as bytes."""
+    _ordered_text(df.select(order, _raw("line").alias("line")), order, "line", out)
+
+
 def probs_vectors_lines(pred: DataFrame, text: str = "text", prob: str = "prob", vec: str = "vec") -> DataFrame:
     """SNK5: ``text<TAB>prob<TAB>vector`` (tabs in text become spaces)."""
     return pred.select("doc_id", F.concat_ws("\t", F.translate(text, "\t", " "), F.col(prob).cast("string"),
                                              F.array_join(F.transform(vec, lambda x: x.cast("string")), " ")).alias("line"))
 
 
+def write_probs_vectors(pred: DataFrame, out: str, **cols):
+    """SNK5 writer."""
+    _ordered_text(probs_vectors_lines(pred, **cols), "doc_id", "line", out)
+
+
 def conll_lines(pairs: DataFrame, byte: str = "byte") -> DataFrame:
-    """SNK6: ``byte gold pred`` lines (scorer input), blank line per doc."""
+    """SNK6: ``byte gold pred`` lines (scorer input)."""
     return pairs.select("doc_id", "pos", F.concat_ws(" ", F.col(byte).cast("string"), "gold", "pred").alias("line"))
 
 
+def write_conll(pairs: DataFrame, out: str, byte: str = "byte"):
+    """SNK6 writer: a blank line ends every document."""
+    lines = conll_lines(pairs, byte)
+    ends = lines.groupBy("doc_id").agg((F.max("pos") + 1).alias("pos")).withColumn("line", F.lit(""))
+    every = lines.unionByName(ends)
+    (every.repartitionByRange("doc_id", "pos").sortWithinPartitions("doc_id", "pos").select("line")
+     .write.mode("overwrite").option("lineSep", "\n").text(out))
+
+
 def write_scores(scores: DataFrame, out: str, run_id: str):
-    """SNK7: append a score table keyed by run id."""
-    scores.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(out)
+    """SNK7: the score table of a run; writing a run again replaces it."""
+    scores.write.mode("overwrite").parquet(f"{out}/run_id={run_id}")
 
 
 def write_triples(docs: DataFrame, spans: DataFrame, out: str):
@@ -108,4 +133,4 @@ def render_text(byte_rows: DataFrame, b: str = "b", pos: str = "pos") -> DataFra
     """SNK10: ordinal byte rows -> readable text per sample."""
     g = byte_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(pos, b))).alias("_r"))
     hexs = F.array_join(F.transform("_r", lambda x: F.lpad(F.hex(x[b]), 2, "0")), "")
-    return g.select("doc_id", F.make_valid_utf8(F.decode(F.unhex(hexs), "UTF-8")).alias("text"))
+    return g.select("doc_id", F.make_valid_utf8(F.unhex(hexs).cast("string")).alias("text"))

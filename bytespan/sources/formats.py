@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.annotations import parse_triples
-from ..functions.bytes import latin1
+from ..functions.bytes import chars, from_latin1, latin1
 from ..operators import tags as tg
 from .text import read_lines
 
@@ -24,9 +26,10 @@ def read_src_tgt(spark: SparkSession, src: str, tgt: str, strict: bool = False):
     t = read_lines(spark, tgt).select(F.col("line_no").alias("doc_id"), "line")
     how = "full_outer" if strict else "inner"
     j = docs.join(t, "doc_id", how)
-    if strict:
-        j = j.withColumn("_ok", F.assert_true(F.col("body").isNotNull() & F.col("line").isNotNull(),
-                                              "src and tgt differ in length")).drop("_ok")
+    if strict:   # the check is part of both columns, so no projection drops it
+        ok, fail = F.col("body").isNotNull() & F.col("line").isNotNull(), F.raise_error(F.lit("src and tgt differ in length"))
+        j = j.select("doc_id", F.when(ok, F.col("body")).otherwise(fail.cast("binary")).alias("body"),
+                     F.when(ok, F.col("line")).otherwise(fail.cast("string")).alias("line"))
     spans = (j.select("doc_id", F.posexplode_outer(parse_triples("line")).alias("ord", "s"))
              .filter(F.col("s").isNotNull())
              .select("doc_id", "ord", "s.start", "s.len", "s.type"))
@@ -42,50 +45,60 @@ def _sentences(lines: DataFrame) -> DataFrame:
             .filter(F.col("_blank") == 0).drop("_blank"))
 
 
+def _byte_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines in the Latin-1 view: one character per byte."""
+    return read_lines(spark, path, binary=True).withColumn("line", latin1("line"))
+
+
 def read_byte_iob(spark: SparkSession, path: str, space_token: str = "<SPACE>", stray: str = "error"):
     """SRC3: ``<byte> <tag>`` per line, blank line between samples.  The tag
     is the last field; the byte is the rest of the line (so whitespace bytes
     other than space survive), ``space_token`` is a space."""
-    s = _sentences(read_lines(spark, path))
-    s = s.select("file", "sent", "line_no",
-                 F.regexp_extract("line", r"^(.*) (\S+)$", 1).alias("b"),
-                 F.regexp_extract("line", r"^(.*) (\S+)$", 2).alias("tag"))
+    s = _sentences(_byte_lines(spark, path))
+    pattern = r"(?s)^(.*) (\S+)$"
+    line = F.when(F.col("line").rlike(pattern), F.col("line")).otherwise(
+        F.raise_error(F.concat(F.lit("not a byte and a tag: line "), F.col("line_no"))).cast("string"))
+    s = s.select("file", "sent", "line_no", line.alias("line"))
+    s = s.select("file", "sent", "line_no", F.regexp_extract("line", pattern, 1).alias("b"),
+                 F.regexp_extract("line", pattern, 2).alias("tag"))
     s = s.withColumn("b", F.when(F.col("b") == space_token, F.lit(" ")).otherwise(F.col("b")))
     g = (s.groupBy("file", "sent").agg(F.array_sort(F.collect_list(F.struct("line_no", "b", "tag"))).alias("_r"))
          .select("file", "sent", F.array_join(F.transform("_r", lambda x: x["b"]), "").alias("text"),
                  F.transform("_r", lambda x: x["tag"]).alias("tags")))
     g = tg.with_spans(g, "tags", "spans", stray)
-    return g.select("file", F.col("sent").alias("doc_id"), F.encode("text", "UTF-8").alias("body"), "tags", "spans")
+    return g.select("file", F.col("sent").alias("doc_id"), from_latin1("text").alias("body"), "tags", "spans")
 
 
 def read_word_iob(spark: SparkSession, path: str, stray: str = "error"):
     """SRC4: word-IOB (first field = word, last field = tag); words are
     joined by one space and spans are byte offsets of the joined text."""
-    s = _sentences(read_lines(spark, path))
+    s = _sentences(_byte_lines(spark, path))
     s = s.select("file", "sent", "line_no", F.split(F.trim("line"), r"\s+").alias("f"))
     s = s.select("file", "sent", "line_no", F.col("f")[0].alias("word"), F.element_at("f", -1).alias("tag"))
     g = s.groupBy("file", "sent").agg(F.array_sort(F.collect_list(F.struct("line_no", "word", "tag"))).alias("_r"))
     g = g.select("file", "sent", F.array_join(F.transform("_r", lambda x: x["word"]), " ").alias("text"),
                  F.transform("_r", lambda x: x["tag"]).alias("wtags"),
-                 F.transform("_r", lambda x: F.octet_length(x["word"])).alias("wlen"))
+                 F.transform("_r", lambda x: F.length(x["word"])).alias("wlen"))
     # word-level spans, then word -> byte offsets (start = sum of len + 1 before)
     g = g.withColumn("tags", F.col("wtags"))
     g = tg.with_spans(g, "tags", "wspans", stray)
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("wlen"), F.lit(1)) - 1),
-                         lambda i: F.aggregate(F.slice("wlen", 1, i), F.lit(0), lambda a, b: a + b + 1))
-    g = g.withColumn("_st", starts)
+    # word starts are the places after the spaces of the joined text: one pass
+    at = F.slice(F.sequence(F.lit(0), F.greatest(F.length("text"), F.lit(1)) - 1), F.lit(1), F.length("text"))
+    spaces = F.filter(F.transform(F.arrays_zip(at.alias("p"), chars("text").alias("c")),
+                                  lambda z: F.when(z["c"] == " ", z["p"] + 1)), lambda x: x.isNotNull())
+    g = g.withColumn("_st", F.concat(F.array(F.lit(0)), spaces))
     spans = F.transform("wspans", lambda s: F.struct(
         F.col("_st")[s["start"]].alias("start"),
         (F.col("_st")[s["start"] + s["len"] - 1] + F.col("wlen")[s["start"] + s["len"] - 1]
          - F.col("_st")[s["start"]]).alias("len"), s["type"].alias("type")))
-    return g.select("file", F.col("sent").alias("doc_id"), F.encode("text", "UTF-8").alias("body"),
+    return g.select("file", F.col("sent").alias("doc_id"), from_latin1("text").alias("body"),
                     spans.alias("spans"))
 
 
 def read_ordinal_iob(spark: SparkSession, path: str, ordinal: bool = True, stray: str = "begin"):
     """SRC5: ``97 O`` / ``97,12,3 B-x``: the byte is the first comma-separated
     id; the non-ordinal variant reads a one-field line as a space."""
-    s = _sentences(read_lines(spark, path))
+    s = _sentences(_byte_lines(spark, path))
     f = F.split(F.trim("line"), " ")
     s = s.select("file", "sent", "line_no", f.alias("f"))
     if ordinal:
@@ -106,7 +119,7 @@ def read_conll(spark: SparkSession, path: str, delimiter: str = " ", o_tag: str
     boundaries.  Returns one row per sequence with gold / pred arrays."""
     from ..operators.evaluate import BOUNDARY, normalize_tag
     lines = read_lines(spark, path)
-    f = F.split("line", delimiter)
+    f = F.split("line", re.escape(delimiter))   # the delimiter is text, not a pattern
     s = lines.select("file", "line_no", f.alias("f"), "line")
     bnd = (F.length("line") == 0) | (F.col("f")[0] == BOUNDARY)
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -115,7 +128,8 @@ def read_conll(spark: SparkSession, path: str, delimiter: str = " ", o_tag: str
                  normalize_tag(F.element_at("f", -1), o_tag, raw).alias("pred"), F.size("f").alias("nf"))
     g = s.groupBy("file", "sent").agg(F.array_sort(F.collect_list(F.struct("line_no", "gold", "pred"))).alias("_r"),
                                       F.min("nf").alias("_a"), F.max("nf").alias("_z"))
-    g = g.withColumn("_chk", F.assert_true(F.col("_a") == F.col("_z"), "unexpected number of features")).drop("_chk")
+    fail = F.raise_error(F.lit("unexpected number of features"))
+    g = g.withColumn("_r", F.when(F.col("_a") == F.col("_z"), F.col("_r")).otherwise(fail.cast(g.schema["_r"].dataType)))
     return g.select("file", F.col("sent").alias("doc_id"), F.transform("_r", lambda x: x["gold"]).alias("gold"),
                     F.transform("_r", lambda x: x["pred"]).alias("pred"))
 

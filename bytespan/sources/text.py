@@ -3,8 +3,8 @@
 ``spark.read.text`` with ``lineSep='\\n'`` keeps ``\\r`` and invalid UTF-8
 bytes (cast the value to binary).  Line numbers without a single-task
 window: ``monotonically_increasing_id`` encodes (split, row in split);
-per-split counts (one row per file split) are prefix-summed per file and
-added to the row's position inside its split.
+counts per block of a file are prefix-summed and added to the row's position
+inside its block (its id less the least id of the block).
 """
 
 from __future__ import annotations
@@ -12,6 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
+#: File blocks whose offsets are broadcast; with more the join shuffles.
+BROADCAST_BLOCKS = 100_000
+
 
 def read_lines(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
     """-> ``file, line_no (0-based per file), line`` (string, or binary)."""
@@ -19,11 +24,14 @@ def read_lines(spark: SparkSession, path: str, binary: bool = False) -> DataFram
            .select(F.col("value"), F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_block_start").alias("_blk"),
                    F.monotonically_increasing_id().alias("_m")))
-    raw = raw.withColumn("_pid", F.shiftright("_m", 33)).withColumn(
-        "_loc", F.col("_m") - F.shiftleft(F.col("_pid"), 33))
-    counts = raw.groupBy("file", "_blk", "_pid").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy("file").orderBy("_blk", "_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("file", "_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_o"))
-    out = raw.join(F.broadcast(offs), ["file", "_pid"])   # one row per file split
+    # the rows of one block of a file are consecutive in their task, whatever
+    # else the task reads
+    ensure_checkpoint_dir(spark)
+    blocks = raw.groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_first"))
+    w = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = blocks.select("file", "_blk", (F.coalesce(F.sum("_c").over(w), F.lit(0)) - F.col("_first")).alias("_o")).checkpoint()
+    if offs.count() <= BROADCAST_BLOCKS:
+        offs = F.broadcast(offs)
+    out = raw.join(offs, ["file", "_blk"])
     line = F.col("value").cast("binary") if binary else F.col("value")
-    return out.select("file", (F.col("_o") + F.col("_loc")).cast("long").alias("line_no"), line.alias("line"))
+    return out.select("file", (F.col("_o") + F.col("_m")).cast("long").alias("line_no"), line.alias("line"))
