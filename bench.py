@@ -31,12 +31,17 @@ HEADLINE = [
     "win9_split",
     "fn12_token_tags",
     "ml4_path_energy",
+    "ml3_viterbi",
+    "ml6_log_likelihood",
+    "jn7_word_embedding_ids",
 ]
 
 
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = get_spark()
+    # the bench tables are one row group each: without this every text scan is one task
+    spark.conf.set("spark.bytespan.spread", os.environ.get("BENCH_CPUS", "8"))
     warm = "/root/testdata/sf0.001"
     if os.path.isdir(warm):
         Q.REGISTRY["agg5_chunk_scores"](spark, warm).write.format("noop").mode("overwrite").save()

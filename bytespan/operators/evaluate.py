@@ -76,9 +76,11 @@ def with_chunks(df: DataFrame, tags: str, out: str = "chunks") -> DataFrame:
         p, ty = split_tag(t[i])
         return chunk_start(pp, p, pt, ty), chunk_end(pp, p, pt, ty), ty
 
-    d = d.withColumn("_br", F.transform(F.filter(F.col("_cand"), lambda i: flags(i)[0] | flags(i)[1]),
-                                        lambda i: F.struct(i.alias("i"), flags(i)[0].alias("s"),
-                                                           flags(i)[2].alias("ty"))))
+    def rules(i):   # both rules once per candidate
+        s, e, ty = flags(i)
+        return F.struct(i.alias("i"), s.alias("s"), e.alias("e"), ty.alias("ty"))
+
+    d = d.withColumn("_br", F.filter(F.transform(F.col("_cand"), rules), lambda x: x["s"] | x["e"]))
     b_ = F.col("_br")
     nxt = lambda j: F.when(j + 1 < F.size(b_), b_[j + 1]["i"]).otherwise(n)
     out_c = F.transform(b_, lambda b, j: F.when(
@@ -142,6 +144,22 @@ def scores_by_type(counts: DataFrame, digits: int | None = None) -> DataFrame:
     return chunk_scores(counts, digits).filter(F.col("type").isNotNull()).orderBy("type")
 
 
+def pair_segments(df: DataFrame, gold: str = "gold", pred: str = "pred", keys=("doc_id",)) -> DataFrame:
+    """Runs of equal (gold, pred) of a row as rows with their length ``n``: what
+    the token scores need, without a row per byte."""
+    g, p = F.col(gold), F.col(pred)
+    size = F.greatest(F.size(g), F.size(p))
+    at = F.slice(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), F.lit(1), size)
+    same = lambda a, i: F.get(a, i).eqNullSafe(F.get(a, i - 1))
+    heads = F.filter(at, lambda i: (i == 0) | ~(same(g, i) & same(p, i)))
+    d = df.select(*keys, g.alias("_g"), p.alias("_p"), size.alias("_n"), heads.alias("_h"))
+    h = F.col("_h")
+    seg = F.transform(h, lambda i, k: F.struct(
+        F.get(F.col("_g"), i).alias("gold"), F.get(F.col("_p"), i).alias("pred"),
+        (F.coalesce(F.get(h, k + 1), F.col("_n")) - i).cast("long").alias("n")))
+    return d.select(*keys, F.inline_outer(seg)).filter(F.col("n").isNotNull())
+
+
 def position_pairs(df: DataFrame, gold: str = "gold", pred: str = "pred", keys=("doc_id",)) -> DataFrame:
     """Per-position (gold, pred) rows from two tag arrays of a row."""
     return (df.select(*keys, F.posexplode_outer(F.arrays_zip(F.col(gold).alias("g"), F.col(pred).alias("p")))
@@ -151,17 +169,24 @@ def position_pairs(df: DataFrame, gold: str = "gold", pred: str = "pred", keys=(
 
 
 def token_accuracy(pairs: DataFrame) -> DataFrame:
-    """AGG7: fraction of positions whose tags are equal (boundaries excluded)."""
-    ok = F.when(F.col("gold") == F.col("pred"), 1).otherwise(0)
+    """AGG7: fraction of positions whose tags are equal (boundaries excluded),
+    from position pairs or segments."""
+    n = _weight(pairs)
+    total, equal = F.sum(n), F.sum(F.when(F.col("gold") == F.col("pred"), n).otherwise(0))
     return pairs.filter(F.col("gold") != BOUNDARY).agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.sum(ok).cast("long").alias("n_equal"),
-        (100.0 * F.avg(ok)).alias("accuracy"))
+        F.coalesce(total, F.lit(0)).cast("long").alias("n_tokens"), equal.cast("long").alias("n_equal"),
+        (100.0 * equal / total).alias("accuracy"))
+
+
+def _weight(pairs: DataFrame) -> Column:
+    """Positions a row stands for: ``n`` of ``pair_segments``, else one."""
+    return F.col("n") if "n" in pairs.columns else F.lit(1).cast("long")
 
 
 def confusion(pairs: DataFrame, wide: bool = False, labels: list[str] | None = None) -> DataFrame:
     """AGG8: count[gold, pred] with row totals and row percent
     ``100 * diag / max(1, row)``; ``wide`` pivots pred into columns."""
-    c = pairs.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    c = pairs.groupBy("gold", "pred").agg(F.sum(_weight(pairs)).alias("n"))
     if wide:
         return c.groupBy("gold").pivot("pred", labels).agg(F.sum("n")).na.fill(0)
     return c

@@ -270,7 +270,7 @@ def _pairs(spark, sf):
     _, docs, gold = _base(spark, sf)
     g = rt.doc_tags(docs, gold).select("doc_id", F.col("tags").alias("gold"))
     p = rt.doc_tags(docs, pred_spans(gold)).select("doc_id", F.col("tags").alias("pred"))
-    return ev.position_pairs(g.join(p, "doc_id"), "gold", "pred")
+    return ev.pair_segments(g.join(p, "doc_id"), "gold", "pred")
 
 
 @query("agg7_token_accuracy", f"""

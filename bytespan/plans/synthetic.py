@@ -22,22 +22,22 @@ from pyspark.sql import functions as F
 from ..functions.bytes import chars, text_view, utf8_bytes
 
 
+#: Session option: partitions that text tables are dealt to after the scan.
+SPREAD = "spark.bytespan.spread"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a driver table.
+    """Read a driver table as its files are split.
 
-    Text tables are per-row heavy (whole documents), and a small table can
-    arrive as a single parquet row group, i.e. one task.  When the scan has
-    fewer partitions than the cluster has cores, the rows are spread by a
-    hash of their key (deterministic under task retry); a big input with
-    many splits is left as it is.
+    A table in one parquet row group is one task; a session that reads such
+    files can set ``SPREAD`` to deal rows of text tables out by their key.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = {"documents": "doc_id", "conversations": "conv_id", "benchmark": "item_id",
            "pages": "page_id"}.get(name)
-    if key is not None:
-        par = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            df = df.repartition(par, key)
+    parts = spark.conf.get(SPREAD, None)
+    if key is not None and parts:
+        df = df.repartition(int(parts), key)
     return df
 
 
