@@ -144,6 +144,17 @@ def scores_by_type(counts: DataFrame, digits: int | None = None) -> DataFrame:
     return chunk_scores(counts, digits).filter(F.col("type").isNotNull()).orderBy("type")
 
 
+def join_gold_pred(gold: DataFrame, pred: DataFrame, keys=("doc_id", "pos"), tag: str = "tag") -> DataFrame:
+    """JN8: position rows of two taggings side by side.  A position that one
+    side lacks raises; rows without a tag stay boundaries on both sides."""
+    g, p = gold.select(*keys, F.col(tag).alias("_g"), F.lit(True).alias("_in_g")), pred.select(*keys, F.col(tag).alias("_p"), F.lit(True).alias("_in_p"))
+    j = g.join(p, list(keys), "full_outer")
+    fail = F.raise_error(F.lit("gold and predicted positions differ")).cast("string")
+    both = F.col("_in_g").isNotNull() & F.col("_in_p").isNotNull()
+    return j.select(*keys, F.when(both, F.coalesce("_g", F.lit(BOUNDARY))).otherwise(fail).alias("gold"),
+                    F.when(both, F.coalesce("_p", F.lit(BOUNDARY))).otherwise(fail).alias("pred"))
+
+
 def pair_segments(df: DataFrame, gold: str = "gold", pred: str = "pred", keys=("doc_id",)) -> DataFrame:
     """Runs of equal (gold, pred) of a row as rows with their length ``n``: what
     the token scores need, without a row per byte."""

@@ -53,8 +53,8 @@ def to_iob2(tags) -> Column:
     """WIN2: IOB1 -> IOB2. ``I-x`` at the start, after ``O`` or after a
     different type becomes ``B-x`` (null when the sequence is invalid).
 
-    The reference rewrites in place, so "previous" means the already
-    rewritten tag; only the prefix changes, and the comparison looks at the
+    Rewriting happens in place, so "previous" means the already rewritten
+    tag; only the prefix changes, and the comparison looks at the
     text after the first character, so using the original neighbour is the
     same.
     """
@@ -138,6 +138,15 @@ def dense_ids(df: DataFrame, order_cols, start: int = 0, name: str = "id") -> Da
     return df.withColumn(name, (F.row_number().over(w) - 1 + start).cast("int"))
 
 
+def lookup(df: DataFrame, vocab: DataFrame, col: str, key: str = "tag", value: str = "id", out: str = "id") -> DataFrame:
+    """JN4: symbol -> id by a join with a vocabulary table; a symbol that the
+    vocabulary lacks raises (in the column itself, so no projection drops it)."""
+    v = vocab.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    j = df.join(v, df[col] == v["_k"], "left")
+    missing = F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.coalesce(F.col(col).cast("string"), F.lit("null"))))
+    return j.withColumn(out, F.coalesce("_v", missing.cast(vocab.schema[value].dataType))).drop("_k", "_v")
+
+
 def tag_ids(tags, vocab: dict) -> Column:
     """JN4 for tag sequences: tag -> id via a literal map; unknown raises."""
     m = F.create_map(*[x for k, v in vocab.items() for x in (F.lit(k), F.lit(v))])

@@ -906,3 +906,95 @@ def q_byte_dropout(spark, sf):
     w = wn.make_windows(docs, W, S).select("doc_id", "win", wn.byte_ids("text", W).alias("ids"))
     d = wn.byte_dropout(w, 0.3, 123, W)
     return d.groupBy("doc_id").agg(_long(F.sum(F.size(F.filter("ids", lambda x: x == wn.DROP_ID)))).alias("n_dropped"))
+
+
+# ------------------------------------------------------------------ joins, span tokens, emissions, tagger
+
+@query("jn4_lookup", f"""
+  WITH g AS ({SQL_GOLD}), v AS (SELECT type, CAST(row_number() OVER (ORDER BY type) AS BIGINT) AS id FROM (SELECT DISTINCT type FROM g))
+  SELECT doc_id, CAST(sum(id) AS BIGINT) AS sum_ids, count(*) AS n FROM g JOIN v USING (type) GROUP BY doc_id
+""")
+def q_lookup(spark, sf):
+    """JN4: type -> id through a vocabulary table."""
+    _, _, gold = _base(spark, sf)
+    vocab = tg.dense_ids(gold.select(F.col("type").alias("tag")).distinct(), ["tag"], 1)
+    j = tg.lookup(gold, vocab, "type")
+    return j.groupBy("doc_id").agg(_long(F.sum("id")).alias("sum_ids"), F.count(F.lit(1)).alias("n"))
+
+
+@query("jn8_join_gold_pred", f"""
+  WITH {SQL_POS_DIFF} SELECT gold, pred, n FROM conf
+""")
+def q_join_gold_pred(spark, sf):
+    """JN8: gold and predicted tags as position rows, joined by position."""
+    _, docs, gold = _base(spark, sf)
+    rows = lambda spans: rt.doc_tags(docs, spans).select("doc_id", F.posexplode_outer("tags").alias("pos", "tag")).filter(F.col("pos").isNotNull())
+    return ev.confusion(ev.join_gold_pred(rows(gold), rows(pred_spans(gold))))
+
+
+@query("fn6_sle_to_iob", f"""
+  SELECT doc_id, CAST(sum(CASE WHEN len > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_b, CAST(sum(len - 1) AS BIGINT) AS n_i,
+         CAST(sum(start) AS BIGINT) AS sum_start
+  FROM ({SQL_GOLD}) WHERE len <= 4096 GROUP BY doc_id
+""")
+def q_sle_to_iob(spark, sf):
+    """FN6: spans -> span-token ids -> tokens -> IOB tags of whole documents;
+    positions of the B tags are summed."""
+    from ..operators import features as fe
+    documents, docs, gold = _base(spark, sf)
+    types, width = ["contact", "name", "number"], 1 << 24
+    d = docs.select("doc_id", F.octet_length("body").alias("n")).join(sp.nest_spans(gold.filter(F.col("len") <= 4096)), "doc_id")
+    d = d.select("doc_id", "n", fe.sle_tokens(fe.sle_ids("spans", width, {t: i for i, t in enumerate(types)}), width, types).alias("tokens"))
+    t = fe.sle_to_iob(d, "tokens", "n", types).withColumn("b", F.transform("tags", lambda x, i: F.when(x.startswith("B-"), i)))
+    return t.select("doc_id", F.size(F.filter("b", lambda x: x.isNotNull())).cast("long").alias("n_b"),
+                    F.size(F.filter("tags", lambda x: x.startswith("I-"))).cast("long").alias("n_i"),
+                    F.aggregate(F.filter("b", lambda x: x.isNotNull()), F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_start"))
+
+
+def _sql_context_scores() -> str:
+    w = lambda k, b, t: f"(({b} * {k + 1} * {t + 1}) % 11) / 22.0"
+    at = lambda k: f"coalesce(CASE WHEN p + {k} >= 0 AND p + {k} < {W} THEN bl[p + {k} + 1] END, 0)"
+    s = ", ".join(" + ".join(w(k + 3, at(k), t) for k in range(-3, 4)) + f" + {t / 4}" for t in range(N_TAGS))
+    return f"""
+  WITH w AS (SELECT doc_id, win, list(b ORDER BY p) AS bl FROM ({SQL_POSITIONS}) GROUP BY ALL),
+  x AS (SELECT doc_id, [{s}] AS s FROM (SELECT doc_id, bl, unnest(range(0, {W})) AS p FROM w))
+  SELECT doc_id, round(sum(list_max(s)), 4) AS best, round(sum(list_sum(s)), 4) AS total FROM x GROUP BY doc_id
+"""
+
+
+@query("ml2_score_windows", _sql_context_scores())
+def q_score_windows(spark, sf):
+    """ML2: emissions of every window under a stated weight table."""
+    import numpy as np
+
+    from ..operators import emissions as em
+    k, b, t = np.meshgrid(np.arange(7), np.arange(em.IDS), np.arange(N_TAGS), indexing="ij")
+    model = em.Scorer(((b * (k + 1) * (t + 1)) % 11) / 22.0, np.arange(N_TAGS) / 4)
+    _, docs, _ = _base(spark, sf)
+    w = wn.make_windows(docs, W, S).select("doc_id", wn.byte_ids("text", W).alias("ids"))
+    e = em.score(w, model, normalize=False)
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+    return (e.select("doc_id", add(F.transform("scores", lambda r: F.array_max(r))).alias("best"),
+                     add(F.transform("scores", add)).alias("total"))
+            .groupBy("doc_id").agg(F.round(F.sum("best"), 4).alias("best"), F.round(F.sum("total"), 4).alias("total")))
+
+
+@query("ml11_tag_corpus")
+def q_tag_corpus(spark, sf):
+    """ML1 + ML2 + ML3 + WIN5 + ML11: a scorer fitted on a bounded sample of
+    positions tags every document; per document the spans found."""
+    from . import tagger
+    _, docs, gold = _base(spark, sf)
+    model = tagger.train(docs, gold, ["contact", "name", "number"], W)
+    t = tagger.tag_corpus(docs, model)
+    return t.select("doc_id", F.size("tags").cast("long").alias("n_bytes"), F.size("spans").cast("long").alias("n_spans"))
+
+
+@query("ml9_sample_vectors")
+def q_sample_vectors(spark, sf):
+    """ML9: summed emission vectors of every document under the fitted scorer."""
+    from ..operators import emissions as em
+    from . import tagger
+    _, docs, gold = _base(spark, sf)
+    model = tagger.train(docs, gold, ["contact", "name", "number"], W)
+    return em.sample_vectors(tagger.scored_windows(docs, model), W)

@@ -19,6 +19,17 @@ def read_src(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("line_no").alias("doc_id"), F.col("line").alias("body"))
 
 
+def zip_lines(a: DataFrame, b: DataFrame, strict: bool = False) -> DataFrame:
+    """JN1: lines of two files by position -> line_no, a, b.  The shorter file
+    wins; ``strict`` raises on a difference in length (in both columns)."""
+    x, y = a.select("line_no", F.col("line").alias("a")), b.select("line_no", F.col("line").alias("b"))
+    if not strict:
+        return x.join(y, "line_no")
+    j = x.join(y, "line_no", "full_outer")
+    ok, fail = F.col("a").isNotNull() & F.col("b").isNotNull(), F.raise_error(F.lit("files differ in length"))
+    return j.select("line_no", *[F.when(ok, F.col(c)).otherwise(fail.cast(j.schema[c].dataType)).alias(c) for c in ("a", "b")])
+
+
 def read_src_tgt(spark: SparkSession, src: str, tgt: str, strict: bool = False):
     """SRC1 + JN1: line i of ``src`` pairs with line i of ``tgt``; the
     shorter file wins (``strict`` raises on a length mismatch)."""
