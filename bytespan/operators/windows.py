@@ -133,7 +133,7 @@ def byte_dropout(windows: DataFrame, fraction: float = 0.3, seed: int = 123,
     """WIN10: per window exactly int(fraction*W) positions are drawn; those
     that are not padding become <DROP> (256).
 
-    The draw is the int(f*W) smallest ``xxhash64(seed, doc, win, pos)``
+    The draw is the int(f*W) smallest ``md5(seed:doc:win:pos)``
     positions of the row -- deterministic, seeded, no shuffle.
     """
     k = int(fraction * W)
@@ -144,7 +144,7 @@ def byte_dropout(windows: DataFrame, fraction: float = 0.3, seed: int = 123,
     # array is looked up inside another array's lambda)
     ranked = F.transform(
         F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(W - 1)), lambda p: F.struct(
-            F.xxhash64(F.lit(seed), "doc_id", "win", p).alias("h"), p.alias("p")))),
+            F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("win").cast("string"), p.cast("string"))).alias("h"), p.alias("p")))),
         lambda s, r: F.struct(s["p"].alias("p"), (r < k).alias("d")))
     by_pos = F.array_sort(ranked)
     z = F.arrays_zip(F.col(ids).alias("x"), by_pos.alias("m"))

@@ -886,7 +886,25 @@ def q_learn_bpe(spark, sf):
                                      F.count("piece_id").alias("n_known"))
 
 
-@query("srt2_srt3_conflicts")
+def _sql_greedy(order: str, first: str, fits: str, after: str, rows: str) -> str:
+    """Greedy walk over a document's spans: kept spans and the sum of their starts."""
+    return f"""
+  (SELECT doc_id, list_reduce(list_prepend({{'s': 0, 'e': 0, 'm': {first}, 'n': 0, 't': CAST(0 AS BIGINT)}},
+            list({{'s': start, 'e': start + len, 'm': 0, 'n': 0, 't': CAST(0 AS BIGINT)}} ORDER BY {order})),
+          lambda a, x: CASE WHEN {fits} THEN {{'s': 0, 'e': 0, 'm': {after}, 'n': a.n + 1, 't': a.t + x.s}} ELSE a END) AS r
+   FROM ({rows}) GROUP BY doc_id)"""
+
+
+SQL_BOTH = f"""SELECT doc_id, start, len, ord FROM ({SQL_GOLD}) WHERE len >= 1
+  UNION ALL SELECT doc_id, start, len, ord + 1000000 FROM ({SQL_PRED}) WHERE len >= 1"""
+
+
+@query("srt2_srt3_conflicts", f"""
+  SELECT a.doc_id, CAST(a.r.n AS BIGINT) AS n_right, a.r.t AS sum_right, CAST(b.r.n AS BIGINT) AS n_left, b.r.t AS sum_left
+  FROM {_sql_greedy('start DESC, ord DESC', '2147483647', 'x.e <= a.m', 'x.s', SQL_BOTH)} a
+  JOIN {_sql_greedy('start', '-1', 'x.s >= a.m', 'x.e', f"""SELECT doc_id, start, arg_max(len, ord) AS len FROM ({SQL_BOTH})
+       GROUP BY doc_id, start""")} b ON a.doc_id = b.doc_id
+""")
 def q_conflicts(spark, sf):
     """SRT2 / SRT3: gold and shifted predicted spans overlap; per document
     the spans kept under the rightmost-first and leftmost-first rules."""
@@ -895,17 +913,27 @@ def q_conflicts(spark, sf):
     nested = sp.nest_spans(gold.unionByName(pred))
     r = sp.resolve(nested, "spans", "right", "rightmost")
     r = sp.resolve(r, "spans", "left", "leftmost")
-    return r.select("doc_id", F.size("right").cast("long").alias("n_right"), F.size("left").cast("long").alias("n_left"))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["start"])
+    return r.select("doc_id", F.size("right").cast("long").alias("n_right"), add("right").alias("sum_right"),
+                    F.size("left").cast("long").alias("n_left"), add("left").alias("sum_left"))
 
 
-@query("win10_byte_dropout")
+@query("win10_byte_dropout", f"""
+  SELECT doc_id, CAST(count(*) FILTER (WHERE b <> 0 AND r <= {int(0.3 * W)}) AS BIGINT) AS n_dropped,
+         CAST(coalesce(sum(p) FILTER (WHERE b <> 0 AND r <= {int(0.3 * W)}), 0) AS BIGINT) AS sum_pos
+  FROM (SELECT doc_id, win, p, b, row_number() OVER (PARTITION BY doc_id, win ORDER BY md5(concat_ws(':', '123', doc_id, win, p))) AS r
+        FROM ({SQL_POSITIONS})) GROUP BY doc_id
+""")
 def q_byte_dropout(spark, sf):
     """WIN10: seeded byte dropout (fraction 0.3) over padded window ids;
     per document the number of dropped positions."""
     _, docs, _ = _base(spark, sf)
     w = wn.make_windows(docs, W, S).select("doc_id", "win", wn.byte_ids("text", W).alias("ids"))
     d = wn.byte_dropout(w, 0.3, 123, W)
-    return d.groupBy("doc_id").agg(_long(F.sum(F.size(F.filter("ids", lambda x: x == wn.DROP_ID)))).alias("n_dropped"))
+    hit = F.filter(F.transform("ids", lambda x, i: F.when(x == wn.DROP_ID, i)), lambda i: i.isNotNull())
+    d = d.select("doc_id", hit.alias("hit"))
+    return d.groupBy("doc_id").agg(_long(F.sum(F.size("hit"))).alias("n_dropped"),
+                                   _long(F.sum(F.aggregate("hit", F.lit(0), lambda a, i: a + i))).alias("sum_pos"))
 
 
 # ------------------------------------------------------------------ joins, span tokens, emissions, tagger

@@ -1,9 +1,10 @@
 """Streaming ingestion of unannotated text.
 
-Windowing, byte ids and tagging are stateless per document, so a
-``readStream.text`` source feeds the same plan as the batch path; each
-micro-batch is written with ``foreachBatch`` to parquet (exactly-once via
-the checkpoint location).
+Windowing and byte ids are stateless per document, so a ``readStream.text``
+source feeds the same plan as the batch path.  Documents are keyed by a hash of
+file and line: equal lines of one file are one document, by definition.  Every
+micro-batch is written under its own number, and writing a number again
+replaces it, so a repeated batch leaves no second copy.
 """
 
 from __future__ import annotations
@@ -15,12 +16,7 @@ from ..operators import windows as wn
 
 
 def stream_windows(spark: SparkSession, src_dir: str, W: int = 150, S: int = 75) -> DataFrame:
-    """Text lines arriving in ``src_dir`` -> windows with padded byte ids.
-
-    Streaming sources have no global line order, so documents are keyed by
-    (file, xxhash64 of the line, position of the line in its micro-batch is
-    not stable) -- the key is the file path plus the line's hash.
-    """
+    """Text lines arriving in ``src_dir`` -> windows with padded byte ids."""
     lines = (spark.readStream.option("lineSep", "\n").text(src_dir)
              .select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("body")))
     docs = lines.select(F.xxhash64("file", "body").alias("doc_id"), "file", "body")
@@ -31,7 +27,7 @@ def stream_windows(spark: SparkSession, src_dir: str, W: int = 150, S: int = 75)
 def start_window_sink(df: DataFrame, out_dir: str, checkpoint: str, once: bool = True):
     """Write every micro-batch of windows to parquet."""
     def write(batch: DataFrame, epoch: int):
-        batch.write.mode("append").parquet(out_dir)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={epoch}")
     q = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if once else q
     return q.start()
