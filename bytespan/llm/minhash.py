@@ -10,10 +10,13 @@ Rows with the same shingle set are one class from the start.  A bucket of
 classes gives star-shaped edges: its members to two centres, never all pairs.
 Edges are confirmed on full shingle sets, and components are formed.  Buckets
 that still hold several components get further centres - the member with most
-confirmed links, and one drawn anew - until a round confirms nothing new.  With
-40 bands of 4, two documents at similarity 0.75 miss every bucket with
-probability 0.684^40 = 3e-7, less above it; a bucket of up to three classes is
-compared completely.
+confirmed links, and ``CENTRES`` drawn ones, four times as many in each round -
+whose edges lead to other components only.  The search ends when no bucket is
+open or every member of the open ones has been a centre, so within buckets no
+link between components is lost.  With 40 bands of 4, two documents at
+similarity 0.75 miss every bucket with probability 0.684^40 = 3e-7, less above.
+A bucket of very many classes that are all unlike each other is the costly
+case: it is compared completely, in growing rounds.
 
 Defined results: null, empty or blank text has an empty set and no link; fewer
 than five words are one shingle; rows that share a doc_id are one document
@@ -35,6 +38,7 @@ from .textarrays import mix, slices, text_buffer, window_hashes, word_arrays
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
+CENTRES = 16       # drawn centres of an open bucket in the first round; four times as many in each later one
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -152,32 +156,38 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # of rows that share the id of a class any one whose set is the class's will do
     sets = kept(full_sets(semi(documents, buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id")).filter(F.size("shingles") > 0))
     links = kept(confirmed(tried, sets).unionByName(twice).distinct())
-    comp, fresh, seed = kept(components(links)), links, 0
+    comp, fresh, centres_each = kept(components(links)), links, CENTRES
     while True:
-        seed += 1
-        # buckets that still hold several components: the member with most links, and one drawn anew
+        # buckets that still hold several components: the member with most links is a
+        # centre, and so are ``centres_each`` drawn members, all of them in small buckets
         degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("links"))
-        at = (buckets.select("bucket", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").join(degree, "doc", "left")
-              .select("bucket", "doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")))
+        at = kept(buckets.select("bucket", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").join(degree, "doc", "left")
+                  .select("bucket", "doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")))
         most = F.max(F.struct("links", F.xxhash64("doc").alias("o"), who.alias("w")))["w"]
-        drawn = F.min(F.struct(F.xxhash64("doc", "bucket", F.lit(seed)).alias("o"), who.alias("w")))["w"]
-        at = kept(at)
-        centres = kept(at.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), most.alias("c0"), drawn.alias("c1"))
-                       .filter("x <> y").select("bucket", F.array("c0", "c1").alias("c")))
-        new = kept(stars(at.select("bucket", "doc", "comp"), centres).join(tried, ["a", "b"], "left_anti"))
+        open_ = kept(at.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), most.alias("c"))
+                     .filter("x <> y").select("bucket", "size", F.array("c").alias("c")))
+        largest = open_.agg(F.max("size")).first()[0]
+        if largest is None:
+            break
+        buckets = kept(at.join(open_.select("bucket", "size"), "bucket").select("bucket", "doc", "comp", "size"))   # a closed bucket stays closed
+        drawn = buckets.filter(F.pmod(F.xxhash64("doc", "bucket"), F.lit(1 << 30)) * F.col("size") < centres_each * (1 << 30))
+        met = (buckets.join(drawn.select("bucket", F.col("doc").alias("d"), F.col("comp").alias("dc")), "bucket").filter("comp <> dc")
+               .select(F.least("doc", "d").alias("a"), F.greatest("doc", "d").alias("b")).distinct())
+        new = kept(stars(buckets.select("bucket", "doc", "comp"), open_).unionByName(met).distinct().join(tried, ["a", "b"], "left_anti"))
         fresh = kept(confirmed(new, sets).distinct())
-        if fresh.isEmpty():
+        if not fresh.isEmpty():
+            tried, links = tried.unionByName(new), links.unionByName(fresh)
+            # components of components
+            name = comp.select(F.col("node").alias("n"), F.col("component").alias("c"))
+            pair = (fresh.join(name.toDF("a", "ca"), "a", "left").join(name.toDF("b", "cb"), "b", "left")
+                    .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+            up = kept(components(pair))
+            every = comp.unionByName(up.select("node", F.col("node").alias("component"))).distinct()
+            joined = every.join(up.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+            comp = kept(joined.select("node", F.coalesce("top", "component").alias("component")).distinct())
+        if centres_each >= largest:   # every member of every open bucket has been a centre
             break
-        tried, links = tried.unionByName(new), links.unionByName(fresh)
-        buckets = at.join(centres.select("bucket"), "bucket", "left_semi")   # a closed bucket stays closed
-        # components of components
-        name = comp.select(F.col("node").alias("n"), F.col("component").alias("c"))
-        pair = (fresh.join(name.toDF("a", "ca"), "a", "left").join(name.toDF("b", "cb"), "b", "left")
-                .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        up = kept(components(pair))
-        every = comp.unionByName(up.select("node", F.col("node").alias("component"))).distinct()
-        joined = every.join(up.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
-        comp = kept(joined.select("node", F.coalesce("top", "component").alias("component")).distinct())
+        centres_each *= 4
     comp = comp.select(F.col("node").alias("rep"), "component")
     named = (own.join(comp, "rep", "left").groupBy("doc_id")
              .agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
