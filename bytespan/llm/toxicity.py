@@ -255,7 +255,7 @@ class Model:
         return 1 / (1 + np.exp(-(np.concatenate([np.zeros(0), *out]) + self.intercept)))
 
 
-def _logistic(row: np.ndarray, at: np.ndarray, y: np.ndarray, width: int, steps: int = 300) -> tuple[np.ndarray, float]:
+def _logistic(row: np.ndarray, at: np.ndarray, y: np.ndarray, width: int, steps: int = 800) -> tuple[np.ndarray, float]:
     """Weights of a logistic model with a small ridge, by scaled gradient steps."""
     w, b, n = np.zeros(width), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), max(1, len(y))
     # Adam on the mean loss
