@@ -20,8 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(documents: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text alone (null text: empty), rows without a doc_id dropped
-    by nothing: they are kept with a null id."""
+    """doc_id and text alone; null text is empty, rows without a doc_id stay."""
     return documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
