@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-#: Rows per Arrow batch for whole texts: 512 texts of 100 kB are 50 MB.
+#: Rows handled together, and rows of an Arrow batch, for whole texts: 512 texts of 100 kB are 50 MB.
 TEXT_ROWS = 512
 
 
@@ -24,6 +24,16 @@ def texts(documents: DataFrame, *more: str) -> DataFrame:
     return documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``TEXT_ROWS`` rows: the session's
+    batch size is lowered to it, since a batch of the default 10,000 long texts
+    weighs on an executor's memory on both sides."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str,
                 rows: int = TEXT_ROWS) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows, so that one slice's
@@ -37,7 +47,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa
                     continue
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, map_batches, texts
+from .common import TEXT_ROWS, map_arrow, map_batches, texts
 from .textarrays import mix, slices, text_buffer, word_arrays
 
 K1, B = 1.2, 0.75
@@ -240,5 +240,5 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     clean[[x[0] for x in _leaks(index, part)]] = False
                     yield part.filter(pa.array(clean))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = map_arrow(documents, run, documents.schema)
     return documents

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, kept, map_batches, texts
+from .common import TEXT_ROWS, kept, map_arrow, map_batches, texts
 from .textarrays import slices, text_buffer
 
 KINDS = ("email", "ip", "card", "phone")
@@ -339,5 +339,5 @@ def redacted(documents: DataFrame) -> DataFrame:
                         b = b.set_column(b.schema.get_field_index("n_chars"), "n_chars", pa.array(n, b.schema.field("n_chars").type))
                 yield b
 
-    return documents.mapInArrow(run, schema)
+    return map_arrow(documents, run, schema)
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20      # bytes of text handled together
+SLICE = 1 << 20      # bytes of text handled together
 _BLOCK = 1 << 20
 _BASE = 0x5851F42D4C957F2D
 

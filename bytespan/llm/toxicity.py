@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, kept, map_batches, texts
+from .common import TEXT_ROWS, kept, map_arrow, map_batches, texts
 from .textarrays import LOWER, SPACE, bounds, mix, run_hashes, slices, text_buffer
 
 SAMPLE = 40_000      # labelled rows that the model is fitted on, at most
@@ -86,7 +86,7 @@ def letter_pairs(documents: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    rows = documents.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(documents.select("text"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(N * N)
     for r in rows:   # at most 784
         out[r["pair"]] = r["n"]
@@ -291,7 +291,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: in
     n1, n0 = rows.agg(F.sum((F.col("toxic") > 0).cast("long")), F.sum((F.col("toxic") <= 0).cast("long"))).first()
     if not n1 or not n0:
         return Model(pairs, np.zeros(0, np.int64), np.zeros(0), -30.0 if not n1 else 30.0)
-    counts = rows.mapInArrow(count, "slot long, n1 long, n0 long").groupBy("slot").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counts = map_arrow(rows, count, "slot long, n1 long, n0 long").groupBy("slot").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     # the slots most enriched in toxic rows: at most ``width`` come to the driver
     odds = F.log((F.col("n1") + 0.5) / (F.lit(n1) + 1) / ((F.col("n0") + 0.5) / (F.lit(n0) + 1)))
     top = (counts.filter("n1 >= 3").withColumn("odds", odds).filter("odds > 1")
@@ -358,4 +358,4 @@ def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = TH
                 part = b.slice(i, TEXT_ROWS)
                 yield part.filter(pa.array(model.scores(part.column("text")) < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_arrow(documents, run, documents.schema)
