@@ -8,12 +8,15 @@ spans of a bounded sample with features left out at random, so that weaker
 shapes get weight too; a candidate without a base span that repeats one with a
 base span is not shown as "none", since it is the field's to decide.  Neighbours in the text are joined by chain edges;
 candidates that repeat, or share their last seven digits, are joined by skip
-edges (each with the next of its kind, so their number is linear).  Chain potentials
-are log ratios of neighbouring labels, counted in the same sample; a skip edge
+edges: two directly, three or more through one hub variable without a potential
+of its own, so that evidence is two edges away however often a key repeats and
+the number of edges is linear.  Chain potentials are log ratios of neighbouring labels, counted in the same sample; a skip edge
 has ``SKIP`` for equal and -``SKIP`` for different labels, and is neutral
 towards "none".
-Candidates that hold a base span are evidence.  Loopy message passing over all
-documents of a batch gives beliefs; a candidate that overlaps no base span and
+Candidates that hold a base span are evidence.  Loopy message passing gives
+beliefs: each document's messages are passed until none changes by ``TOLERANCE``
+or more; only a document whose messages never settle ends after ``ROUNDS``
+rounds and four more for each of its nodes.  A candidate that overlaps no base span and
 is believed with ``BELIEF`` or more becomes an added span.
 
 Defined results: null or empty text has no span; overlapping spans of several
@@ -40,7 +43,8 @@ BELIEF = 0.9
 SKIP = 4.0
 SAMPLE = 20_000    # documents that potentials are estimated on, at most
 NODES = 100_000    # and their candidates, at most
-ROUNDS = 8
+ROUNDS = 200
+TOLERANCE = 1e-4
 WIDTH = 160        # unary features
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -122,42 +126,71 @@ class Field:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.unary, self.pair = unary, np.stack([chain, skip])
 
-    def beliefs(self, feats: list[list[int]], evidence: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Sum-product messages along edges (a, b) of a kind; evidence: label or -1."""
+    def beliefs(self, feats: list[list[int]], evidence: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray,
+                doc: np.ndarray | None = None) -> np.ndarray:
+        """Sum-product messages along edges (a, b) of a kind; evidence: label or
+        -1; nodes beyond ``feats`` are hubs, always the b of their edges; doc:
+        document number of each candidate, by default one for all."""
         n, k = len(feats), len(KINDS) + 1
-        log = np.stack([self.unary[f].sum(axis=0) for f in feats]) if n else np.zeros((0, k))
-        known = evidence >= 0
+        if not n:
+            return np.zeros((0, k))
+        nodes = max(n, int(b.max(initial=-1)) + 1)
+        log = np.zeros((nodes, k))
+        log[:n] = np.stack([self.unary[f].sum(axis=0) for f in feats])
+        known = np.flatnonzero(evidence >= 0)
         log[known] = -50
         log[known, evidence[known]] = 0
+        doc = np.zeros(n, np.int64) if doc is None else doc
+        owner = np.r_[doc[a], doc[a]]
+        bound = ROUNDS + 4 * (np.bincount(doc) + np.bincount(doc[a[b >= n]], minlength=doc.max() + 1))
         src, dst = np.r_[a, b], np.r_[b, a]
-        psi = np.concatenate([self.pair[kind], self.pair[kind].transpose(0, 2, 1)])
+        psi = np.exp(np.concatenate([self.pair[kind], self.pair[kind].transpose(0, 2, 1)]))
         back = np.r_[np.arange(len(a)) + len(a), np.arange(len(a))]
         msg = np.zeros((len(src), k))
-        for _ in range(ROUNDS):
-            total = log.copy()
-            np.add.at(total, dst, msg)
-            out = total[src] - msg[back]
-            new = np.logaddexp.reduce(out[:, :, None] + psi, axis=1)
-            msg = 0.5 * msg + 0.5 * (new - np.logaddexp.reduce(new, axis=1, keepdims=True))
-        np.add.at(log, dst, msg)
-        return np.exp(log - np.logaddexp.reduce(log, axis=1, keepdims=True)) if n else log
+        add = lambda at, m: log + np.bincount((at[:, None] * k + np.arange(k)).ravel(), m.ravel(), minlength=nodes * k).reshape(nodes, k)
+        live, place, t = np.arange(len(src)), np.empty(len(src), np.int64), 0
+        while len(live):   # edges of documents that have not settled
+            place[live] = np.arange(len(live))
+            s, d, p, r, o = src[live], dst[live], psi[live], place[back[live]], owner[live]
+            old, going = msg[live], True
+            while going:
+                t += 1
+                out = add(d, old)[s] - old[r]
+                new = np.log(np.einsum("ei,eij->ej", np.exp(out - out.max(axis=1, keepdims=True)), p))
+                new = 0.5 * old + 0.5 * (new - np.logaddexp.reduce(new, axis=1, keepdims=True))
+                moved = np.bincount(o, np.abs(new - old).max(axis=1) >= TOLERANCE, minlength=len(bound)) > 0
+                old = new
+                stay = (moved & (t < bound))[o]
+                going = bool(stay.all())
+            msg[live] = old
+            live = live[stay]
+        log = add(dst, msg)[:n]
+        return np.exp(log - np.logaddexp.reduce(log, axis=1, keepdims=True))
 
 
 def _graph(docs: list[list]) -> tuple[np.ndarray, ...]:
-    """Edges of the candidates of several documents, numbered through: chain 0, skip 1."""
+    """Edges of the candidates of several documents, numbered through: chain 0,
+    skip 1; hubs are numbered after all candidates."""
     a, b, kind, n = [], [], [], 0
+    hub = sum(map(len, docs))
     for nodes in docs:
-        last: dict[str, int] = {}
+        same: dict[str, list[int]] = {}
         for i, c in enumerate(nodes):
             if i:
                 a.append(n + i - 1)
                 b.append(n + i)
                 kind.append(0)
-            if c[2] in last:
-                a.append(n + last[c[2]])
-                b.append(n + i)
+            same.setdefault(c[2], []).append(n + i)
+        for own in same.values():
+            if len(own) == 2:
+                a.append(own[0])
+                b.append(own[1])
                 kind.append(1)
-            last[c[2]] = i
+            elif len(own) > 2:
+                a += own
+                b += [hub] * len(own)
+                kind += [1] * len(own)
+                hub += 1
         n += len(nodes)
     return np.array(a, np.int64), np.array(b, np.int64), np.array(kind, np.int64)
 
@@ -233,12 +266,11 @@ def fit(documents: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> Field
     for r in got:
         if len(y) >= nodes:
             break
-        a, b, kind = _graph([[(0, 0, x) for x in r["keys"]]])
         lab = np.array(r["labels"])
         twin = {k for k, x in zip(r["keys"], r["labels"]) if x}
         open_ = np.array([not x and r["keys"][i] in twin for i, x in enumerate(r["labels"])])
-        sure = (kind == 0) & ~open_[a] & ~open_[b]
-        np.add.at(chain, (lab[a[sure]], lab[b[sure]]), 1)
+        sure = ~open_[:-1] & ~open_[1:]
+        np.add.at(chain, (lab[:-1][sure], lab[1:][sure]), 1)
         own = np.flatnonzero(~open_).tolist()
         feats += [list(r["feats"][i]) for i in own]
         y += [r["labels"][i] for i in own]
@@ -254,7 +286,7 @@ def find(field: Field, rows: list[str]) -> tuple[list[list[tuple[int, int, int]]
     base, nodes = [base_spans(t) for t in rows], [candidates(t) for t in rows]
     flat = [c for d in nodes for c in d]
     known = np.array([x for d, b in zip(nodes, base) for x in _labels(d, b)], np.int64)
-    p = field.beliefs([c[3] for c in flat], np.where(known > 0, known, -1), *_graph(nodes))
+    p = field.beliefs([c[3] for c in flat], np.where(known > 0, known, -1), *_graph(nodes), np.repeat(np.arange(len(nodes)), [len(d) for d in nodes]))
     added: list[list[tuple[int, int, int]]] = []
     i = 0
     for d in nodes:

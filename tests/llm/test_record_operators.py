@@ -148,6 +148,16 @@ def test_messages_against_enumeration():
     assert np.allclose(got, p / p.sum(axis=1, keepdims=True), atol=0.02)
 
 
+def test_evidence_reaches_every_repeat():
+    """One address in base form and 50 disguised ones: all are added, whatever other documents lie in the batch."""
+    field = pii.Field(np.zeros((pii.WIDTH, 5)), np.zeros((5, 5)), np.pad(pii.SKIP * (2 * np.eye(4) - 1), ((1, 0), (1, 0))))
+    text = "mail a.b@c.example.com" + " or a.b [at] c.example.com" * 50
+    other = "a.b [at] c.example.com " * 3
+    for rows in ([text], [other, text, "", "one 1234567", other]):
+        base, added = pii.find(field, rows)
+        assert [len(x) for x in added] == [50 * (t == text) for t in rows] and [len(x) for x in base] == [t == text for t in rows]
+
+
 def run_sql(name, **tables):
     con = duckdb.connect()
     for k, v in tables.items():
