@@ -3,14 +3,15 @@
 Base spans come from fixed patterns and are never given up.  Candidates are the
 number-like and address-like stretches of a text; they are the nodes of a
 random field over the labels none, email, ip, card, phone.  A node's potential
-is a softmax model of its shape and of the word before it, trained on the base
-spans of a bounded sample with features left out at random, so that weaker
+is a softmax model of its shape and of the word before it, trained on about
+``NODES`` candidates at most, drawn by a hash from all documents (those alike in
+all candidates count once), with features left out at random, so that weaker
 shapes get weight too; a candidate without a base span that repeats one with a
 base span is not shown as "none", since it is the field's to decide.  Neighbours in the text are joined by chain edges;
 candidates that repeat, or share their last seven digits, are joined by skip
 edges: two directly, three or more through one hub variable without a potential
 of its own, so that evidence is two edges away however often a key repeats and
-the number of edges is linear.  Chain potentials are log ratios of neighbouring labels, counted in the same sample; a skip edge
+the number of edges is linear.  Chain potentials are log ratios of neighbouring labels, counted over all documents; a skip edge
 has ``SKIP`` for equal and -``SKIP`` for different labels, and is neutral
 towards "none".
 Candidates that hold a base span are evidence.  Loopy message passing gives
@@ -26,6 +27,7 @@ pattern is searched in time linear in the text.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,13 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TEXT_ROWS, kept, map_arrow, map_batches, texts
-from .textarrays import slices, text_buffer
+from .textarrays import mix, slices, text_buffer
 
 KINDS = ("email", "ip", "card", "phone")
 BELIEF = 0.9
 SKIP = 4.0
-SAMPLE = 20_000    # documents that potentials are estimated on, at most
-NODES = 100_000    # and their candidates, at most
+NODES = 100_000    # candidates that unary weights are fitted on, at most (a drawn number: about)
 ROUNDS = 200
 TOLERANCE = 1e-4
 WIDTH = 160        # unary features
@@ -242,42 +243,82 @@ def _log_ratio(count: np.ndarray) -> np.ndarray:
     return np.clip(np.log(p / (q[:, None] * q[None])), -3, 3)
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> Field:
-    """Potentials from the base spans of at most ``sample`` documents."""
+def _content(nodes: list, labels: list[int]) -> int:
+    """64-bit hash of a document's candidates (keys, features, labels)."""
+    return int.from_bytes(hashlib.blake2b(repr([(x[2], x[3], y) for x, y in zip(nodes, labels)]).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _shown(nodes: list, labels: list[int]) -> np.ndarray:
+    """Candidates whose label is shown in training: not those without a base
+    span that repeat one with a base span."""
+    twin = {x[2] for x, y in zip(nodes, labels) if y}
+    return np.array([bool(y) or x[2] not in twin for x, y in zip(nodes, labels)])
+
+
+def counted(documents: DataFrame) -> DataFrame:
+    """-> doc (hash of a document's candidates) and n (how many are shown); or
+    pair (5 first label + second label) and n (how often it occurs), null doc."""
     k = len(KINDS) + 1
-    n = documents.count()
-    some = texts(documents).filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30)))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        docs, feats, labels, key = [], [], [], []
-        for r, text in _rows(b):
+        docs, n, pairs = [], [], np.zeros(k * k, np.int64)
+        for _, text in _rows(b):
             if c := candidates(text):
-                docs.append(r)
-                feats.append([x[3] for x in c])
-                labels.append(_labels(c, base_spans(text)))
-                key.append([zlib.crc32(x[2].encode("utf-8", "replace")) for x in c])
-        return pa.record_batch([pa.array(feats, pa.list_(pa.list_(pa.int32()))), pa.array(labels, pa.list_(pa.int32())),
-                                pa.array(key, pa.list_(pa.int64()))], names=["feats", "labels", "keys"])
-
-    rows = kept(map_batches(some, run, "feats array<array<int>>, labels array<int>, keys array<long>"))
-    # documents with at most ``nodes`` candidates in all: few come with many
-    got = rows.filter(F.size("labels") <= 1000).orderBy(F.xxhash64("keys")).limit(max(1, nodes // 10)).collect()
-    feats, y, chain = [], [], np.ones((k, k))
-    for r in got:
-        if len(y) >= nodes:
-            break
-        lab = np.array(r["labels"])
-        twin = {k for k, x in zip(r["keys"], r["labels"]) if x}
-        open_ = np.array([not x and r["keys"][i] in twin for i, x in enumerate(r["labels"])])
-        sure = ~open_[:-1] & ~open_[1:]
-        np.add.at(chain, (lab[:-1][sure], lab[1:][sure]), 1)
-        own = np.flatnonzero(~open_).tolist()
-        feats += [list(r["feats"][i]) for i in own]
-        y += [r["labels"][i] for i in own]
+                lab = _labels(c, base_spans(text))
+                shown = _shown(c, lab)
+                docs.append(_content(c, lab))
+                n.append(int(shown.sum()))
+                y = np.array(lab)
+                both = shown[:-1] & shown[1:]
+                pairs += np.bincount(y[:-1][both] * k + y[1:][both], minlength=k * k)
+        at = np.flatnonzero(pairs).tolist()
+        return pa.record_batch([pa.array(docs + [None] * len(at), pa.int64()), pa.array([None] * len(docs) + at, pa.int32()),
+                                pa.array(n + pairs[at].tolist(), pa.int64())], names=["doc", "pair", "n"])
+
+    return map_batches(texts(documents), run, "doc long, pair int, n long")
+
+
+def drawn(documents: DataFrame, share: float) -> DataFrame:
+    """-> doc, place, feats, label of a share of all shown candidates, by a hash
+    of (doc, place); documents alike in all candidates count once."""
+    least = int(share * (1 << 30))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        docs, place, feats, label = [], [], [], []
+        for _, text in _rows(b):
+            if c := candidates(text):
+                lab = _labels(c, base_spans(text))
+                d = _content(c, lab)
+                h = mix(np.arange(len(c)).astype(np.uint64) + mix(np.array([d], np.int64).view(np.uint64)))
+                for i in np.flatnonzero(_shown(c, lab) & ((h >> np.uint64(34)).astype(np.int64) < least)).tolist():
+                    docs.append(d)
+                    place.append(i)
+                    feats.append(c[i][3])
+                    label.append(lab[i])
+        return pa.record_batch([pa.array(docs, pa.int64()), pa.array(place, pa.int64()), pa.array(feats, pa.list_(pa.int32())),
+                                pa.array(label, pa.int32())], names=["doc", "place", "feats", "label"])
+
+    rows = map_batches(texts(documents), run, "doc long, place long, feats array<int>, label int")
+    return rows.groupBy("doc", "place").agg(F.min(F.struct("feats", "label")).alias("x")).select("doc", "place", "x.*")
+
+
+def fit(documents: DataFrame, nodes: int = NODES) -> Field:
+    """Chain potentials from the neighbours of all documents, unary weights from
+    at most about ``nodes`` candidates."""
+    k = len(KINDS) + 1
+    seen = kept(counted(documents))
+    chain = np.ones(k * k)
+    for r in seen.filter("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).collect():   # at most 25
+        chain[r["pair"]] += r["n"]
+    chain = chain.reshape(k, k)
+    n = seen.filter("doc is not null").groupBy("doc").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
+    # three standard deviations below the bound
+    share = 1.0 if n <= nodes else max(0.0, nodes - 3 * nodes ** 0.5) / n
+    got = sorted(drawn(documents, share).collect(), key=lambda r: (r["doc"], r["place"])) if n else []
     skip = np.zeros((k, k))
     skip[1:, 1:] = SKIP * (2 * np.eye(k - 1) - 1)
     pair = np.stack([_log_ratio(chain + chain.T), skip])
-    unary = _softmax(feats, np.array(y)) if y else np.zeros((WIDTH, k))
+    unary = _softmax([r["feats"] for r in got], np.array([r["label"] for r in got])) if got else np.zeros((WIDTH, k))
     return Field(unary, pair[0], pair[1])
 
 

@@ -158,6 +158,23 @@ def test_evidence_reaches_every_repeat():
         assert [len(x) for x in added] == [50 * (t == text) for t in rows] and [len(x) for x in base] == [t == text for t in rows]
 
 
+def test_copies_do_not_fill_the_field_sample(spark):
+    """Chain pairs come from all documents, long ones too; copies give unary candidates once."""
+    copied = " ".join(f"call {1000000 + i}" for i in range(15))
+    rows = [copied] * 300 + [f"mail a{i}@c.example.com or +44 20 7946 {1000 + i}" for i in range(200)] + [" ".join(f"x {5000000 + i}" for i in range(1200))]
+    docs = frame(spark, list(enumerate(rows)))
+    pairs = {r.pair: r.n for r in pii.counted(docs).filter("pair is not null").groupBy("pair").agg({"n": "sum"}).toDF("pair", "n").collect()}
+    assert pairs == {0: 300 * 14 + 1199, 5 + 4: 200}
+    got = pii.drawn(docs, 1.0).collect()
+    assert len(got) == 15 + 400 + 1200 == len({(r.doc, r.place) for r in got})
+    some = pii.drawn(docs, 0.2).collect()
+    assert 230 < len(some) < 420 and {1, 4} <= {r.label for r in some}
+    chain = np.ones((5, 5))
+    chain[0, 0] += pairs[0]
+    chain[1, 4] += 200
+    assert np.allclose(pii.fit(docs, nodes=400).pair[0], pii._log_ratio(chain + chain.T))
+
+
 def run_sql(name, **tables):
     con = duckdb.connect()
     for k, v in tables.items():
