@@ -2,11 +2,12 @@
 
 A character bigram model is counted over every byte of every document.  Words
 that may be disguised (signs or digits for letters, separators or spaces
-between letters, letters repeated three times or more) become character
-lattices: each byte is read as one of its letters, as a border, or as nothing,
+between letters, letters repeated three times or more), and every group of
+neighbouring short tokens (``PIECE`` letters at most, ``JOINED`` together),
+whatever marks and white space lie between them, become character lattices: each byte is read as one of its letters, as a border, or as nothing,
 at a channel cost, and a Viterbi search over the bigram model picks the
 reading.  All disguised words of a batch are searched together.  Other words
-have a lattice of one path and stand as they are.
+have a lattice of one path; raw words stand beside the readings in any case.
 
 A logistic model then scores raw and restored words and their prefixes.  It is
 fitted on at most ``SAMPLE`` labelled rows that are not held out, drawn by a
@@ -20,6 +21,7 @@ each; a null doc_id is scored and not held out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ FEATURES = 4096      # weights of the model, at most
 SLOTS = 1 << 22      # hashed features before selection
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
+PIECE, JOINED = 3, 12    # letters of a piece of a word in pieces, and of the whole, at most
+KNOWN = 200_000          # readings that a worker remembers
 
 #: Readings of signs as letters (fixed values of the channel).
 READINGS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
@@ -71,6 +75,9 @@ _SEP[[ord(c) for c in SEPARATORS]] = True
 _ALPHA = _CLASS > 0
 _CLOSING = np.zeros(256, bool)
 _CLOSING[[ord(c) for c in "!|+(.,;:?"]] = True
+_BEFORE, _AFTER = "([{<\"'*_~-.,;:", "!|+(.,;:?)]}>\"'*_~-"   # marks around a piece
+_ALONE = "".join(c for c in dict.fromkeys(_BEFORE + _AFTER) if c not in READINGS)          # or between two
+_GAP = re.compile(b"(?<=[^ ])[" + re.escape(_AFTER).encode() + b"]* +(?:[" + re.escape(_ALONE).encode() + b"]+ +)*[" + re.escape(_BEFORE).encode() + b"]*(?=[^ ])")
 
 
 def letter_pairs(documents: DataFrame) -> np.ndarray:
@@ -146,7 +153,8 @@ def decode(words: list[bytes], model: np.ndarray) -> list[bytes]:
 
 def disguised(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
     """Spans whose lattice has more than one path: start, end, row.  ``data``
-    is lower case; spans are words, or runs of three or more one-letter words."""
+    is lower case; spans are words, or runs of three or more one-letter words,
+    with or without marks around them."""
     n = len(data)
     alpha, leet, sep = _ALPHA[data], _LEET[data], _SEP[data]
     sign = np.zeros(n, np.int64)
@@ -161,14 +169,77 @@ def disguised(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndar
     end = end.copy()
     while (closing := odd & (end > start + 1) & _CLOSING[data[end - 1]]).any():   # marks that end a word
         end[closing] -= 1
-    one = (end - start == 1) & (alpha[np.minimum(start, max(0, n - 1))] | leet[np.minimum(start, max(0, n - 1))]) if n else odd
-    near = np.zeros(len(start), bool)
-    if len(start) > 1:
-        near[1:] = one[1:] & one[:-1] & (row[1:] == row[:-1]) & (start[1:] - end[:-1] == 1)
+    first, last, one, row_ = _pieces(data, start, end, row, 1)
+    near = np.zeros(len(first), bool)
+    near[1:] = one[1:] & one[:-1] & (row_[1:] == row_[:-1])
     head = np.flatnonzero(one & ~near)
-    tail = np.flatnonzero(one & ~np.r_[near[1:], False])
+    tail = np.flatnonzero(one & ~np.r_[near[1:], False][:len(one)])
     long = tail - head >= 2
-    return (np.r_[start[odd], start[head[long]]], np.r_[end[odd], end[tail[long]]], np.r_[row[odd], row[head[long]]])
+    return (np.r_[start[odd], first[head[long]]], np.r_[end[odd], last[tail[long]]], np.r_[row[odd], row_[head[long]]])
+
+
+def _marks(signs: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in signs]] = True
+    return out
+
+
+def _pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Tokens without the marks around them (those of marks alone are left out):
+    start, end, whether ``most`` letters or signs for letters at most and
+    nothing else, and row."""
+    before, after, alone = _marks(_BEFORE), _marks(_AFTER), np.r_[0, np.cumsum(_marks(_ALONE)[data])]
+    some = alone[end] - alone[start] < end - start
+    start, end, row = start[some], end[some], row[some]
+    left, right = np.flatnonzero(~before[data]), np.flatnonzero(~after[data])
+    last = np.r_[-1, right][np.searchsorted(right, end)] + 1
+    end = np.where(last > start, last, np.minimum(end, start + 1))
+    start = np.minimum(np.r_[left, len(data)][np.searchsorted(left, start)], end - 1)
+    good = np.r_[0, np.cumsum(_ALPHA[data] | _LEET[data])]
+    return start, end, (end - start <= most) & (good[end] - good[start] == end - start), row
+
+
+def in_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of two or more neighbouring short tokens: start, end, row."""
+    start, end, short, row = _pieces(data, start, end, row, PIECE)
+    size = np.r_[0, np.cumsum(end - start)]
+    letters = np.r_[0, np.cumsum(_ALPHA[data])]
+    run = np.r_[0, np.cumsum(~short)]
+    found, head = [], np.flatnonzero(short)
+    for k in range(2, JOINED + 1):   # groups of k from heads whose group of k - 1 is whole
+        head = head[head + k <= len(start)]
+        head = head[(run[head + k] == run[head]) & (row[head + k - 1] == row[head]) & (size[head + k] - size[head] <= JOINED)]
+        own = head[size[head + k] - size[head] >= min(PREFIXES)]
+        s, e = start[own], end[own + k - 1]
+        some = letters[e] - letters[s] >= 2
+        found.append((s[some], e[some], row[own][some]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def lattices(low: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words to search, with one space where pieces meet; which of them each place holds; each place's row."""
+    low = np.where(SPACE[low], np.uint8(32), low)
+    words = bounds(low != 32, offsets)
+    s, e, r = (np.concatenate(x) for x in zip(disguised(low, *words), in_pieces(low, *words)))
+    raw, seen = low.tobytes(), {}
+    at = [seen.setdefault(raw[a:b], len(seen)) for a, b in zip(s.tolist(), e.tolist())]
+    return [_GAP.sub(b" ", w) for w in seen], np.array(at, np.int64), r
+
+
+_READ: dict[bytes, bytes] = {}
+_READ_BY = [b""]
+
+
+def readings(words: list[bytes], model: np.ndarray) -> list[bytes]:
+    """``decode`` with a bounded memory of this worker's earlier short words."""
+    if _READ_BY[0] != (by := model.tobytes()) or len(_READ) > KNOWN:
+        _READ.clear()
+        _READ_BY[0] = by
+    new = list({w for w in words if w not in _READ})
+    found = dict(zip(new, decode(new, model)))
+    out = [found[w] if w in found else _READ[w] for w in words]
+    _READ.update((w, x) for w, x in found.items() if len(w) <= 64)
+    return out
 
 
 def _slots(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,12 +258,9 @@ def features(data: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[
     start, end, row = bounds(_ALPHA[low], offsets)
     which, slot = _slots(low, start, end)
     rows, slots = [row[which]], [slot]
-    s, e, r = disguised(low, *bounds(~SPACE[low], offsets))
-    if len(s):
-        raw = low.tobytes()
-        seen: dict[bytes, int] = {}
-        at = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(s.tolist(), e.tolist())])
-        restored = decode(list(seen), model)
+    words, at, r = lattices(low, offsets)
+    if words:
+        restored = readings(words, model)
         buf = np.frombuffer(b"".join(restored), np.uint8)
         edge = np.r_[0, np.cumsum([len(x) for x in restored])]
         ws, we, token = bounds(_ALPHA[buf], edge)
@@ -336,12 +404,11 @@ def restored(documents: DataFrame) -> DataFrame:
         ids, was, now = [], [], []
         for i, j in slices(offsets):
             low = LOWER[data[offsets[i]:offsets[j]]]
-            s, e, r = disguised(low, *bounds(~SPACE[low], offsets[i:j + 1] - offsets[i]))
-            raw = low.tobytes()
-            spans = [raw[x:y] for x, y in zip(s.tolist(), e.tolist())]
+            words, at, r = lattices(low, offsets[i:j + 1] - offsets[i])
+            read = readings(words, model)
             ids += (r + i).tolist()
-            was += [x.decode("utf-8", "replace") for x in spans]
-            now += [x.decode() for x in decode(spans, model)]
+            was += [words[k].decode("utf-8", "replace") for k in at.tolist()]
+            now += [read[k].decode() for k in at.tolist()]
         return pa.record_batch([b.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(was, pa.string()), pa.array(now, pa.string())],
                                names=["doc_id", "disguised", "reading"])
 

@@ -63,6 +63,21 @@ def test_only_disguised_spans_are_searched():
     assert [low.tobytes()[a:b].decode() for a, b in zip(s, e)] == ["1d10t", "m.o.r.o.n", "aaa", "s t u p i d"]
 
 
+def test_words_in_pieces_are_read(bigrams):
+    """Spaced at the end of a clause, with several separators, or in chunks."""
+    for text, word in [("that m o r o n.", b"moron"), ("what an i d i o t!", b"idiot"), ("an i  d  i \n o\t t", b"idiot"), ("a mo ron", b"moron"), ("you st up id, no", b"stupid"),
+                       ("(i d i o t)", b"idiot"), ("\"mo\" - ron", b"moron"), ("so he is a m, o, r, o, n", b"moron"), ("st. up. 1d?", b"stupid"), ("a s t u p i d.", b"stupid")]:
+        data, offsets = text_buffer(pa.array(["one", text, None, "x"]))
+        words, at, row = toxicity.lattices(LOWER[data], offsets)
+        read = toxicity.readings(words, bigrams)
+        assert word in {read[i] for i in at}, (text, words, read)
+        assert set(row.tolist()) == {1}
+        slot = set(toxicity._slots(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[1].tolist())
+        r, found = toxicity.features(data, offsets, bigrams)
+        assert slot <= set(found[r == 1].tolist())
+    assert toxicity.lattices(*text_buffer(pa.array([None, ""], pa.string())))[0] == []
+
+
 def test_toxicity_held_out(spark):
     rnd = random.Random(1)
     rows, labels = [], []
