@@ -971,7 +971,7 @@ def q_sle_to_iob(spark, sf):
     from ..operators import features as fe
     documents, docs, gold = _base(spark, sf)
     types, width = ["contact", "name", "number"], 1 << 24
-    d = docs.select("doc_id", F.octet_length("body").alias("n")).join(sp.nest_spans(gold.filter(F.col("len") <= 4096)), "doc_id")
+    d = docs.select("doc_id", F.octet_length("body").alias("n")).join(sp.nest_spans(gold), "doc_id")
     d = d.select("doc_id", "n", fe.sle_tokens(fe.sle_ids("spans", width, {t: i for i, t in enumerate(types)}), width, types).alias("tokens"))
     t = fe.sle_to_iob(d, "tokens", "n", types).withColumn("b", F.transform("tags", lambda x, i: F.when(x.startswith("B-"), i)))
     return t.select("doc_id", F.size(F.filter("b", lambda x: x.isNotNull())).cast("long").alias("n_b"),

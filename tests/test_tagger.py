@@ -85,3 +85,11 @@ def test_segments_equal_positions(spark):
     rows = lambda f: sorted((r.gold, r.pred, r.n) for r in ev.confusion(f).collect())
     assert rows(ev.pair_segments(df)) == rows(ev.position_pairs(df)) == [("B", "B", 1), ("B", "O", 1), ("O", "B", 1), ("O", "O", 1)]
     assert ev.token_accuracy(ev.pair_segments(df)).first()["accuracy"] == 50.0
+
+
+def test_long_spans_keep_their_tags(spark, tmp_path):
+    """FN6 query: words over 4096 bytes are tagged whole; a document with such a word alone stays."""
+    from bytespan.plans.queries import q_sle_to_iob
+    spark.createDataFrame([(1, "see 12 " + "7" * 5000 + " Bob"), (2, "x" * 9000 + "@a.b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_b, r.n_i, r.sum_start) for r in q_sle_to_iob(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 1 + 4999 + 2, 4 + 7 + 5008), 2: (1, 9003, 0)}
