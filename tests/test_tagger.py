@@ -93,3 +93,12 @@ def test_long_spans_keep_their_tags(spark, tmp_path):
     spark.createDataFrame([(1, "see 12 " + "7" * 5000 + " Bob"), (2, "x" * 9000 + "@a.b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_b, r.n_i, r.sum_start) for r in q_sle_to_iob(spark, str(tmp_path)).collect()}
     assert got == {1: (3, 1 + 4999 + 2, 4 + 7 + 5008), 2: (1, 9003, 0)}
+
+
+def test_vocabulary_is_numbered_in_ranges(spark):
+    """Ids follow byte order, and no task holds all words."""
+    words = sorted({f"{p}{i}" for p in ("", "http://x/", "é") for i in range(3000)}, key=lambda w: w.encode())
+    vocab = fe.word_vocab(spark.createDataFrame([(w,) for w in words + words[::3] + [""]], "word string").repartition(5))
+    rows = vocab.withColumn("p", F.spark_partition_id()).collect()
+    assert {r.word: r.id for r in rows} == {w: i for i, w in enumerate(words)} and len(rows) == len(words)
+    assert max(sum(r.p == p for r in rows) for p in {r.p for r in rows}) < len(words) / 2
