@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, minhash, packing, pii, repeats, tokens, topk, toxicity
+from . import chat, decontaminate, licenses, minhash, packing, pii, repeats, spotsigs, tokens, topk, toxicity
 from .common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,35 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 @query("op10_exact_top_k", SQL_TOPK)
 def op10(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def _sql_fingerprints() -> str:
+    anchors = ", ".join(f"'{w}'" for w in sorted(set(spotsigs.ANCHORS)))
+    chain = [f"LEFT JOIN k k{i} ON k{i}.r = s.r AND k{i}.kind = s.kind AND k{i}.c = s.c + {i}" for i in range(1, spotsigs.CHAIN + 1)]
+    words = "concat_ws(' ', " + ", ".join(f"k{i}.w" for i in range(1, spotsigs.CHAIN + 1)) + ")"
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS r FROM documents),
+u AS (SELECT *, length(text) AS n, length(text) // 4 AS k, coalesce(lead(text) OVER (ORDER BY r), first_value(text) OVER (ORDER BY r)) AS next FROM t),
+e AS (SELECT *, left(text, n - k) || left(next, k) AS edited FROM u),
+x AS (SELECT r, 0 AS kind, text AS body FROM e UNION ALL SELECT r, 1, edited FROM e),
+l AS (SELECT r, kind, list_filter(string_split_regex(lower(body), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda w: w <> '') AS w FROM x),
+i AS (SELECT r, kind, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM l),
+a AS (SELECT *, w IN ({anchors}) AS anchor FROM i),
+c AS (SELECT *, sum((NOT anchor)::INT) OVER (PARTITION BY r, kind ORDER BY i) AS c FROM a),
+k AS (SELECT r, kind, c, w FROM c WHERE NOT anchor),
+s AS (SELECT r, kind, c, w FROM c WHERE anchor UNION ALL SELECT r, kind, 0, '^' FROM x),
+g AS (SELECT DISTINCT s.r, s.kind, left(md5(s.w || ' ' || {words}), {spotsigs.DIGITS}) AS g FROM s {" ".join(chain)} WHERE k1.w IS NOT NULL),
+f AS (SELECT x.r, x.kind, list_filter(list(g ORDER BY g), lambda z: z IS NOT NULL) AS f FROM x LEFT JOIN g ON x.r = g.r AND x.kind = g.kind GROUP BY x.r, x.kind),
+p AS (SELECT a.r, a.f AS a, b.f AS b, coalesce(lead(a.f) OVER (ORDER BY a.r), first_value(a.f) OVER (ORDER BY a.r)) AS c
+      FROM f a JOIN f b ON a.r = b.r AND a.kind = 0 AND b.kind = 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
+       array_to_string(a, ' ') AS fingerprint, array_to_string(b, ' ') AS edited_fingerprint,
+       CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END AS near_edited,
+       CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, c))::DOUBLE / (len(a) + len(c) - len(list_intersect(a, c))) END AS near_next
+FROM e JOIN p USING (r)
+"""
+
+
+@query("op11_document_fingerprints", _sql_fingerprints())
+def op11(spark, sf_dir):
+    return spotsigs.edits(table(spark, sf_dir, "documents"))
