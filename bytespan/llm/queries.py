@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, minhash, packing, pii, repeats, spotsigs, tokens, topk, toxicity
+from . import align, chat, decontaminate, licenses, minhash, packing, phrases, pii, repeats, spotsigs, tokens, topk, toxicity
 from .common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,33 @@ FROM e JOIN p USING (r)
 @query("op11_document_fingerprints", _sql_fingerprints())
 def op11(spark, sf_dir):
     return spotsigs.edits(table(spark, sf_dir, "documents"))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark, sf_dir):
+    return align.aligned(table(spark, sf_dir, "documents"))
+
+
+SQL_PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM w),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS phrase FROM g)
+      GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND f >= {phrases.LEAST}),
+x AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+y AS (SELECT *, array_to_string(string_split(phrase, ' ')[:cut], ' ') AS head, array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') AS tail FROM x),
+s AS (SELECT y.lang, y.k, y.phrase, a, cut, h.f AS l, t.f AS r, 2000000::HUGEINT * a // (h.f + t.f) AS score
+      FROM y JOIN f h ON h.lang = y.lang AND h.k = cut AND h.phrase = head JOIN f t ON t.lang = y.lang AND t.k = y.k - cut AND t.phrase = tail
+      QUALIFY row_number() OVER (PARTITION BY y.lang, y.phrase ORDER BY score, cut) = 1),
+o AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = s.lang AND c.k > s.k AND 100 * c.a >= {phrases.COVERED} * s.a
+      AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' '))),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM o JOIN n USING (lang) QUALIFY rank <= {phrases.TOP}
+"""
+
+
+@query("op12_phrase_collocations", SQL_PHRASES)
+def op12(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
