@@ -5,7 +5,7 @@ aligned once, and its links count as often as the text occurs.  A text is read
 with a space before it and cut in front of every single space between two
 non-space characters.  No token of either vocabulary reaches over such a place
 (checked for the one, true of the other's pattern), so a chunk's tokens are the
-same wherever it stands, and a worker encodes each chunk it meets once.
+same wherever it stands, and every distinct chunk of a shard is encoded once.
 
 Texts of about ``SHARD`` bytes form a shard: one row with its sequence of chunk
 numbers and the links of each chunk, a row for each text, and a row for each
@@ -20,10 +20,11 @@ repeated results; an empty table gives no row.  Only doc_id and text are read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
-import uuid
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, texts
-from .tokens import byte_symbols, vocabulary_path
+from .tokens import vocabulary_path
 
-A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-SHARD = 16 << 20      # bytes of text
-CHUNKS = 500_000      # chunks a worker knows before it begins anew
+A, B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"   # A: byte_bpe_50k.json's vocabulary as ranks
+SHARD = 8 << 20       # bytes of text
+BATCH = 20_000        # chunks encoded together
 
 #: White space beyond ASCII, in UTF-8.
 _WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -54,53 +55,112 @@ def _spaces(data: np.ndarray) -> np.ndarray:
     return out
 
 
+class Tokens:
+    """Byte strings by number, behind one another."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        n = self.size[ids]
+        return self.bytes[np.repeat(self.at[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+class Chunks(NamedTuple):
+    """Aligned chunks: figures of each, their links behind one another (A id
+    << 32 | B id, one for each group), and their groups as text, each ended by ;."""
+
+    order: np.ndarray    # the chunk's number among those given
+    whole: np.ndarray    # both sides restore it
+    n_a: np.ndarray
+    n_b: np.ndarray
+    count: np.ndarray    # groups, and so links
+    links: np.ndarray
+    said: list[bytes]
+
+
 class Aligner:
-    """Both tokenizers, and the aligned chunks that this worker knows."""
+    """Both tokenizers.  A's merges come from its vocabulary as ranks, which is
+    the same vocabulary; the tests hold it against the library of ``A``."""
 
     def __init__(self, a: str, b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # one task, one core
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
+        from public_tokenizers import PATTERN
 
-        self.a = Tokenizer.from_file(vocabulary_path(a))
-        self.a.encode_special_tokens = True
+        with open(vocabulary_path(a), "rb") as lines:
+            ranks = {base64.b64decode(t): int(n) for t, n in map(bytes.split, lines)}
+        self.a = tiktoken.Encoding(a, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(b))
-        symbol = {s: bytes([x]) for x, s in byte_symbols().items()}
-        self.a_bytes = {i: b"".join(symbol.get(c, c.encode()) for c in t) for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_tokens = Tokens(sorted(ranks, key=ranks.get))
+        self.b_tokens = Tokens([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        self.digits = Tokens([b"%d;" % i for i in range(max(len(ranks), len(pieces)))])
         #: a piece that held a space after something else could reach over a cut
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.known: dict[bytes, tuple] = {}
-
-    def _aligned(self, chunk: bytes, a: list[int], b: list[int]) -> tuple:
-        """Number of A, B tokens and groups, the groups as text, links; None if the tokens don't restore the chunk."""
-        xa, xb = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(xa) != chunk or b"".join(xb) != chunk:
-            return None
-        groups, links, i, j, p, q = [], [], 0, 0, 0, 0
-        first = (0, 0)
-        while i < len(a):
-            p += len(xa[i])
-            i += 1
-            while q < p:
-                q += len(xb[j])
-                j += 1
-            if p == q:
-                groups.append(f"{','.join(map(str, a[first[0]:i]))}|{','.join(map(str, b[first[1]:j]))}")
-                links.append(a[i - 1] << 32 | b[j - 1])
-                first = (i, j)
-        return len(a), len(b), len(groups), ";".join(groups), links
-
-    def chunks(self, found: list[bytes]) -> list[tuple | None]:
-        if len(self.known) > CHUNKS:   # begin anew: memory stays bounded
-            self.known.clear()
-        new = [c for c in found if c not in self.known]
-        strings = [c.decode("utf-8", "replace") for c in new]
-        a = self.a.encode_batch_fast(strings, add_special_tokens=False)
-        b = self.b.encode([s[1:] for s in strings], num_threads=1)   # which adds the space itself
-        self.known.update((c, self._aligned(c, x.ids, y)) for c, x, y in zip(new, a, b))
-        return [self.known[c] for c in found]
+
+    def _encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Order of the chunks, ids of A and B behind one another, tokens of each chunk."""
+        strings = [c.decode("utf-8", "replace") for c in chunks]
+        # chunks that begin with one space and have none at either end can stand behind one another for A
+        plain = [s.strip() == s[1:] and len(s) > 1 for s in strings]
+        order = np.argsort(~np.array(plain, bool), kind="stable")
+        strings = [strings[i] for i in order.tolist()]
+        together = sum(plain) if self.cuts else 0
+        a, n_a = [], []
+        for i in range(0, together, BATCH):
+            part = strings[i:min(i + BATCH, together)]
+            ids = np.array(self.a.encode_ordinary("".join(part)), np.int64)
+            end = np.cumsum([len(s.encode()) for s in part])
+            a.append(ids)
+            n_a.append(np.bincount(np.searchsorted(end, np.cumsum(self.a_tokens.size[ids])), minlength=len(part)))
+        for s in strings[together:]:
+            ids = np.array(self.a.encode_ordinary(s), np.int64)
+            a.append(ids)
+            n_a.append([len(ids)])
+        b, n_b = [], []
+        for i in range(0, len(strings), BATCH):
+            ids = self.b.encode([s[1:] for s in strings[i:i + BATCH]], num_threads=1)   # which adds the space itself
+            n_b.append([len(x) for x in ids])
+            b.append(np.fromiter(chain.from_iterable(ids), np.int64))
+        flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
+        return order, flat(a), flat(n_a), flat(b), flat(n_b)
+
+    def aligned(self, chunks: list[bytes]) -> Chunks:
+        order, a, n_a, b, n_b = self._encoded(chunks)
+        chunks = [chunks[i] for i in order.tolist()]
+        n, size = len(chunks), np.array([len(c) for c in chunks], np.int64)
+        of_a, of_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
+        total = lambda of, tokens, ids: np.bincount(of, tokens.size[ids], n).astype(np.int64)
+        whole = (total(of_a, self.a_tokens, a) == size) & (total(of_b, self.b_tokens, b) == size)
+        here = np.frombuffer(b"".join([c for c, w in zip(chunks, whole.tolist()) if w]), np.uint8)
+        held, chunk = whole.copy(), np.repeat(np.flatnonzero(whole), size[whole])
+        for tokens, ids, of in ((self.a_tokens, a, of_a), (self.b_tokens, b, of_b)):
+            whole[chunk[tokens.joined(ids[held[of]]) != here]] = False
+        a, of_a, b, of_b = a[whole[of_a]], of_a[whole[of_a]], b[whole[of_b]], of_b[whole[of_b]]
+        # where both sides end: the last token of a group on either side
+        end_a, end_b = np.cumsum(self.a_tokens.size[a]), np.cumsum(self.b_tokens.size[b])
+        at = np.searchsorted(end_b, end_a)
+        last_a = end_b[np.minimum(at, max(0, len(end_b) - 1))] == end_a if len(end_b) else np.zeros(0, bool)
+        la, lb = np.flatnonzero(last_a), at[last_a]
+        last_b = np.zeros(len(b), bool)
+        last_b[lb] = True
+        count = np.bincount(of_a[la], minlength=n)
+        # groups as text: A's ids of a group, then B's; every id is followed by one sign
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        place_a = np.arange(len(a)) + np.r_[0, lb + 1][group_a]
+        place_b = np.arange(len(b)) + (la + 1)[group_b]
+        ids, sign, of = (np.zeros(len(a) + len(b), t) for t in (np.int64, np.uint8, np.int64))
+        for place, x, last, mark, owner in ((place_a, a, last_a, b"|", of_a), (place_b, b, last_b, b";", of_b)):
+            ids[place], sign[place], of[place] = x, np.where(last, mark[0], b","[0]), owner
+        text = self.digits.joined(ids)
+        ends = np.cumsum(self.digits.size[ids])
+        text[ends - 1] = sign
+        text, edge = text.tobytes(), np.r_[0, ends][np.searchsorted(of, np.arange(n + 1))].tolist()
+        return Chunks(order, whole, np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), count,
+                      a[la] << 32 | b[lb], [text[i:j] for i, j in zip(edge[:-1], edge[1:])])
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -113,32 +173,37 @@ def aligner(a: str, b: str) -> Aligner:
     return _ALIGNERS[a, b]
 
 
-ROWS = pa.schema([("shard", pa.string()), ("part", pa.int32()), ("key", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64()),
+ROWS = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("key", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64()),
                   ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()),
                   ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
-_ROWS = ("shard string, part int, key binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+_ROWS = ("shard long, part int, key binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
          "a int, b int, n long, blob binary")
 
 
-def _rows(shard: str, **columns) -> pa.RecordBatch:
+def _rows(shard: int, **columns) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
     return pa.record_batch([pa.array([shard] * n) if f.name == "shard" else pa.array(columns[f.name], f.type) if f.name in columns
                             else pa.nulls(n, f.type) for f in ROWS], schema=ROWS)
 
 
 def packed(**arrays: np.ndarray) -> bytes:
-    """Arrays of numbers as one compressed value."""
-    batch = pa.record_batch([pa.array([x]) for x in arrays.values()], names=list(arrays))
+    """Arrays of numbers as one compressed value, by byte planes."""
+    planes = {c: pa.array([np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()], pa.large_binary()) for c, x in arrays.items()}
+    schema = pa.schema([pa.field(c, pa.large_binary(), metadata={"type": arrays[c].dtype.str}) for c in planes])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.record_batch(list(planes.values()), schema=schema))
     return sink.getvalue().to_pybytes()
 
 
 def unpacked(blob: bytes) -> dict[str, np.ndarray]:
     with pa.ipc.open_stream(blob) as stream:
         batch = stream.read_next_batch()
-    return {c: batch.column(c).flatten().to_numpy() for c in batch.schema.names}
+    out = {}
+    for field, column in zip(batch.schema, batch.columns):
+        kind = np.dtype(field.metadata[b"type"].decode())
+        out[field.name] = np.ascontiguousarray(np.frombuffer(column[0].as_buffer(), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+    return out
 
 
 def _sums(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -146,9 +211,9 @@ def _sums(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(values)][edge])
 
 
-def _shard(rows: list[tuple[bytes, int]], a: str, b: str) -> Iterator[pa.RecordBatch]:
+def _shard(name: int, rows: list[tuple[bytes, int]], a: str, b: str) -> Iterator[pa.RecordBatch]:
     """Rows of one shard of distinct texts and their multiplicities."""
-    name, tool = uuid.uuid4().hex, aligner(a, b)
+    tool = aligner(a, b)
     offsets = np.cumsum([0, *(len(t) + 1 for t, _ in rows)])
     data = np.frombuffer(b" " + b" ".join(t for t, _ in rows), np.uint8)
     space = _spaces(data)
@@ -159,43 +224,44 @@ def _shard(rows: list[tuple[bytes, int]], a: str, b: str) -> Iterator[pa.RecordB
     start = np.flatnonzero(cut)
     chunk = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.r_[start, len(data)].astype(np.int64)), pa.py_buffer(data)])
     chunk = chunk.dictionary_encode()
-    index = chunk.indices.to_numpy()
-    known = tool.chunks(chunk.dictionary.to_pylist())
+    known = tool.aligned(chunk.dictionary.to_pylist())
+    number = np.empty(len(known.order), np.int32)
+    number[known.order] = np.arange(len(number), dtype=np.int32)
+    index = number[chunk.indices.to_numpy()]
     edge = np.searchsorted(start, offsets)
-    whole = _sums(np.array([x is None for x in known])[index], edge) == 0      # every chunk is restored
-    known = [x or (0, 0, 0, "", []) for x in known]
-    n_a, n_b, n_groups, n_links = (np.array(x, np.int64)[index] for x in ([k[0] for k in known], [k[1] for k in known], [k[2] for k in known], [len(k[4]) for k in known]))
-    n_a, n_b, n_groups, n_links = (np.where(whole, _sums(x, edge), 0) for x in (n_a, n_b, n_groups, n_links))
-    said, order = [k[3] for k in known], index.tolist()
-    digest = [hashlib.sha256(";".join([said[i] for i in order[p:q]]).encode()).hexdigest() if w else "" for p, q, w in zip(edge[:-1].tolist(), edge[1:].tolist(), whole.tolist())]
+    whole = _sums(~known.whole[index], edge) == 0      # every chunk is restored
+    n_a, n_b, n_links = (np.where(whole, _sums(x[index], edge), 0) for x in (known.n_a, known.n_b, known.count))
+    said, order = known.said, index.tolist()
+    digest = [hashlib.sha256(b"".join([said[i] for i in order[p:q]])[:-1]).hexdigest() if w else "" for p, q, w in zip(edge[:-1].tolist(), edge[1:].tolist(), whole.tolist())]
     yield _rows(name, part=np.arange(len(rows), dtype=np.int32), key=[hashlib.sha256(t).digest() for t, _ in rows],
-                n_a=n_a, n_b=n_b, n_groups=n_groups, n_links=n_links, groups_sha256=digest)
+                n_a=n_a, n_b=n_b, n_groups=n_links, n_links=n_links, groups_sha256=digest)
     # pairs of the shard, numbered, with their counts over all copies of its texts
-    count = np.array([len(k[4]) for k in known], np.int64)
-    pair, local = np.unique(np.array([x for k in known for x in k[4]], np.int64), return_inverse=True)
-    times = np.zeros(len(known), np.int64)
+    pair, local = np.unique(known.links, return_inverse=True)
+    times = np.zeros(len(known.count), np.int64)
     np.add.at(times, index, np.repeat(np.where(whole, [m for _, m in rows], 0), np.diff(edge)))
     n = np.zeros(len(pair), np.int64)
-    np.add.at(n, local, np.repeat(times, count))
+    np.add.at(n, local, np.repeat(times, known.count))
     yield _rows(name, part=np.arange(len(pair), dtype=np.int32), a=(pair >> 32).astype(np.int32), b=(pair & 0xFFFFFFFF).astype(np.int32), n=n)
-    yield _rows(name, blob=[packed(sequence=index.astype(np.int32), edge=edge.astype(np.int32), whole=whole.astype(np.int32),
-                                   links=local.astype(np.int32), count=count.astype(np.int32))])
+    yield _rows(name, blob=[packed(sequence=index, edge=edge.astype(np.int32), whole=whole.astype(np.int8),
+                                   links=local.astype(np.int32), count=known.count.astype(np.int32))])
 
 
 def shards(distinct: DataFrame, a: str, b: str) -> DataFrame:
     """(text, n) -> rows of shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        from pyspark import TaskContext
+
+        held, size, name = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for text, n in zip(batch.column("text").cast(pa.binary()), batch.column("n")):
                 held.append((text.as_py(), n.as_py()))
                 size += len(held[-1][0]) + 1
                 if size >= SHARD:
-                    yield from _shard(held, a, b)
-                    held, size = [], 0
+                    yield from _shard(name, held, a, b)
+                    held, size, name = [], 0, name + 1
         if held:
-            yield from _shard(held, a, b)
+            yield from _shard(name, held, a, b)
 
     return distinct.mapInArrow(run, _ROWS)
 

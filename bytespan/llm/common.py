@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch  # noqa: F401
 from ..session import ensure_checkpoint_dir
 
 #: Rows handled together, and rows of an Arrow batch, for whole texts: 512 texts of 100 kB are 50 MB.
@@ -61,46 +61,6 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class Scratch:
-    """Tables that one operator call writes and owns.
-
-    They are managed tables of a database in the shared checkpoint folder, so
-    ``DROP TABLE`` takes their files away wherever that folder is.  ``keep``
-    writes one and gives it back to be read; ``drop`` ends spent ones; leaving
-    the block drops the rest but those that ``release`` hands to the result,
-    which is lazy and still reads them.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch"
-        self.database = f"bytespan_scratch_{zlib.crc32(place.encode()):08x}"
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{place}'")
-        self.tables: dict[int, tuple[DataFrame, str]] = {}
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.drop(*[df for df, _ in self.tables.values()])
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        name = f"{self.database}.t{uuid.uuid4().hex}"
-        df.write.format("parquet").saveAsTable(name)
-        out = self.spark.table(name)
-        self.tables[id(out)] = (out, name)
-        return out
-
-    def drop(self, *spent: DataFrame) -> None:
-        for df in spent:
-            _, name = self.tables.pop(id(df))
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-    def release(self, df: DataFrame) -> DataFrame:
-        self.tables.pop(id(df))
-        return df
-
-
 #: Bits of the filter in ``semi``; its 4 MB are a fixed bound.
 FILTER_BITS = 1 << 25
 

@@ -17,7 +17,7 @@ def tools():
     import sentencepiece
     from tokenizers import Tokenizer
 
-    a = Tokenizer.from_file(tokens.vocabulary_path(align.A))
+    a = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
     a.encode_special_tokens = True
     return a, sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary_path(align.B))
 
@@ -77,7 +77,7 @@ def test_odd_texts_copies_and_clashing_columns(spark, tools):
 
 def test_many_small_shards_give_the_same(spark, tools, monkeypatch):
     monkeypatch.setattr(align, "SHARD", 40)
-    monkeypatch.setattr(align, "CHUNKS", 10)
+    monkeypatch.setattr(align, "BATCH", 3)
     check(spark, [(i, t) for i, t in enumerate(["the cat sat on the mat", "the dog sat", "a cat, a dog.", "", "the cat sat on the mat"] * 4)], tools)
 
 
