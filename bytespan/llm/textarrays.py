@@ -105,7 +105,7 @@ def window_hashes(words: np.ndarray, row: np.ndarray, n_rows: int, size: int) ->
     with np.errstate(over="ignore"):
         h = np.zeros(max(0, len(words) - size + 1), np.uint64)
         for k in range(size):
-            h = h * np.uint64(_BASE) + mix(words[k:len(words) - size + 1 + k] + np.uint64(k))
+            h = h * np.uint64(_BASE) + mix(words[k:len(h) + k] + np.uint64(k))
         own = row[:len(h)] == row[size - 1:size - 1 + len(h)]
         h, r = mix(h[own]), row[:len(own)][own]
         short = np.flatnonzero((count > 0) & (count < size))

@@ -218,3 +218,10 @@ def test_semi_and_anti_against_plain_joins(spark):
     out = [r.doc_id for r in anti(rows, ids, "doc_id").collect()]
     assert out.count(None) == 1 and sorted(x for x in out if x is not None) == sorted([i for i in range(500) if i % 7] + [3])
     assert anti(rows, ids, "doc_id").columns == rows.columns
+
+
+@pytest.mark.parametrize("words", range(7))
+def test_near_duplicates_of_a_table_of_few_words(spark, words):
+    text = " ".join("abcdefg"[:words])
+    got = minhash.near_duplicates(spark.createDataFrame([(4, text)], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(4, int(words > 0) + max(0, words - 5), 4, True)]
