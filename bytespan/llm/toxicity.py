@@ -89,7 +89,9 @@ def letter_pairs(documents: DataFrame) -> np.ndarray:
             data, offsets = text_buffer(b.column("text"))
             for i, j in slices(offsets):
                 code = _CLASS[data[offsets[i]:offsets[j]]]
-                total += np.bincount(code[:-1] * N + code[1:], minlength=N * N)
+                inside = np.ones(len(code) + 1, bool)
+                inside[offsets[i:j + 1] - offsets[i]] = False     # no pair reaches over two rows
+                total += np.bincount((code[:-1] * N + code[1:])[inside[1:-1]], minlength=N * N)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
@@ -352,7 +354,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: in
                 row, slot = _distinct(*features(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], bigrams))
                 for y in (0, 1):
                     total[y] += np.bincount(slot[toxic[i:j][row] == y], minlength=SLOTS).astype(np.int32)
-        at = np.flatnonzero(total[1])
+        at = np.flatnonzero(total.any(axis=0))   # a slot may be toxic in another task
         yield pa.record_batch([pa.array(at), pa.array(total[1, at].astype(np.int64)), pa.array(total[0, at].astype(np.int64))],
                               names=["slot", "n1", "n0"])
 

@@ -325,3 +325,17 @@ def test_pipeline_stages(spark, tmp_path):
     name, stage = corpus_pipeline.STAGES[-1]
     assert sorted(r.doc_id for r in stage(spark, docs, str(tmp_path)).filter("piece = 0").collect()) == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "packing"]
+
+
+def test_toxicity_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    pairs = np.zeros((28, 28))
+    for r in docs.collect():
+        code = toxicity._CLASS[np.frombuffer(r.text.encode(), np.uint8)]
+        pairs += np.bincount(code[:-1].astype(int) * 28 + code[1:], minlength=784).reshape(28, 28)
+    models = [toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 3, 7, 64)]
+    for n, m in zip((1, 3, 7, 64), models):
+        assert (toxicity.letter_pairs(docs.repartition(n)) == pairs).all()
+        assert m.chosen.tolist() == models[0].chosen.tolist() and len(m.chosen) > 100
+        assert np.allclose(m.weights, models[0].weights, atol=1e-9) and abs(m.intercept - models[0].intercept) < 1e-9
