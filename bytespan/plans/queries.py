@@ -15,6 +15,7 @@ from ..functions import annotations as an
 from ..functions.bytes import byte_values, display, from_latin1, latin1, text_view
 from ..operators import corpus as cp
 from ..operators import evaluate as ev
+from ..operators import runs as rn
 from ..operators import sentences as se
 from ..operators import spans as sp
 from ..operators import stitch as st
@@ -50,12 +51,11 @@ def _long(c):
     return F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
 
 
-def _count_tags(df: DataFrame, tags: str, keys=("doc_id",)) -> DataFrame:
-    t = F.col(tags)
-    return df.select(*keys,
-                     F.size(F.filter(t, lambda x: x.startswith("B-"))).cast("long").alias("n_b"),
-                     F.size(F.filter(t, lambda x: x.startswith("I-"))).cast("long").alias("n_i"),
-                     F.size(F.filter(t, lambda x: x == "O")).cast("long").alias("n_o"))
+def _count_tags(df: DataFrame) -> DataFrame:
+    """Positions of each document by the prefix of their tag, from its runs."""
+    n = lambda prefix: F.aggregate("_r", F.lit(0).cast("long"), lambda a, x: a + F.when(x["tag"].startswith(prefix), x["n"]).otherwise(0))
+    return (df.select("doc_id", rn.lengths("runs", "n_doc").alias("_r"))
+            .select("doc_id", n("B-").alias("n_b"), n("I-").alias("n_i"), n("O").alias("n_o")))
 
 
 SQL_WINDOWS = f"""
@@ -157,7 +157,7 @@ SQL_DOC_TAG_COUNTS = """
 @query("tag1_spans_to_tags", SQL_DOC_TAG_COUNTS.format(spans=SQL_GOLD))
 def q_tags(spark, sf):
     _, docs, gold = _base(spark, sf)
-    return _count_tags(rt.doc_tags(docs, gold), "tags")
+    return _count_tags(rn.doc_runs(docs, gold))
 
 
 @query("win1_iobes", f"""
@@ -172,9 +172,7 @@ def q_tags(spark, sf):
 """)
 def q_iobes(spark, sf):
     _, docs, gold = _base(spark, sf)
-    c = sp.with_tags(wn.clip_to_windows(wn.make_windows(docs, W, S), gold, W, S), "spans", "n", "iob")
-    e = c.select(tg.to_iobes("iob").alias("t"))
-    return e.select(F.explode_outer("t").alias("tag")).filter(F.col("tag").isNotNull()).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return rn.tag_counts(rn.window_runs(docs, gold, W, S).withColumn("runs", rn.to_iobes("runs", "n")), "runs", "n")
 
 
 @query("fn4_iobes_to_iob", f"""
@@ -187,15 +185,15 @@ def q_iobes(spark, sf):
 """)
 def q_iob(spark, sf):
     _, docs, gold = _base(spark, sf)
-    t = rt.window_tags(docs, gold, W, S)
-    return t.select(F.explode_outer("tags").alias("tag")).filter(F.col("tag").isNotNull()).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    w = rn.window_runs(docs, gold, W, S).withColumn("runs", rn.to_iob(rn.to_iobes("runs", "n")))
+    return rn.tag_counts(w, "runs", "n")
 
 
 @query("win5_stitch", SQL_DOC_TAG_COUNTS.format(spans=SQL_PRED))
 def q_stitch(spark, sf):
     """Predicted spans -> window tags -> stitched document tags."""
     _, docs, gold = _base(spark, sf)
-    return _count_tags(rt.stitched_tags(rt.window_tags(docs, pred_spans(gold), W, S), W), "tags")
+    return _count_tags(rt.stitched_runs(docs, pred_spans(gold), W, S))
 
 
 @query("win3_tags_to_spans", f"""
@@ -242,8 +240,8 @@ def q_chunk_scores(spark, sf):
 """)
 def q_chunk_diff(spark, sf):
     _, docs, gold = _base(spark, sf)
-    gc = ev.chunk_rows(rt.doc_tags(docs, gold), "tags")
-    pc = ev.chunk_rows(rt.doc_tags(docs, pred_spans(gold)), "tags")
+    gc = rn.chunk_rows(rn.doc_runs(docs, gold))
+    pc = rn.chunk_rows(rn.doc_runs(docs, pred_spans(gold)))
     a, b, c = ev.chunk_diff(gc, pc)
     u = (a.select("type", F.lit("c").alias("k")).unionByName(b.select("type", F.lit("m").alias("k")))
          .unionByName(c.select("type", F.lit("s").alias("k"))))
@@ -268,9 +266,7 @@ SQL_POS_DIFF = f"""
 
 def _pairs(spark, sf):
     _, docs, gold = _base(spark, sf)
-    g = rt.doc_tags(docs, gold).select("doc_id", F.col("tags").alias("gold"))
-    p = rt.doc_tags(docs, pred_spans(gold)).select("doc_id", F.col("tags").alias("pred"))
-    return ev.pair_segments(g.join(p, "doc_id"), "gold", "pred")
+    return rn.pair_segments(rn.doc_runs(docs, gold), rn.doc_runs(docs, pred_spans(gold)))
 
 
 @query("agg7_token_accuracy", f"""
@@ -686,8 +682,8 @@ def q_tag_bigrams(spark, sf):
     """AGG17: start / transition / end counts of document IOBES gold tags."""
     from ..operators import crf
     _, docs, gold = _base(spark, sf)
-    d = rt.doc_tags(docs, gold).select(tg.to_iobes("tags").alias("tags"))
-    return crf.tag_bigrams(d, "tags").withColumn("logp", F.round("logp", 9))
+    d = rn.doc_runs(docs, gold).select(rn.bigrams(rn.to_iobes("runs", "n_doc"), "n_doc").alias("b"))
+    return crf.bigram_table(d.select(F.inline_outer("b")).filter(F.col("n").isNotNull())).withColumn("logp", F.round("logp", 9))
 
 
 SQL_EPOCH_F1 = f"""
@@ -775,9 +771,9 @@ def q_to_iob2(spark, sf):
     """WIN2: IOB1 tags (every B- written as I-, the spans never touch) are
     repaired to IOB2 and counted."""
     _, docs, gold = _base(spark, sf)
-    t = rt.doc_tags(docs, pred_spans(gold))
-    iob1 = t.select("doc_id", F.transform("tags", lambda x: F.regexp_replace(x, "^B-", "I-")).alias("t1"))
-    return _count_tags(iob1.select("doc_id", tg.to_iob2("t1").alias("tags")), "tags")
+    t = rn.doc_runs(docs, pred_spans(gold))
+    iob1 = t.withColumn("runs", F.transform("runs", lambda x: F.struct(x["at"].alias("at"), F.regexp_replace(x["tag"], "^B-", "I-").alias("tag"))))
+    return _count_tags(iob1.withColumn("runs", rn.to_iob2("runs", "n_doc")))
 
 
 @query("win4_chunk_bounds", f"""
@@ -786,8 +782,7 @@ def q_to_iob2(spark, sf):
 def q_chunk_bounds(spark, sf):
     """WIN4: the scorer's chunk rules applied to IOBES document tags."""
     _, docs, gold = _base(spark, sf)
-    t = rt.doc_tags(docs, pred_spans(gold)).select("doc_id", tg.to_iobes("tags").alias("tags"))
-    c = ev.chunk_rows(t, "tags")
+    c = rn.chunk_rows(rn.doc_runs(docs, pred_spans(gold)).withColumn("runs", rn.to_iobes("runs", "n_doc")))
     return c.groupBy("type").agg(F.count(F.lit(1)).alias("n"), _long(F.sum("len")).alias("sum_len"))
 
 

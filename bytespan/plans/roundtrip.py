@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
+from ..operators import runs as rn
 from ..operators import spans as sp
 from ..operators import stitch as st
 from ..operators import tags as tg
@@ -41,23 +42,22 @@ def stitched_tags(wtags: DataFrame, W: int = 150) -> DataFrame:
     return st.assemble(st.stitch(wtags, W, by="tags"), ["tags"])
 
 
+def stitched_runs(docs: DataFrame, spans: DataFrame, W: int = 150, S: int = 75) -> DataFrame:
+    """Spans through windows, IOBES and back, and stitching: doc_id, n_doc, runs."""
+    w = rn.window_runs(docs, spans, W, S)
+    w = w.withColumn("runs", rn.to_iob(rn.to_iobes("runs", "n")))
+    return rn.assemble(rn.stitch(w, W))
+
+
 def recovered_spans(docs: DataFrame, spans: DataFrame, W: int = 150, S: int = 75,
                     stray: str = "begin") -> DataFrame:
     """Spans after the full window round trip (long rows)."""
-    d = stitched_tags(window_tags(docs, spans, W, S), W)
-    d = tg.with_spans(d, "tags", "spans", stray)
-    return (d.select("doc_id", F.posexplode_outer("spans").alias("ord", "_s"))
-            .filter(F.col("_s").isNotNull())
-            .select("doc_id", "ord", "_s.start", "_s.len", "_s.type"))
+    return rn.span_rows(stitched_runs(docs, spans, W, S), stray=stray)
 
 
 def score_roundtrip(docs: DataFrame, gold: DataFrame, pred: DataFrame,
                     W: int = 150, S: int = 75, digits: int = 4) -> DataFrame:
     """Flagship: predictions go through windows and stitching, gold stays at
     document level; chunk scores per type plus the overall row."""
-    p = stitched_tags(window_tags(docs, pred, W, S), W)
-    g = doc_tags(docs, gold)
-    gc = ev.chunk_rows(g, "tags")
-    pc = ev.chunk_rows(p, "tags")
-    counts = ev.match_chunks(gc, pc)
+    counts = ev.match_chunks(rn.chunk_rows(rn.doc_runs(docs, gold)), rn.chunk_rows(stitched_runs(docs, pred, W, S)))
     return ev.chunk_scores(counts, digits)
