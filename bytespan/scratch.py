@@ -32,9 +32,14 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self.drop(*[df for df, _ in self.tables.values()])
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, bucketed: str | None = None) -> DataFrame:
+        """``bucketed``: a column by which later joins and groups of the table need
+        no shuffle; as many buckets as the session has shuffle partitions."""
         name = f"{self.database}.t{uuid.uuid4().hex}"
-        df.write.format("parquet").saveAsTable(name)
+        writer = df.write.format("parquet")
+        if bucketed:
+            writer = writer.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), bucketed)
+        writer.saveAsTable(name)
         out = self.spark.table(name)
         self.tables[id(out)] = (out, name)
         return out
