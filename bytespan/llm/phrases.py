@@ -14,8 +14,8 @@ enumerate pairs; sums over shards tell each shard which of its pairs are
 frequent, and it cuts its sequence at the others before it enumerates longer
 phrases.  Nothing is dropped that could reach the least count.
 
-Words are numbered densely by (lang, word), so keys are exact.  Scores use
-decimals.  Defined results: null text is empty; null lang is ``und``; a null
+Words are numbered by (lang, word) below 2^31, two to a 64-bit key, so keys are
+exact.  Scores use decimals.  Defined results: null text is empty; null lang is ``und``; a null
 doc_id does not matter; repeated rows count again; an empty table gives no row;
 only text and lang are read.  A shard is bounded by ``SHARD`` words and one text.
 """
@@ -27,8 +27,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import packed, unpacked
@@ -39,7 +38,7 @@ SHARD = 1 << 21      # words
 LEAST, LONGEST = 30, 4
 COVERED = 80         # per cent of a phrase's occurrences inside a longer one that drop it
 TOP = 2000
-BUCKETS = 4096       # hash buckets in which words are numbered
+BUCKETS = 1 << 16    # hash buckets in which words are numbered
 SALTS = 64           # parts of a language that are ranked apart first
 
 _END = np.zeros(256, bool)
@@ -212,84 +211,94 @@ def shards(documents: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "shard long, lang string, word string, local int, n long, blob binary")
 
 
-def numbered(words: DataFrame) -> DataFrame:
-    """(lang, word, f) with dense ids from 1: numbered inside hash buckets, behind
-    the buckets before."""
-    bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(BUCKETS))
-    rows = words.withColumn("bucket", bucket)
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))   # BUCKETS rows at most
-    before = sizes.select("bucket", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("before"))
-    return (rows.join(F.broadcast(before), "bucket")
-            .select((F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("lang", "word"))).alias("id"), "lang", "word", "f"))
+def numbered(rows: DataFrame, least: int) -> DataFrame:
+    """Rows of words -> shard, local, id, f, lang, word of the words that occur
+    ``least`` times; lang and word on one row of each word.  A word's number is
+    its rank in its hash bucket and the bucket, so one shuffle sums and numbers."""
+    words = rows.filter("word is not null").withColumn("bucket", F.pmod(F.xxhash64("lang", "word"), F.lit(BUCKETS))).repartition("bucket")
+    same = Window.partitionBy("bucket", "lang", "word")
+    words = words.withColumns({"f": F.sum("n").over(same), "own": F.min("shard").over(same) == F.col("shard")}).filter(F.col("f") >= least)
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("lang", "word"))
+    number = (rank.cast("long") - 1) * BUCKETS + F.col("bucket") + 1
+    words = words.withColumn("id", number).withColumn("id", F.when(F.col("id") < 1 << 31, F.col("id")).otherwise(F.raise_error(F.lit("more than 2^31 words"))))
+    once = lambda c: F.when(F.col("own"), F.col(c)).alias(c)
+    return words.select("shard", "local", "id", "f", once("lang"), once("word"))
 
 
-def _symbols(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _map(rows: pa.Table) -> pa.Table:
+    """A shard's frequent words: local and global numbers as one value."""
+    local, ids = rows.column("local").to_numpy(), rows.column("id").to_numpy()
+    order = np.argsort(ids)
+    return pa.table({"shard": [rows.column("shard")[0].as_py()], "map": pa.array([packed(local=local[order].astype(np.int32), id=ids[order].astype(np.int64))], pa.binary())})
+
+
+def _symbols(blob: bytes, known: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """A shard's sequence over its frequent words (rare ones are borders), and
     the global ids of its symbols 1, 2, ..."""
-    blobs = rows.column("blob").drop_null()
-    if len(blobs) != 1:
-        raise ValueError(f"a shard has {len(blobs)} sequences")
-    sequence = unpacked(blobs[0].as_py())["sequence"]
-    known = rows.filter(rows.column("local").is_valid())
-    local, ids = known.column("local").to_numpy(), known.column("id").to_numpy()
-    order = np.argsort(ids)
-    symbol = np.zeros(max(int(sequence.max(initial=0)), int(local.max(initial=0)) + 1) + 1, np.int64)
-    symbol[local[order] + 1] = np.arange(1, len(order) + 1)
-    return symbol[sequence], np.r_[0, ids[order]]
-
-
-def _table(shard: int, phrases: list[np.ndarray], counts: list[np.ndarray], width: int) -> pa.Table:
-    n = sum(map(len, counts))
-    words = np.zeros((n, width), np.int64)
-    at = 0
-    for p in phrases:
-        words[at:at + len(p), :p.shape[1]] = p
-        at += len(p)
-    columns = {"shard": np.full(n, shard, np.int64)} | {f"w{k + 1}": words[:, k] for k in range(width)} | {"n": np.concatenate([np.zeros(0, np.int64), *counts])}
-    return pa.Table.from_batches(pa.table(columns).to_batches(max_chunksize=100_000), schema=pa.table(columns).schema)
-
-
-def _pairs(rows: pa.Table) -> pa.Table:
-    """Pairs of adjacent frequent words of a shard."""
-    sequence, ids = _symbols(rows)
-    phrases, counts = zip(*Index(_joined(sequence), 2).phrases())
-    return _table(rows.column("shard")[0].as_py(), [ids[p] for p in phrases], list(counts), 2)
-
-
-def _longer(rows: pa.Table) -> pa.Table:
-    """Phrases of three words and more all of whose pairs are frequent."""
-    sequence, ids = _symbols(rows)
-    good = rows.filter(rows.column("w1").is_valid())
-    number = lambda c: np.searchsorted(ids, good.column(c).to_numpy())
-    good = np.sort(number("w1") * len(ids) + number("w2"))
+    sequence = unpacked(blob)["sequence"]
+    known = unpacked(known) if known is not None else {"local": np.zeros(0, np.int32), "id": np.zeros(0, np.int64)}
+    symbol = np.zeros(max(int(sequence.max(initial=0)), int(known["local"].max(initial=0)) + 1) + 1, np.int64)
+    symbol[known["local"] + 1] = np.arange(1, len(known["id"]) + 1)
+    return symbol[sequence], np.r_[0, known["id"]]
+
+
+def _key(words: np.ndarray) -> np.ndarray:
+    """Two words of each row as one number; a missing second one is 0."""
+    second = words[:, 1] if words.shape[1] > 1 else 0
+    return words[:, 0] << 32 | second
+
+
+def _chunked(**columns: np.ndarray) -> list[pa.RecordBatch]:
+    return pa.table(columns).to_batches(max_chunksize=100_000)
+
+
+def pairs_of_shards(indexed: DataFrame) -> DataFrame:
+    """(shard, blob, map) -> shard, p, n: pairs of adjacent frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, blob, known in zip(*(b.column(c) for c in ("shard", "blob", "map"))):
+                sequence, ids = _symbols(blob.as_py(), known.as_py())
+                ((words, n),) = Index(_joined(sequence), 2).phrases()
+                yield from _chunked(shard=np.full(len(n), shard.as_py(), np.int64), p=_key(ids[words]), n=n.astype(np.int32))
+
+    return indexed.mapInArrow(run, "shard long, p long, n int")
+
+
+def _longer(shard: pa.Table, good: pa.Table) -> pa.Table:
+    """Phrases of three words and more of a shard all of whose pairs are frequent."""
+    sequence, ids = _symbols(shard.column("blob")[0].as_py(), shard.column("map")[0].as_py())
+    good = good.column("p").to_numpy()
+    number = lambda x: np.searchsorted(ids, x)
+    good = np.sort(number(good >> 32) * len(ids) + number(good & 0xFFFFFFFF))
     pair = np.r_[0, sequence[:-1] * len(ids) + sequence[1:]]
     at = np.minimum(np.searchsorted(good, pair), max(0, len(good) - 1))
     sequence = _joined(sequence, good[at] != pair if len(good) else np.ones(len(pair), bool))
     found = list(Index(sequence, LONGEST).phrases())[1:]
-    return _table(rows.column("shard")[0].as_py(), [ids[p] for p, _ in found], [n for _, n in found], LONGEST)
+    columns = {"p": np.concatenate([_key(ids[w[:, :2]]) for w, _ in found]), "q": np.concatenate([_key(ids[w[:, 2:]]) for w, _ in found]),
+               "n": np.concatenate([n for _, n in found]).astype(np.int32)}
+    return pa.Table.from_batches(_chunked(**columns), schema=pa.table(columns).schema)
 
 
 def counted(documents: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Frequent words (id, lang, word, f), frequent phrases (w1 .. w4, 0 where
-    shorter, f), and the number of all words of each lang (lang, n)."""
-    rows = scratch.keep(shards(documents))
-    words = scratch.keep(rows.filter("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("f")))
-    size = scratch.keep(words.groupBy("lang").agg(F.sum("f").alias("n")))
-    often = scratch.keep(numbered(words.filter(F.col("f") >= least)))
-    member = scratch.keep(rows.filter("word is not null").join(often, ["lang", "word"]).select("shard", "local", "id"))
-    sequences = rows.filter("blob is not null").select("shard", "blob")
-    each = sequences.unionByName(member, allowMissingColumns=True)
-    pairs = each.groupBy("shard").applyInArrow(_pairs, "shard long, w1 long, w2 long, n long")
-    total = F.sum("n").over(Window.partitionBy("w1", "w2"))
-    good = scratch.keep(pairs.withColumn("f", total).filter(F.col("f") >= least).select("shard", "w1", "w2", "f"))
-    each = each.unionByName(good.select("shard", "w1", "w2"), allowMissingColumns=True)
-    names = [f"w{k}" for k in range(1, LONGEST + 1)]
-    longer = each.groupBy("shard").applyInArrow(_longer, "shard long, " + ", ".join(f"{w} long" for w in names) + ", n long")
-    longer = longer.groupBy(*names).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    two = good.groupBy("w1", "w2").agg(F.max("f").alias("f")).select("w1", "w2", *[F.lit(0).cast("long").alias(w) for w in names[2:]], "f")
+    """Frequent words (id, lang, word, f), frequent phrases (p, q: their words
+    two by two, f), and the number of all words of each lang (lang, n)."""
+    rows = scratch.keep(shards(documents), bucketed="shard")
+    size = scratch.keep(rows.filter("word is not null").groupBy("lang").agg(F.sum("n").alias("n")))
+    often = scratch.keep(numbered(rows, least))
+    words = scratch.keep(often.filter("word is not null").select("id", "lang", "word", "f"))
+    maps = scratch.keep(often.groupBy("shard").applyInArrow(_map, "shard long, map binary"), bucketed="shard")
+    scratch.drop(often)
+    # sequences stay where they are: both tables lie in buckets of shards
+    indexed = rows.filter("blob is not null").select("shard", "blob").join(maps, "shard", "left")
+    total = F.sum("n").over(Window.partitionBy("p"))
+    good = scratch.keep(pairs_of_shards(indexed).withColumn("f", total).filter(F.col("f") >= least).select("shard", "p", "f"))
+    longer = indexed.groupBy("shard").cogroup(good.select("shard", "p").groupBy("shard")).applyInArrow(_longer, "p long, q long, n int")
+    longer = longer.groupBy("p", "q").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    two = good.groupBy("p").agg(F.max("f").alias("f")).select("p", F.lit(0).cast("long").alias("q"), "f")
     phrases = scratch.keep(two.unionByName(longer))
-    scratch.drop(rows, words, member, good)
-    return often, phrases, size
+    scratch.drop(rows, maps, good)
+    return words, phrases, size
 
 
 def _score(a, l, r):  # noqa: E741
@@ -298,40 +307,49 @@ def _score(a, l, r):  # noqa: E741
     return F.call_function("div", F.lit(2_000_000).cast("decimal(7,0)") * wide(a), wide(l) + wide(r))
 
 
+def _two(*words: Column | None) -> Column:
+    """Key of one word or two."""
+    first, second = words[0], words[1] if len(words) > 1 else None
+    key = F.shiftleft(first, 32)
+    return key if second is None else key.bitwiseOR(second)
+
+
+def _keyed(words: list[Column]) -> tuple[Column, Column]:
+    return _two(*words[:2]), _two(*words[2:]) if len(words) > 2 else F.lit(0).cast("long")
+
+
 def collocations(documents: DataFrame, top: int = TOP, least: int = LEAST) -> DataFrame:
     """-> lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each lang."""
-    names = [f"w{k}" for k in range(1, LONGEST + 1)]
+    low = F.lit((1 << 32) - 1)
+    word = [F.shiftrightunsigned("p", 32), F.col("p").bitwiseAND(low), F.shiftrightunsigned("q", 32), F.col("q").bitwiseAND(low)]
+    length = F.lit(2) + (word[2] > 0).cast("int") + (word[3] > 0).cast("int")
     with Scratch(documents.sparkSession) as scratch:
         words, phrases, size = counted(documents, scratch, least)
-        single = words.select(F.col("id").alias("w1"), *[F.lit(0).cast("long").alias(w) for w in names[1:]], "f")
-        every = phrases.unionByName(single)
-        length = sum(F.when(F.col(w) > 0, 1).otherwise(0) for w in names)
-        part = lambda at, to, length: [F.col(f"w{k}") if k <= to else F.lit(0).cast("long") for k in range(at, to + 1)] + [F.lit(0).cast("long")] * (length - (to - at + 1))
+        every = phrases.unionByName(words.select(_two(F.col("id")).alias("p"), F.lit(0).cast("long").alias("q"), "f"))
         scored = []
         for k in range(2, LONGEST + 1):
             rows = phrases.filter(length == k).withColumnRenamed("f", "a")
             if k < LONGEST:      # most occurrences inside one longer phrase: those of k + 1 words have the most
                 more = phrases.filter(length == k + 1)
-                sides = [more.select(*[c.alias(w) for c, w in zip(part(at, at + k - 1, LONGEST), names)], "f") for at in (1, 2)]
-                inside = sides[0].unionByName(sides[1]).groupBy(*names).agg(F.max("f").alias("inside"))
-                rows = rows.join(inside, names, "left").filter(F.coalesce(F.col("inside") * 100 < F.col("a") * COVERED, F.lit(True))).drop("inside")
+                sides = [more.select(*[c.alias(x) for c, x in zip(_keyed(word[i:i + k]), "pq")], "f") for i in (0, 1)]
+                inside = sides[0].unionByName(sides[1]).groupBy("p", "q").agg(F.max("f").alias("inside"))
+                rows = rows.join(inside, ["p", "q"], "left").filter(F.coalesce(F.col("inside") * 100 < F.col("a") * COVERED, F.lit(True))).drop("inside")
             cuts = []
             for cut in range(1, k):
-                for side, at, to in (("l", 1, cut), ("r", cut + 1, k)):
-                    key = [f"{side}{cut}_{w}" for w in names]
-                    rows = rows.withColumns(dict(zip(key, part(at, to, LONGEST))))
-                    rows = rows.join(every.toDF(*key, f"{side}{cut}"), key).drop(*key)
+                for side, part in (("l", word[:cut]), ("r", word[cut:k])):
+                    p, q = _keyed(part)
+                    rows = rows.withColumns({"kp": p, "kq": q}).join(every.toDF("kp", "kq", f"{side}{cut}"), ["kp", "kq"]).drop("kp", "kq")
                 cuts.append(F.struct(_score(F.col("a"), F.col(f"l{cut}"), F.col(f"r{cut}")).alias("score"), F.lit(cut).alias("cut"),
                                      F.col(f"l{cut}").alias("l"), F.col(f"r{cut}").alias("r")))
-            scored.append(rows.select(*names, "a", (F.least(*cuts) if len(cuts) > 1 else cuts[0]).alias("x")))
+            scored.append(rows.select("p", "q", "a", (F.least(*cuts) if len(cuts) > 1 else cuts[0]).alias("x")))
         rows = scored[0]
         for more in scored[1:]:
             rows = rows.unionByName(more)
-        rows = rows.select(*names, "a", "x.l", "x.r", "x.score")
-        for w in names:
-            name = words.select(F.col("id").alias(w), F.col("word").alias(f"_{w}"), *([F.col("lang")] if w == "w1" else []))
-            rows = rows.join(name, w, "inner" if w == "w1" else "left")
-        rows = rows.select("lang", F.concat_ws(" ", *[f"_{w}" for w in names]).alias("phrase"), "a", "l", "r", "score")
+        rows = rows.select("p", "q", "a", "x.l", "x.r", "x.score")
+        for k, w in enumerate(word):
+            name = words.select(F.col("id").alias("k"), F.col("word").alias(f"w{k}"), *([] if k else [F.col("lang")]))
+            rows = rows.withColumn("k", w).join(name, "k", "left" if k > 1 else "inner").drop("k")
+        rows = rows.select("lang", F.concat_ws(" ", *[f"w{k}" for k in range(LONGEST)]).alias("phrase"), "a", "l", "r", "score")
         order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
         first = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("first", first).filter(F.col("first") <= top)
