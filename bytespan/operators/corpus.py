@@ -99,3 +99,25 @@ def concat_corpora(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def union_corpora(corpora: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """SET1 with documents of their own identity: name -> (docs, spans), as read
+    from files (``doc_id`` counts from 0 in each ``file``, if there is one).
+    -> docs and spans with ``corpus``, ``file``, ``source_id`` (the old id) and a
+    ``doc_id`` that is unique over all of them: corpora in the order of their
+    names, their files by path, each behind the ids of those before.  The table of
+    files, one row each, is all that is ordered."""
+    def named(df: DataFrame, name: str) -> DataFrame:
+        file = F.col("file") if "file" in df.columns else F.lit("")
+        return df.withColumns({"corpus": F.lit(name), "file": file}).withColumnRenamed("doc_id", "source_id")
+
+    def joined(k: int) -> DataFrame:
+        return concat_corpora([named(pair[k], name) for name, pair in sorted(corpora.items())])
+
+    docs, spans = joined(0), joined(1)
+    sizes = docs.groupBy("corpus", "file").agg((F.max("source_id") + 1).alias("_n"))
+    w = Window.orderBy("corpus", "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("corpus", "file", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    keyed = lambda df: df.join(before, ["corpus", "file"]).withColumn("doc_id", F.col("_before") + F.col("source_id")).drop("_before")
+    return keyed(docs), keyed(spans)

@@ -10,8 +10,11 @@ is), then ``split`` yields the sentences.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bytes import latin1
 
@@ -21,18 +24,24 @@ TRAILING_WS = " \t\n\r\x0b\x0c"
 _SEP = "\u0001"
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _starts(lengths: pa.Array) -> pa.Array:
+    """Where each sentence of a row begins: the sum of the lengths before it."""
+    size = lengths.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.cumsum(flat) - flat
+    first = np.cumsum(size) - size
+    base = np.repeat(before[np.minimum(first, max(0, len(before) - 1))], size) if len(flat) else flat
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(before - base, pa.int32()))
+
+
 def split_sentences(docs: DataFrame, body: str = "body") -> DataFrame:
     """FN1: one row per sentence: ``doc_id, idx, start, len, text`` (byte
     offsets into the document, ``text`` in the Latin-1 view)."""
     v = F.rtrim(latin1(body), F.lit(TRAILING_WS))
     d = docs.select("doc_id", F.split(F.regexp_replace(v, CUT_PATTERN, "$1" + _SEP + "$2"), _SEP).alias("_s"))
     d = d.select("doc_id", "_s", F.transform("_s", lambda x: F.length(x) + 1).alias("_l"))
-    # start of sentence i = sum of (len + 1) of the sentences before it; the
-    # separator array is small (one entry per sentence), so the prefix sum is
-    # a bounded aggregate per row
-    starts = F.aggregate("_l", F.array().cast("array<int>"),
-                         lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
-    d = d.select("doc_id", "_s", F.concat(F.array(F.lit(0)), starts).alias("_st"))
+    d = d.select("doc_id", "_s", _starts(F.col("_l")).alias("_st"))
     z = F.transform("_s", lambda x, i: F.struct(i.alias("idx"), F.col("_st")[i].alias("start"),
                                                 F.length(x).alias("len"), x.alias("text")))
     return d.select("doc_id", F.inline_outer(z)).filter(F.col("idx").isNotNull())

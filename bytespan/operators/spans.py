@@ -2,11 +2,12 @@
 
 Spans are ``struct<start:int,len:int,type:string>`` (optionally with an
 ``ord`` listing index).  Conflict rules are greedy and order dependent; they
-run as one ``aggregate`` over the row's sorted span array (no shuffle).
+are one walk over the row's sorted span array (no shuffle).
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,52 +34,54 @@ def order_spans(spans, descending: bool = True) -> Column:
     return _strip(F.reverse(keyed) if descending else keyed)
 
 
-def resolve_rightmost(spans) -> Column:
-    """SRT2: non-overlapping spans, rightmost first.
-
-    Spans are visited by start descending (equal starts: the later listed one
-    first); a span is kept when it ends at or before the smallest start kept
-    so far.  Zero-length spans are dropped.
-    """
-    desc = F.reverse(F.array_sort(_with_ord(spans)))
-    desc = F.filter(desc, lambda s: s["len"] >= 1)
-    init = F.struct(F.lit(2147483647).alias("m"),
-                    F.array().cast(f"array<{SPAN_STRUCT}>").alias("k"))
-    acc = F.aggregate(
-        desc, init,
-        lambda a, s: F.when(
-            s["start"] + s["len"] <= a["m"],
-            F.struct(s["start"].alias("m"),
-                     F.array_append(a["k"], F.struct(s["start"].alias("start"), s["len"].alias("len"),
-                                                     s["type"].alias("type"))).alias("k")))
-        .otherwise(a))
-    return F.reverse(acc["k"])                       # ascending by start
-
-
 def sorted_spans(spans) -> Column:
     """Spans sorted by (start, listing order), zero-length ones removed."""
     return F.filter(F.array_sort(_with_ord(spans)), lambda s: s["len"] >= 1)
 
 
-def resolve_leftmost(spans) -> Column:
-    """SRT3: non-overlapping spans, leftmost first.
+def _kept(rule: str):
+    """Arrow UDF: spans sorted by (start, ord), none empty -> the kept ones, in
+    order.  One walk over a row's spans, whatever their number.
 
-    Per start the last listed span wins; then walking left to right a span is
-    kept when it starts at or after the end of the last kept one.
+    SRT2 ``rightmost``: from the greatest start down (of equal starts the later
+    listed first) a span is kept if it ends at or before the smallest start kept
+    so far.  SRT3 ``leftmost``: of equal starts the last listed one counts; from
+    the left a span is kept if it starts at or after the end of the last kept one.
     """
-    asc = _c(spans)   # must be a materialised column sorted by (start, ord), len >= 1
-    # last listed per start: drop an element when the next one has the same start
-    last_per_start = F.filter(asc, lambda s, i: (i + 1 >= F.size(asc)) | (asc[i + 1]["start"] != s["start"]))
-    init = F.struct(F.lit(-1).alias("e"), F.array().cast(f"array<{SPAN_STRUCT}>").alias("k"))
-    acc = F.aggregate(
-        last_per_start, init,
-        lambda a, s: F.when(
-            s["start"] >= a["e"],
-            F.struct((s["start"] + s["len"]).alias("e"),
-                     F.array_append(a["k"], F.struct(s["start"].alias("start"), s["len"].alias("len"),
-                                                     s["type"].alias("type"))).alias("k")))
-        .otherwise(a))
-    return acc["k"]
+    def rightmost(start: list[int], end: list[int]) -> list[int]:
+        least, kept = 1 << 62, []
+        for i in range(len(start) - 1, -1, -1):
+            if end[i] <= least:
+                least = start[i]
+                kept.append(i)
+        return kept[::-1]
+
+    def leftmost(start: list[int], end: list[int]) -> list[int]:
+        last, kept = -1, []
+        for i in range(len(start)):
+            if start[i] >= last and (i + 1 == len(start) or start[i + 1] != start[i]):
+                last = end[i]
+                kept.append(i)
+        return kept
+
+    walk = {"rightmost": rightmost, "leftmost": leftmost}[rule]
+
+    @F.arrow_udf(f"array<{SPAN_STRUCT}>")
+    def kept(spans: pa.Array) -> pa.Array:
+        size = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = spans.flatten()
+        start = flat.field("start").to_numpy(zero_copy_only=False)
+        end = start + flat.field("len").to_numpy(zero_copy_only=False)
+        at, rows, offsets = 0, [], [0]
+        for n in size.tolist():
+            rows += [at + i for i in walk(start[at:at + n].tolist(), end[at:at + n].tolist())] if n else []
+            at += n
+            offsets.append(len(rows))
+        taken = flat.take(pa.array(rows, pa.int64()))
+        made = pa.StructArray.from_arrays([taken.field(c) for c in ("start", "len", "type")], names=["start", "len", "type"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)
+
+    return kept
 
 
 def tags_from_spans(sp, n) -> Column:
@@ -107,20 +110,20 @@ def _disjoint(srt) -> Column:
 
 def resolve(df: DataFrame, spans: str = "spans", out: str = "resolved",
             conflict: str = "rightmost") -> DataFrame:
-    """Apply a conflict rule to a span-array column (SRT2 / SRT3).
+    """Apply a conflict rule to a span-array column (SRT2 ``rightmost``, SRT3
+    ``leftmost``); spans of length 0 are dropped.
 
-    Disjoint span lists (the common case) are returned sorted without the
-    sequential walk; only rows with a conflict run the greedy ``aggregate``.
+    Disjoint lists (the common case) are returned sorted; only rows with a
+    conflict, and only their spans, go through the walk.
     """
+    if conflict not in ("rightmost", "leftmost", "none"):
+        raise ValueError(conflict)
     srt = df.withColumn("_srt", sorted_spans(spans))
-    if conflict == "rightmost":
-        return srt.withColumn(out, F.when(_disjoint("_srt"), _strip(F.col("_srt")))
-                              .otherwise(resolve_rightmost(F.col(spans)))).drop("_srt")
-    if conflict == "leftmost":
-        return srt.withColumn(out, resolve_leftmost("_srt")).drop("_srt")
     if conflict == "none":
         return srt.withColumn(out, _strip(F.col("_srt"))).drop("_srt")
-    raise ValueError(conflict)
+    srt = srt.withColumn("_ok", F.coalesce(_disjoint("_srt"), F.lit(True)))
+    walked = _kept(conflict)(F.when(~F.col("_ok"), F.col("_srt")))
+    return srt.withColumn(out, F.when(F.col("_ok"), _strip(F.col("_srt"))).otherwise(walked)).drop("_srt", "_ok")
 
 
 def with_tags(df: DataFrame, spans: str = "spans", n: str = "n", out: str = "tags",

@@ -21,6 +21,7 @@ from ..operators import spans as sp
 from ..operators import stitch as st
 from ..operators import tags as tg
 from ..operators import windows as wn
+from ..operators.words import singletons
 from . import roundtrip as rt
 from .synthetic import SQL_GOLD, SQL_PRED, SQL_WORDS, docs_from_documents, gold_spans, load, pred_spans, words
 
@@ -417,9 +418,7 @@ def q_word_offsets(spark, sf):
 """)
 def q_singletons(spark, sf):
     documents = load(spark, sf, "documents")
-    w = words(documents).filter(F.col("len") > 0)
-    s = w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 1)
-    return s.select(display("word").alias("word"))
+    return singletons(words(documents)).select(display("word").alias("word"))
 
 
 # the byte view: every byte as the character of that number
@@ -593,10 +592,15 @@ def _emission_windows(spark, sf):
         *[((b * j) % 7) / 7.0 for j in range(1, N_TAGS + 1)])).alias("scores"))
 
 
-SQL_DOC_BYTES = """
-  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(replace(text, chr(10), ' '))), '..'),
-                                lambda x: CAST(('0x' || x) AS INTEGER)) AS bl FROM documents
-"""
+def _lattice(spark, sf, **want):
+    """Windows with outputs of the lattice node under the same emissions, which
+    the node looks up by byte id; of the padded window, or of its own bytes."""
+    from ..operators import crf
+    _, docs, _ = _base(spark, sf)
+    w = wn.make_windows(docs, W, S).select("doc_id", "win", "n", wn.byte_ids("text", W).alias("ids"))
+    table = [[((b * j) % 7) / 7.0 for j in range(1, N_TAGS + 1)] for b in range(257)]
+    return crf.lattice(w, want, U_TEST, B_START, B_END, ids="ids", scorer=crf.TableScorer(table), mask="n", keep=["doc_id", "win", "n"])
+
 
 SQL_POSITIONS = f"""
   SELECT doc_id, win, p, b, [((b * 1) % 7) / 7.0, ((b * 2) % 7) / 7.0, ((b * 3) % 7) / 7.0, ((b * 4) % 7) / 7.0,
@@ -627,10 +631,8 @@ SQL_ENERGY = f"""
 
 
 def _energies(spark, sf):
-    from ..operators import crf
-    e = _emission_windows(spark, sf)
-    e = e.withColumn("y", an.argmax_tag("scores"))
-    return e.withColumn("energy", crf.path_energy("y", "scores", U_TEST, B_START, B_END))
+    from ..operators.crf import Want
+    return _lattice(spark, sf, energy=Want("energy", of="argmax"))
 
 
 @query("ml4_path_energy", f"SELECT doc_id, CAST(win AS BIGINT) AS win, round(energy, 6) AS energy FROM ({SQL_ENERGY})")
@@ -804,8 +806,8 @@ def _eq(k):
 def q_viterbi(spark, sf):
     """ML3: Viterbi paths of every window's emissions; per document the number
     of positions per decoded tag."""
-    from ..operators import crf
-    e = crf.viterbi(_emission_windows(spark, sf), "scores", U_TEST, B_START, B_END, "path")
+    from ..operators.crf import Want
+    e = _lattice(spark, sf, path=Want("path"))
     n = lambda k: F.size(F.filter("path", lambda y: y == k))
     return e.groupBy("doc_id").agg(*[_long(F.sum(n(k))).alias(f"n_tag{k}") for k in range(N_TAGS)])
 
@@ -832,12 +834,8 @@ def _sql_forward(step: str, last: str) -> str:
 def q_viterbi_energy(spark, sf):
     """ML3 + ML4 + ML8: energies of the decoded paths, unmasked and over a
     window's own bytes; both are maxima over all paths."""
-    from ..operators import crf
-    e = crf.viterbi(_emission_windows(spark, sf), "scores", U_TEST, B_START, B_END, "path")
-    e = crf.viterbi(e, "scores", U_TEST, B_START, B_END, "masked", mask="n")
-    e = e.withColumn("masked", F.slice("masked", F.lit(1), F.col("n")))
-    e = e.withColumn("a", crf.path_energy("path", "scores", U_TEST, B_START, B_END))
-    e = e.withColumn("b", crf.path_energy("masked", "scores", U_TEST, B_START, B_END))
+    from ..operators.crf import Want
+    e = _lattice(spark, sf, a=Want("best"), b=Want("best", masked=True))
     return e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"), F.round(F.sum("a"), 4).alias("best"),
                                    F.round(F.sum("b"), 4).alias("best_masked"))
 
@@ -853,13 +851,29 @@ _LSE = "ln(exp({}) + exp({}) + exp({}) + exp({}) + exp({}))"
 def q_log_likelihood(spark, sf):
     """ML5 + ML6 (+ ML8 masked): log partition and log-likelihood of the
     argmax path per window."""
-    from ..operators import crf
-    e = _emission_windows(spark, sf).withColumn("y", an.argmax_tag("scores"))
-    e = crf.log_likelihood(e, "y", "scores", U_TEST, B_START, B_END)
-    e = crf.log_partition(e, "scores", U_TEST, B_START, B_END, "logz")
-    e = crf.log_partition(e, "scores", U_TEST, B_START, B_END, "logz_masked", mask="n")
+    from ..operators.crf import Want
+    e = _lattice(spark, sf, logz=Want("logz"), logz_masked=Want("logz", masked=True), energy=Want("energy", of="argmax"))
     return e.select("doc_id", _long("win").alias("win"), F.round("logz", 6).alias("logz"),
-                    F.round("ll", 6).alias("ll"), F.round("logz_masked", 6).alias("logz_masked"))
+                    F.round(F.col("energy") - F.col("logz"), 6).alias("ll"), F.round("logz_masked", 6).alias("logz_masked"))
+
+
+@query("ml7_fit_crf")
+def q_fit_crf(spark, sf):
+    """ML7: transitions and borders of the gold IOB tags of all windows under the
+    table emissions, fitted by maximum likelihood; the last row is the
+    log-likelihood a window."""
+    from ..operators import crf
+    _, docs, gold = _base(spark, sf)
+    tags = ["O", *(f"{p}-{t}" for t in sorted(r.type for r in gold.select("type").distinct().collect()) for p in "BI")]
+    w = rn.window_runs(docs, gold, W, S)
+    y = F.transform(rn.to_tags("runs", "n"), lambda t: F.array_position(F.array(*map(F.lit, tags)), t).cast("int") - 1)
+    ids = wn.make_windows(docs, W, S).select("doc_id", "win", wn.byte_ids("text", W).alias("ids"))
+    table = [[((b * j) % 7) / 7.0 for j in range(1, len(tags) + 1)] for b in range(257)]
+    got = crf.fit_crf(w.select("doc_id", "win", "n", y.alias("y")).join(ids, ["doc_id", "win"]), "y", len(tags), ids="ids",
+                      scorer=crf.TableScorer(table), mask="n", iters=12)
+    rows = [(a, b, float(got.U[i, j])) for i, a in enumerate(tags) for j, b in enumerate(tags)]
+    rows += [("<START>", t, float(v)) for t, v in zip(tags, got.b_start)] + [(t, "<END>", float(v)) for t, v in zip(tags, got.b_end)]
+    return spark.createDataFrame([*rows, ("<ALL>", "<ALL>", got.history[-1])], "prev string, next string, value double")
 
 
 @query("agg14_learn_bpe")
@@ -1021,3 +1035,61 @@ def q_sample_vectors(spark, sf):
     _, docs, gold = _base(spark, sf)
     model = tagger.train(docs, gold, ["contact", "name", "number"], W)
     return em.sample_vectors(tagger.scored_windows(docs, model), W)
+
+
+# ------------------------------------------------------------------ validation, padding, combined features
+
+SQL_FAULTY = f"""
+  SELECT doc_id, ord, CASE WHEN ord % 13 = 5 THEN start - 1000000 ELSE start END AS start,
+         CASE WHEN ord % 5 = 1 THEN 0 WHEN ord % 7 = 3 THEN len + 200 ELSE len END AS len,
+         CASE WHEN ord % 11 = 4 THEN 'other' ELSE type END AS type FROM ({SQL_GOLD})
+"""
+
+
+@query("q13_violations", f"""
+  WITH s AS (SELECT *, lag(start + len) OVER (PARTITION BY doc_id ORDER BY start, ord) AS before FROM ({SQL_FAULTY})),
+  j AS (SELECT s.*, strlen(d.text) AS n FROM s JOIN documents d USING (doc_id))
+  SELECT doc_id, CAST(ord AS BIGINT) AS ord, kind, CAST(start AS BIGINT) AS at, detail FROM (
+    SELECT doc_id, ord, 'negative_start' AS kind, start, CAST(start AS VARCHAR) AS detail FROM j WHERE start < 0
+    UNION ALL SELECT doc_id, ord, 'empty', start, CAST(len AS VARCHAR) FROM j WHERE len < 1
+    UNION ALL SELECT doc_id, ord, 'past_end', start, CAST(start + len - n AS VARCHAR) FROM j WHERE start + len > n
+    UNION ALL SELECT doc_id, ord, 'unknown_type', start, type FROM j WHERE type = 'other'
+    UNION ALL SELECT doc_id, ord, 'overlap', start, CAST(before - start AS VARCHAR) FROM j WHERE len > 0 AND before > start)
+""")
+def q_violations(spark, sf):
+    """Gold spans with faults put in by their number, and what the validation finds."""
+    from ..operators import quality
+    _, docs, gold = _base(spark, sf)
+    o = F.col("ord")
+    bad = gold.select("doc_id", "ord", F.when(o % 13 == 5, F.col("start") - 1000000).otherwise(F.col("start")).alias("start"),
+                      F.when(o % 5 == 1, F.lit(0)).when(o % 7 == 3, F.col("len") + 200).otherwise(F.col("len")).alias("len"),
+                      F.when(o % 11 == 4, F.lit("other")).otherwise(F.col("type")).alias("type"))
+    return quality.span_violations(docs, bad, ["contact", "name", "number"])
+
+
+@query("prj10_drop_padding", f"""
+  WITH w AS ({SQL_WINDOWS})
+  SELECT w.doc_id, count(*) AS n_positions, CAST(sum(bl[w.start + i + 1]) AS BIGINT) AS sum_ids
+  FROM (SELECT doc_id, start, unnest(range(0, n)) AS i FROM w) w JOIN ({SQL_DOC_BYTES}) d USING (doc_id) GROUP BY w.doc_id
+""")
+def q_drop_padding(spark, sf):
+    """PRJ10: positions of padded windows without the padding."""
+    _, docs, _ = _base(spark, sf)
+    w = wn.make_windows(docs, W, S).select("doc_id", "n", F.posexplode(wn.byte_ids("text", W)).alias("pos", "id"))
+    return wn.drop_padding(w).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_positions"), _long(F.sum("id")).alias("sum_ids"))
+
+
+@query("jn9_combine_features", f"""
+  WITH t AS (SELECT doc_id, bl AS b, list_transform(bl, lambda x: CASE WHEN x IN (32, 9, 13) THEN 0
+                WHEN x BETWEEN 48 AND 57 OR x BETWEEN 65 AND 90 OR x BETWEEN 97 AND 122 OR x >= 128 THEN 1 ELSE 2 END) AS c FROM ({SQL_DOC_BYTES})),
+  p AS (SELECT doc_id, unnest(b) AS b, unnest(c) AS c FROM t)
+  SELECT b, c AS class, count(*) AS n FROM (SELECT CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c FROM p) GROUP BY b, c
+""")
+def q_combine_features(spark, sf):
+    """JN9: byte and class channels of every document combined by position."""
+    from ..operators import features as fe
+    documents = load(spark, sf, "documents")
+    d = fe.with_byte_classes(documents.select("doc_id", F.translate(text_view("text"), "\n", " ").alias("v")), "v", "class")
+    d = d.withColumn("byte", wn.byte_ids("v"))
+    rows = d.select(F.explode_outer(fe.combine_features("byte", "class")).alias("z")).filter(F.col("z").isNotNull())
+    return rows.groupBy(_long("z.byte").alias("b"), _long("z.class").alias("class")).agg(F.count(F.lit(1)).alias("n"))

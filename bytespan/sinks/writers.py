@@ -117,18 +117,6 @@ def write_triples(docs: DataFrame, spans: DataFrame, out: str):
     docs.join(nested, "doc_id", "left").write.mode("overwrite").parquet(out)
 
 
-def materialize(df: DataFrame, path: str, rebuild: bool = False) -> DataFrame:
-    """SNK9: write once, reuse unless a rebuild is forced (``_SUCCESS`` marks
-    a complete write; the path is on the shared file system)."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if rebuild or not fs.exists(hpath):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def render_text(byte_rows: DataFrame, b: str = "b", pos: str = "pos") -> DataFrame:
     """SNK10: ordinal byte rows -> readable text per sample."""
     g = byte_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(pos, b))).alias("_r"))

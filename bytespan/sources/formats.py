@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.annotations import parse_triples
 from ..functions.bytes import chars, from_latin1, latin1
 from ..operators import tags as tg
-from .text import read_lines
+from .text import dense_ranks, previous, read_lines, read_segments
 
 
-def read_src(spark: SparkSession, path: str) -> DataFrame:
-    """SRC2: one document per line (bytes kept; only the ``\\n`` is cut)."""
+def read_src(spark: SparkSession, path: str, with_file: bool = False) -> DataFrame:
+    """SRC2: one document per line (bytes kept; only the ``\\n`` is cut).  ids
+    count from 0 in each file; ``with_file`` adds its path, by which
+    ``union_corpora`` makes them unique over a folder."""
     lines = read_lines(spark, path, binary=True)
-    return lines.select(F.col("line_no").alias("doc_id"), F.col("line").alias("body"))
+    return lines.select(*(["file"] if with_file else []), F.col("line_no").alias("doc_id"), F.col("line").alias("body"))
 
 
 def zip_lines(a: DataFrame, b: DataFrame, strict: bool = False) -> DataFrame:
@@ -47,25 +49,21 @@ def read_src_tgt(spark: SparkSession, src: str, tgt: str, strict: bool = False):
     return j.select("doc_id", "body"), spans
 
 
-def _sentences(lines: DataFrame) -> DataFrame:
-    """Sentence id per line = number of blank lines before it (within the
-    file); blank lines themselves are dropped."""
-    blank = (F.length(F.trim("line")) == 0).cast("int")
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return (lines.withColumn("_blank", blank).withColumn("sent", F.sum("_blank").over(w))
-            .filter(F.col("_blank") == 0).drop("_blank"))
+def _blank(line):
+    return F.length(F.trim(line)) == 0
 
 
-def _byte_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines in the Latin-1 view: one character per byte."""
-    return read_lines(spark, path, binary=True).withColumn("line", latin1("line"))
+def _sentences(spark: SparkSession, path: str) -> DataFrame:
+    """Lines in the Latin-1 view, one character per byte; sentence id = blank
+    lines of the file before the line, which are dropped themselves."""
+    return read_segments(spark, path, lambda line: _blank(latin1(line)), binary=True).withColumn("line", latin1("line"))
 
 
 def read_byte_iob(spark: SparkSession, path: str, space_token: str = "<SPACE>", stray: str = "error"):
     """SRC3: ``<byte> <tag>`` per line, blank line between samples.  The tag
     is the last field; the byte is the rest of the line (so whitespace bytes
     other than space survive), ``space_token`` is a space."""
-    s = _sentences(_byte_lines(spark, path))
+    s = _sentences(spark, path)
     pattern = r"(?s)^(.*) (\S+)$"
     line = F.when(F.col("line").rlike(pattern), F.col("line")).otherwise(
         F.raise_error(F.concat(F.lit("not a byte and a tag: line "), F.col("line_no"))).cast("string"))
@@ -83,7 +81,7 @@ def read_byte_iob(spark: SparkSession, path: str, space_token: str = "<SPACE>",
 def read_word_iob(spark: SparkSession, path: str, stray: str = "error"):
     """SRC4: word-IOB (first field = word, last field = tag); words are
     joined by one space and spans are byte offsets of the joined text."""
-    s = _sentences(_byte_lines(spark, path))
+    s = _sentences(spark, path)
     s = s.select("file", "sent", "line_no", F.split(F.trim("line"), r"\s+").alias("f"))
     s = s.select("file", "sent", "line_no", F.col("f")[0].alias("word"), F.element_at("f", -1).alias("tag"))
     g = s.groupBy("file", "sent").agg(F.array_sort(F.collect_list(F.struct("line_no", "word", "tag"))).alias("_r"))
@@ -109,7 +107,7 @@ def read_word_iob(spark: SparkSession, path: str, stray: str = "error"):
 def read_ordinal_iob(spark: SparkSession, path: str, ordinal: bool = True, stray: str = "begin"):
     """SRC5: ``97 O`` / ``97,12,3 B-x``: the byte is the first comma-separated
     id; the non-ordinal variant reads a one-field line as a space."""
-    s = _sentences(_byte_lines(spark, path))
+    s = _sentences(spark, path)
     f = F.split(F.trim("line"), " ")
     s = s.select("file", "sent", "line_no", f.alias("f"))
     if ordinal:
@@ -129,12 +127,9 @@ def read_conll(spark: SparkSession, path: str, delimiter: str = " ", o_tag: str
     """SRC10: scorer input ``feat... gold pred``; blank or ``-X-`` lines are
     boundaries.  Returns one row per sequence with gold / pred arrays."""
     from ..operators.evaluate import BOUNDARY, normalize_tag
-    lines = read_lines(spark, path)
-    f = F.split("line", re.escape(delimiter))   # the delimiter is text, not a pattern
-    s = lines.select("file", "line_no", f.alias("f"), "line")
-    bnd = (F.length("line") == 0) | (F.col("f")[0] == BOUNDARY)
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_b", bnd.cast("int")).withColumn("sent", F.sum("_b").over(w)).filter(F.col("_b") == 0)
+    fields = lambda line: F.split(line, re.escape(delimiter))  # noqa: E731  the delimiter is text, not a pattern
+    s = read_segments(spark, path, lambda line: (F.length(line) == 0) | (fields(line)[0] == BOUNDARY))
+    s = s.withColumn("f", fields("line"))
     s = s.select("file", "sent", "line_no", normalize_tag(F.element_at("f", -2), o_tag, raw).alias("gold"),
                  normalize_tag(F.element_at("f", -1), o_tag, raw).alias("pred"), F.size("f").alias("nf"))
     g = s.groupBy("file", "sent").agg(F.array_sort(F.collect_list(F.struct("line_no", "gold", "pred"))).alias("_r"),
@@ -150,23 +145,22 @@ def read_embeddings(spark: SparkSession, path: str, dim: int):
     occurrence of a token wins, ids dense afterwards."""
     lines = read_lines(spark, path).filter(F.col("line_no") >= 1)
     f = F.split(F.trim("line"), " ")
-    e = lines.select("line_no", f[0].alias("token"),
-                     F.transform(F.slice(f, 2, dim), lambda x: x.cast("float")).alias("vec"))
-    first = e.groupBy("token").agg(F.min_by(F.struct("line_no", "vec"), "line_no").alias("_f"))
-    w = Window.orderBy("_f.line_no")   # vocabulary table: one row per token
-    return first.select("token", (F.row_number().over(w) - 1).cast("int").alias("id"), F.col("_f.vec").alias("vec"))
+    # tokens are numbered without their vectors, which come back by line
+    first = lines.select("line_no", f[0].alias("token")).groupBy("token").agg(F.min("line_no").alias("line_no"))
+    numbered = dense_ranks(first, "line_no", "id").select("line_no", "token", F.col("id").cast("int").alias("id"))
+    vectors = lines.select("line_no", F.transform(F.slice(f, 2, dim), lambda x: x.cast("float")).alias("vec"))
+    return numbered.join(vectors, "line_no").select("token", "id", "vec")
 
 
 def read_token_offsets(spark: SparkSession, path: str):
     """SRC9 + WIN8: ``start\\tend\\ttoken`` lines, blank line per sentence;
     offsets rebased to the sentence (minus the previous sentence's last end
     + 1), emitted as ``TOK`` spans."""
-    s = _sentences(read_lines(spark, path))
+    s = read_segments(spark, path, _blank)
     f = F.split("line", "\t")
     s = s.select("file", "sent", "line_no", f[0].cast("int").alias("start"), f[1].cast("int").alias("end"))
     last = s.groupBy("file", "sent").agg(F.max("end").alias("_e"))
-    wl = Window.partitionBy("file").orderBy("sent")
-    base = last.select("file", "sent", F.coalesce(F.lag("_e").over(wl) + 1, F.lit(0)).alias("_base"))
+    base = previous(last, ["file"], "sent", "_e", "_before").select("file", "sent", F.coalesce(F.col("_before") + 1, F.lit(0)).alias("_base"))
     j = s.join(base, ["file", "sent"])
     return j.select("file", F.col("sent").alias("doc_id"), (F.col("start") - F.col("_base")).alias("start"),
                     (F.col("end") - F.col("start")).alias("len"), F.lit("TOK").alias("type"))
