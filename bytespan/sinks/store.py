@@ -5,8 +5,8 @@ and one data folder for each build.  A build is known by a fingerprint: its
 parameters, the result's schema, the logical plan, and path, size and time of
 every file it reads.  Data is written to a folder of its own and becomes valid by
 its manifest row, so a failed or running build is never read; of builds with one
-fingerprint the first published one of the latest generation counts, for every
-writer and reader.  A forced rebuild starts a generation.  ``discard`` empties
+fingerprint (their rows are the same) the one published first, by the writers'
+clocks, of the latest generation is read.  A forced rebuild starts a generation.  ``discard`` empties
 the folders of builds that no longer count.
 """
 
@@ -48,7 +48,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return live.select("fingerprint", "generation", "published", "folder", "params", "current")
 
 
-def _publish(spark: SparkSession, path: str, row: tuple) -> None:
+def _publish(spark: SparkSession, path: str, key: str, generation: int, folder: str, params: str, discarded: bool = False) -> None:
+    row = (key, generation, time.time_ns(), folder, params, discarded)
     spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
 
 
@@ -65,7 +66,7 @@ def materialize(df: DataFrame, path: str, params: dict | None = None, rebuild: b
         folder = f"{path}/data-{uuid.uuid4().hex}"
         df.write.parquet(folder)
         generation = (known.generation if known else 0) + int(rebuild)
-        _publish(spark, path, (key, generation, time.time_ns(), folder, json.dumps(params or {}, sort_keys=True, default=str), False))
+        _publish(spark, path, key, generation, folder, json.dumps(params or {}, sort_keys=True, default=str))
         known = _current(spark, path, key)      # another writer may have come first
     return spark.read.schema(df.schema).parquet(known.folder)
 
@@ -75,6 +76,6 @@ def discard(spark: SparkSession, path: str, keep: list[str]) -> list[str]:
     ``keep``; -> those folders.  For the owner of the store, when nobody reads it."""
     rows = [r for r in manifest(spark, path).collect() if not (r.current and r.fingerprint in keep)]     # one row a build
     for r in rows:
-        _publish(spark, path, (r.fingerprint, r.generation, r.published, r.folder, r.params, True))
+        _publish(spark, path, r.fingerprint, r.generation, r.folder, r.params, discarded=True)
         spark.createDataFrame([], "gone boolean").write.mode("overwrite").parquet(r.folder)
     return [r.folder for r in rows]

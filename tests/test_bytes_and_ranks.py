@@ -120,7 +120,7 @@ def test_pieces_count_bytes(spark):
     vocab = spark.createDataFrame([("é", 300)], "token string, id int")
     ids = bpe.bpe_ids(bpe.pieces_rows(df).withColumn("is_final", F.col("idx") == 1), vocab).orderBy("idx").collect()
     assert [(r.piece_id, r.ids, r.unknown) for r in ids] == [(300, [300], 0), (None, [195, 188], 2)]
-    emb = spark.createDataFrame([("é@@", 4), ("<UNKNOWN>", 9)], "token string, id int")
+    emb = spark.createDataFrame([("é", 4), ("<UNKNOWN>", 9)], "token string, id int")
     got = bpe.embedding_ids(bpe.pieces_rows(df), emb).orderBy("idx").collect()
     assert [(r.emb_id, r.unknown) for r in got] == [(4, 0), (9, 2)]
 
