@@ -68,9 +68,9 @@ class Index:
             rank = np.empty(len(s), np.int64)
             rank[order] = np.cumsum(np.r_[0, key[1:] != key[:-1]])
             width *= 2
-        symbols = s[order - 1]
-        to = np.empty(len(s), np.int64)
-        to[np.argsort(symbols, kind="stable")] = np.arange(len(s))
+        symbols = s[order - 1].astype(np.int32)    # a shard is far below 2^31: half the memory
+        to = np.empty(len(s), np.int32)
+        to[np.argsort(symbols, kind="stable")] = np.arange(len(s), dtype=np.int32)
         return symbols, to
 
     @cached_property
