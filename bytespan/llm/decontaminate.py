@@ -1,20 +1,25 @@
 """Operator 7: benchmark decontamination by BM25 retrieval and overlap.
 
-Test items are the documents of a BM25 inverted index whose items lie in
-blocks; the index keeps, for every term, its largest impact overall and in each
-block.  Every passage of every training text (windows of twice the longest
-item, half overlapping) is a query.  As in block-max WAND a passage is dropped
-where the sum of its terms' largest impacts stays below the least threshold,
-then each of its blocks by the blocks' own maxima, and only what is left is
-scored; all items that reach ``SHARE`` of their own score are retrieved, none
-by rank.  A retrieved item is confirmed on the whole text: at least 75 % of the
-5-word shingles of its question and of its answer occur there.  Items without
-separate columns have their first half of words as question, the rest as
-answer; below ten words both are the whole item, and shingles are as long as
-the item if it has fewer than five words.
-
-The index goes to all tasks in parts of at most ``ITEMS`` items; a larger
-benchmark takes several passes.
+The question and the answer of every test item are units of a BM25 inverted
+index whose units lie in blocks; the index keeps, for every term, its largest
+impact in each block.  Every training text is a query.  As in block-max WAND a
+text is dropped where the sum of its terms' largest impacts stays below the
+least threshold, then each block by the block's own maxima, and only what is
+left is scored; all items are retrieved whose question and answer both reach
+their thresholds, none by rank.  A retrieved item is confirmed: at least
+``PERCENT`` of the 5-word shingles of its question and of its answer occur in
+the text.
+
+The thresholds follow from that: with at most m shingles missing at most m
+different words of a unit are missing, so the text has at least the unit's own
+score less its m largest impacts.  Retrieval therefore loses nothing that the
+confirmation would find, however far apart the words stand.
+
+Items without separate columns have their first half of words as question, the
+rest as answer; below ten words both are the whole item, and shingles are as long
+as the item if it has fewer than five words.  Document frequencies and the mean
+length are those of the whole benchmark.  The index goes to all tasks in parts of
+at most ``ITEMS`` items; a larger benchmark takes several passes.
 
 Defined results: null, empty or blank texts and items match nothing; an item
 that appears twice matches under each of its rows' ids; repeated documents are
@@ -34,11 +39,11 @@ from .common import TEXT_ROWS, map_arrow, map_batches, texts
 from .textarrays import mix, slices, text_buffer, word_arrays
 
 K1, B = 1.2, 0.75
-SHARE = 0.4
 PERCENT, WORDS = 75, 5
-BLOCK = 32          # items of a block
+BLOCK = 32          # items of a block, two units each
 ITEMS = 20_000      # items of one index
 TABLE_BITS = 20
+CELLS = 1 << 22     # scores of texts and units held together
 
 
 def grams(word: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,45 +59,70 @@ def grams(word: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return h[at], at
 
 
+def _words(texts_: list[str]) -> list[np.ndarray]:
+    """Word hashes of each text."""
+    data, offsets = text_buffer(pa.array(texts_, pa.string()))
+    _, _, row, word = word_arrays(data, offsets)
+    return np.split(word, np.searchsorted(row, np.arange(1, len(texts_)))) if texts_ else []
+
+
+def units(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Question and answer of an item's words."""
+    half = -(-len(word) // 2)
+    return (word[:half], word[half:]) if len(word) >= 2 * WORDS else (word, word)
+
+
+class Statistics:
+    """Of all units of a benchmark: document frequency of each term, number, mean length."""
+
+    def __init__(self, texts_: list[str]):
+        every = [u for w in _words(texts_) if len(w) for u in units(w)]
+        self.n, self.mean = len(every), float(np.mean([len(u) for u in every])) if every else 1.0
+        self.terms, self.df = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, every)]), return_counts=True)
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[np.searchsorted(self.terms, terms)] if len(terms) else np.zeros(0)
+        return np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+
+
 class Index:
-    """Inverted index of a part of the benchmark."""
+    """Inverted index of a part of the benchmark; item i has the units 2i and 2i + 1."""
 
-    def __init__(self, ids: list[int], texts_: list[str], n_all: int):
-        data, offsets = text_buffer(pa.array(texts_, pa.string()))
-        _, _, row, word = word_arrays(data, offsets)
-        size = np.bincount(row, minlength=len(ids))
-        keep = size > 0
+    def __init__(self, ids: list[int], texts_: list[str], all_: Statistics):
         self.ids = np.array(ids, np.int64)
-        self.window = max(16, 2 * int(size.max(initial=0)))
-        # postings: distinct (term, item) with its frequency
+        item_words = _words(texts_)
+        each = [u for w in item_words for u in units(w)]
+        size = np.array([len(u) for u in each], np.int64)
+        n, word = len(each), np.concatenate([np.zeros(0, np.uint64), *each])
+        # postings: distinct (term, unit) with its frequency
         self.terms, term = np.unique(word, return_inverse=True)
-        key, tf = np.unique(term * len(ids) + row, return_counts=True)
-        t, item = key // max(1, len(ids)), key % max(1, len(ids))
-        df = np.bincount(t, minlength=len(self.terms))
-        idf = np.log(1 + (n_all - df + 0.5) / (df + 0.5))
-        mean = float(size[keep].mean()) if keep.any() else 1.0
-        impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean))
+        key, tf = np.unique(term * max(1, n) + np.repeat(np.arange(n), size), return_counts=True)
+        t, unit = key // max(1, n), key % max(1, n)
+        impact = all_.idf(self.terms)[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[unit] / all_.mean))
         self.first = np.searchsorted(t, np.arange(len(self.terms) + 1))
-        self.item, self.impact = item, impact
-        self.need = SHARE * np.bincount(item, impact, minlength=len(ids))
-        self.need[~keep] = np.inf
-        self.blocks = -(-len(ids) // BLOCK)
+        self.unit, self.impact, self.units = unit, impact, n
+        # shingles to confirm, and how much of a unit's own score a text must have
+        self.parts, self.need = [], np.full(n, np.inf)
+        own = np.split(impact[np.argsort(unit, kind="stable")], np.cumsum(np.bincount(unit, minlength=n))[:-1]) if n else []
+        for i, w in enumerate(item_words):
+            k = min(WORDS, len(w))
+            shingles = [np.unique(grams(u, np.zeros(len(u)), k)[0]) if k else np.zeros(0, np.uint64) for u in units(w)]
+            self.parts.append((k, *shingles))
+            for j, x in enumerate(shingles):
+                if len(x):
+                    missing = len(x) - -(-PERCENT * len(x) // 100)
+                    scores = np.sort(own[2 * i + j])
+                    self.need[2 * i + j] = scores[:len(scores) - missing].sum()
+        self.blocks = -(-n // (2 * BLOCK))
         self.best = np.zeros(len(self.terms))
         np.maximum.at(self.best, t, impact)
         # largest impact of a term in a block, as postings of blocks
-        bkey, at = np.unique(t * max(1, self.blocks) + item // BLOCK, return_inverse=True)
+        bkey, at = np.unique(t * max(1, self.blocks) + unit // (2 * BLOCK), return_inverse=True)
         self.block_of, bt = bkey % max(1, self.blocks), bkey // max(1, self.blocks)
         self.block_best = np.zeros(len(bkey))
         np.maximum.at(self.block_best, at, impact)
         self.block_first = np.searchsorted(bt, np.arange(len(self.terms) + 1))
-        self.block_need = np.array([self.need[i:i + BLOCK].min() for i in range(0, len(ids), BLOCK)] or [np.inf])
-        # parts to confirm
-        self.parts = []
-        for i in range(len(ids)):
-            w = word[np.searchsorted(row, i):np.searchsorted(row, i, "right")]
-            halves = (w[:-(-len(w) // 2)], w[-(-len(w) // 2):]) if len(w) >= 2 * WORDS else (w, w)
-            k = min(WORDS, len(w))
-            self.parts.append((k, *[np.unique(grams(x, np.zeros(len(x)), k)[0]) if k else np.zeros(0, np.uint64) for x in halves]))
+        self.block_need = np.array([self.need[i:i + 2 * BLOCK].min() for i in range(0, n, 2 * BLOCK)] or [np.inf])
         self._table: np.ndarray | None = None
 
     def __getstate__(self):
@@ -119,99 +149,83 @@ class Index:
         of = np.repeat(np.arange(len(t)), n)
         return np.repeat(first[t] - (np.cumsum(n) - n), n) + np.arange(n.sum()), of
 
-    def retrieve(self, row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, score, first word) of all passages and items that reach the item's threshold."""
-        none = np.zeros(0, np.int64)
-        if not len(word) or not np.isfinite(self.need).any():
-            return none, none, np.zeros(0), none
-        step, least = self.window // 2, float(self.need.min())
-        t = self.term_of(word)
-        bound = np.r_[0, np.cumsum(np.where(t >= 0, self.best[t], 0))]
-        rows = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        size = np.diff(np.r_[rows, len(row)])
-        n = np.maximum(1, -(-(size - step) // step))
-        start = np.repeat(rows, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        end = np.minimum(start + self.window, np.repeat(rows + size, n))
-        live = bound[end] - bound[start] >= least * (1 - 1e-9)
-        start, end = start[live], end[live]
-        if not len(start):
-            return none, none, np.zeros(0), none
-        # distinct terms of the passages that are left
-        n = end - start
-        of = np.repeat(np.arange(len(start)), n)
-        tt = t[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        key = np.unique(of[tt >= 0] * len(self.terms) + tt[tt >= 0])
-        of, tt = key // len(self.terms), key % len(self.terms)
-        fits = np.bincount(of, self.best[tt], minlength=len(start)) >= least * (1 - 1e-9)
-        of, tt = of[fits[of]], tt[fits[of]]
+    def retrieve(self, row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, score of both units) of all texts and items whose question and answer reach their thresholds."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        least = float(self.need.min(initial=np.inf)) * (1 - 1e-9)
+        t = self.term_of(word) if np.isfinite(least) else np.full(len(word), -1)
+        key = np.unique(row[t >= 0].astype(np.int64) * max(1, len(self.terms)) + t[t >= 0])
+        rows, r = np.unique(key // max(1, len(self.terms)), return_inverse=True)
+        tt = key % max(1, len(self.terms))
+        fits = np.bincount(r, self.best[tt], minlength=len(rows)) >= least if len(rows) else np.zeros(0, bool)
+        keep = np.cumsum(fits) - 1
+        r, tt, rows = keep[r[fits[r]]], tt[fits[r]], rows[fits]
+        step = max(1, CELLS // max(1, self.units))
+        for i in range(0, len(rows), step):
+            own = slice(*np.searchsorted(r, [i, i + step]).tolist())
+            found.append(self._scored(rows[i:i + step], r[own] - i, tt[own]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _scored(self, rows: np.ndarray, r: np.ndarray, tt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # blocks whose own maxima reach their least threshold
         at, q = self._spread(self.block_first, tt)
-        cell, inv = np.unique(of[q] * self.blocks + self.block_of[at], return_inverse=True)
-        high = np.bincount(inv, self.block_best[at], minlength=len(cell)) >= self.block_need[cell % self.blocks] * (1 - 1e-9)
-        cell = cell[high]
+        bound = np.bincount(r[q] * self.blocks + self.block_of[at], self.block_best[at], len(rows) * self.blocks)
+        high = bound.reshape(len(rows), self.blocks) >= self.block_need * (1 - 1e-9)
         # exact scores within them
         at, q = self._spread(self.first, tt)
-        own = np.isin(of[q] * self.blocks + self.item[at] // BLOCK, cell)
+        own = high[r[q], self.unit[at] // (2 * BLOCK)]
         at, q = at[own], q[own]
-        pair, inv = np.unique(of[q] * len(self.ids) + self.item[at], return_inverse=True)
-        score = np.bincount(inv, self.impact[at], minlength=len(pair))
-        item = pair % len(self.ids)
-        good = score >= self.need[item] * (1 - 1e-9)
-        passage = (pair // len(self.ids))[good]
-        return row[start[passage]], item[good], score[good], start[passage]
-
-    def confirm(self, row: np.ndarray, word: np.ndarray, found: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-        """(row, item, question shingles matched, all, answer shingles matched, all) of the confirmed pairs."""
+        score = np.bincount(r[q] * self.units + self.unit[at], self.impact[at], len(rows) * self.units).reshape(len(rows), self.units)
+        good = score >= self.need * (1 - 1e-9)
+        text, item = np.nonzero(good[:, ::2] & good[:, 1::2])
+        return rows[text], item, score[text, 2 * item] + score[text, 2 * item + 1]
+
+    def confirm(self, row: np.ndarray, word: np.ndarray, found: np.ndarray, item: np.ndarray) -> list[tuple[int, ...]]:
+        """(place in ``found``, first word of the first matched shingle, question
+        shingles matched, all, answer shingles matched, all) of the confirmed pairs."""
         out = []
-        for r in np.unique(found).tolist():
-            own = word[np.searchsorted(row, r):np.searchsorted(row, r, "right")]
-            text: dict[int, np.ndarray] = {}
-            for i in np.unique(item[found == r]).tolist():
-                k, q, a = self.parts[i]
-                if k not in text:
-                    text[k] = np.unique(grams(own, np.zeros(len(own)), k)[0])
-                nq, na = (int(np.isin(x, text[k]).sum()) for x in (q, a))
-                if nq * 100 >= PERCENT * len(q) and na * 100 >= PERCENT * len(a):
-                    out.append((r, i, nq, len(q), na, len(a)))
+        first, last = np.searchsorted(row, found), np.searchsorted(row, found, "right")
+        text: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for p, (r, i) in enumerate(zip(found.tolist(), item.tolist())):
+            k, *parts = self.parts[i]
+            if (r, k) not in text:
+                own = word[first[p]:last[p]]
+                text[r, k] = np.unique(grams(own, np.zeros(len(own)), k)[0], return_index=True)
+            known, place = text[r, k]
+            hits = [np.searchsorted(known, x) for x in parts]
+            hits = [h[(h < len(known)) & (known[np.minimum(h, len(known) - 1)] == x)] if len(known) else h[:0] for h, x in zip(hits, parts)]
+            if all(len(h) * 100 >= PERCENT * len(x) for h, x in zip(hits, parts)):
+                out.append((p, int(place[np.concatenate(hits)].min()), *(n for h, x in zip(hits, parts) for n in (len(h), len(x)))))
         return out
 
 
-def indexes(benchmark: DataFrame, limit: int = ITEMS) -> list[Index]:
-    """The benchmark as indexes of at most ``limit`` items each."""
+def indexes(benchmark: DataFrame, limit: int | None = None) -> list[Index]:
+    """The benchmark as indexes of at most about ``limit`` items each, under statistics of all its items."""
     items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
-    n = items.count()
-    parts = -(-n // limit)
-    out = []
-    for p in range(parts):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
-        out.append(Index([r["item_id"] for r in own], [r["text"] for r in own], len(own)))
-    return out
+    parts = -(-items.count() // (limit or ITEMS))
+    rows = [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").collect() for p in range(parts)]
+    every = Statistics([r["text"] for part in rows for r in part])
+    return [Index([r["item_id"] for r in part], [r["text"] for r in part], every) for part in rows if part]
 
 
 _FOUND = "doc_id long, item_id long, passage long, score double, n_question long, question long, n_answer long, answer long"
 
 
 def _leaks(index: Index, b: pa.RecordBatch) -> list[tuple]:
-    """(row, item, first word of the best passage, score, counts) of one batch."""
+    """(row, item, first matched word, score, counts) of one batch."""
     data, offsets = text_buffer(b.column("text"))
     out = []
     for i, j in slices(offsets):
         _, _, row, word = word_arrays(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-        r, item, score, start = index.retrieve(row, word)
-        if not len(r):
-            continue
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for a, c, s, p in zip(r.tolist(), item.tolist(), score.tolist(), start.tolist()):
-            best[a, c] = max(best.get((a, c), (-1.0, 0)), (s, p))
-        for a, c, *n in index.confirm(row, word, r, item):
-            s, p = best[a, c]
-            out.append((i + a, int(index.ids[c]), p - int(np.searchsorted(row, a)), s, *n))
+        r, item, score = index.retrieve(row, word)
+        for p, at, *n in index.confirm(row, word, r, item):
+            out.append((i + int(r[p]), int(index.ids[item[p]]), at, float(score[p]), *n))
     return out
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """-> doc_id, item_id, the word where the best passage begins, its BM25
-    score, and the matched and all shingles of question and answer."""
+    """-> doc_id, item_id, the word where the first matched shingle begins, the
+    BM25 score, and the matched and all shingles of question and answer."""
     out = None
     for index in indexes(benchmark):
         def run(b: pa.RecordBatch, index=index) -> pa.RecordBatch:

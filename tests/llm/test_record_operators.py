@@ -229,28 +229,71 @@ def test_decontamination(spark):
     assert decontaminate.without_leaks(docs, bench.filter("item_id = 201")).count() == len(rows)
 
 
-def test_pruning_loses_no_item_above_its_threshold():
+def test_scattered_halves_in_several_index_parts(spark, monkeypatch):
+    """Questions and answers far apart, with words missing, among items that share
+    their words; every part of the index uses the statistics of all items."""
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    items = [(7, " ".join(words))] + [(100 + i, " ".join(rnd.sample(words, 30) + [f"x{i}{k}" for k in range(10)])) for i in range(24)]
+    filler = lambda n: " ".join(f"f{rnd.randint(0, 60)}" for _ in range(n))
+    rows = [(12, f"{' '.join(words[:16])} {filler(400)} {' '.join(words[20:36])}"), (13, f"{' '.join(words[20:36])} {filler(30)} {' '.join(words[4:20])}"),
+            (14, " ".join(words[:16])), (15, f"{' '.join(words[:15])} {filler(9)} {' '.join(words[20:40])}"), (16, filler(3000) + " " + items[3][1])]
+    for i in range(60):       # runs of an item's words in any order, gaps between
+        _, t = rnd.choice(items)
+        w = t.split()
+        cut = sorted(rnd.sample(range(1, 40), rnd.randint(1, 3)))
+        parts = [w[a:b] for a, b in zip([0, *cut], [*cut, 40])]
+        rnd.shuffle(parts)
+        rows.append((200 + i, f" {filler(rnd.randint(0, 20))} ".join(" ".join(p) for p in parts)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, rows)
+    scores = []
+    for limit in (20_000, 4):
+        monkeypatch.setattr(decontaminate, "ITEMS", limit)
+        got = decontaminate.contaminated(docs, bench)
+        found = got.select("doc_id", "item_id", "n_question", "question", "n_answer", "answer")
+        assert (12, 7, 12, 16, 12, 16) in [tuple(r) for r in found.collect()]
+        same(found, run_sql("op7_benchmark_decontamination", documents=docs, benchmark=bench))
+        scores.append({(r.doc_id, r.item_id): round(r.score, 9) for r in got.collect()})
+    assert scores[0] == scores[1] and len(decontaminate.indexes(bench)) > 3
+
+
+def test_thresholds_lose_no_confirmed_item(monkeypatch):
+    """Retrieval against a look at every item, scores against the formula."""
     rnd = random.Random(5)
-    texts = [" ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") + str(rnd.randint(0, 9)) for _ in range(rnd.randint(5, 30))) for _ in range(150)]
-    index = decontaminate.Index(list(range(150)), texts, 150)
-    words = " ".join(rnd.choice(texts) if rnd.random() < 0.3 else rnd.choice(texts).split()[0] for _ in range(60)).split()
-    data, offsets = text_buffer(pa.array([" ".join(words)]))
+    texts = [" ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 4)) for _ in range(rnd.randint(1, 40))) for _ in range(150)]
+    every = decontaminate.Statistics(texts)
+    index = decontaminate.Index(list(range(150)), texts, every)
+    docs = []
+    for _ in range(80):
+        w = rnd.choice(texts).split()
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(len(w))] = rnd.choice(["zz", *w])
+        docs.append(" ".join(w + rnd.choice(texts).split()[:rnd.randint(0, 9)]))
+    data, offsets = text_buffer(pa.array(docs))
     _, _, row, word = decontaminate.word_arrays(data, offsets)
-    _, item, score, start = index.retrieve(row, word)
-    got = {(s, i): x for s, i, x in zip(start.tolist(), item.tolist(), score.tolist())}
-    want = {}
-    for s in range(0, max(1, len(words) - index.window // 2), index.window // 2):
-        own = set(words[s:s + index.window])
-        for i, t in enumerate(texts):
-            ts, x = t.split(), 0.0
-            for w in set(ts) & own:
-                df = sum(w in u.split() for u in texts)
-                tf = ts.count(w)
-                mean = sum(len(u.split()) for u in texts) / 150
-                x += math.log(1 + (150 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ts) / mean))
-            if x >= index.need[i]:
-                want[s, i] = x
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got) and got
+    for cells in (1 << 22, 700):
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        r, item, score = index.retrieve(row, word)
+        got = {(a, b): s for a, b, s in zip(r.tolist(), item.tolist(), score.tolist())}
+        halves = lambda w: (w[:-(-len(w) // 2)], w[-(-len(w) // 2):]) if len(w) >= 10 else (w, w)
+        runs = lambda w, k: {tuple(w[i:i + k]) for i in range(len(w) - k + 1)}
+        units = [u for t in texts for u in halves(t.split())]
+        mean = sum(map(len, units)) / len(units)
+        need = 0
+        for a, d in enumerate(docs):
+            for b, t in enumerate(texts):
+                k = min(5, len(t.split()))
+                parts = [runs(u, k) for u in halves(t.split())]
+                if all(100 * len(x & runs(d.split(), k)) >= 75 * len(x) for x in parts):
+                    need += 1
+                    x = 0.0
+                    for u in halves(t.split()):
+                        for w in set(u) & set(d.split()):
+                            df, tf = sum(w in v for v in units), u.count(w)
+                            x += math.log(1 + (len(units) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(u) / mean))
+                    assert abs(got[a, b] - x) < 1e-6
+        assert need > 50 and len(index.confirm(row, word, r, item)) == need
 
 
 def test_licences(spark):
