@@ -9,14 +9,20 @@ documents that agree in a band share a bucket.
 Rows with the same shingle set are one class from the start.  A bucket of
 classes gives star-shaped edges: its members to two centres, never all pairs.
 Edges are confirmed on full shingle sets, and components are formed.  Buckets
-that still hold several components get further centres - the member with most
-confirmed links, and ``CENTRES`` drawn ones, four times as many in each round -
-whose edges lead to other components only.  The search ends when no bucket is
-open or every member of the open ones has been a centre, so within buckets no
-link between components is lost.  With 40 bands of 4, two documents at
-similarity 0.75 miss every bucket with probability 0.684^40 = 3e-7, less above.
-A bucket of very many classes that are all unlike each other is the costly
-case: it is compared completely, in growing rounds.
+that still hold several components are open:
+
+1. The member with most confirmed links becomes a centre, in round after round as
+   long as that finds links; a large group of near copies grows together here.
+2. Open buckets of at most ``SMALL`` members are compared pair by pair, which is
+   at most ``SMALL`` pairs a member.
+3. Members of larger open buckets are dealt anew by ``KEYS`` other bands each, and
+   only those meet that agree in that band too.  Small ones of these buckets are
+   compared pair by pair, larger ones have again centres as in 1, and what is then
+   still open, documents that agree in eight bins and more, is compared completely.
+
+Two documents at similarity 0.75 miss every bucket with probability 0.684^40 =
+3e-7; that they meet in large buckets only and in none of the second deal has
+probability (1 - 0.316 (1 - 0.684^4))^40 = 1e-5, less above.
 
 Defined results: null, empty or blank text has an empty set and no link; fewer
 than five words are one shingle; rows that share a doc_id are one document
@@ -31,14 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti, kept, map_batches, semi, texts
+from .common import Scratch, anti, kept, map_batches, semi, texts
 from .components import components
 from .textarrays import mix, slices, text_buffer, window_hashes, word_arrays
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
-CENTRES = 16       # drawn centres of an open bucket in the first round; four times as many in each later one
+SMALL = 32         # members of an open bucket that are compared pair by pair
+KEYS = 4           # bands by which members of a larger one are dealt anew
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -137,63 +144,114 @@ def stars(members: DataFrame, centres: DataFrame) -> DataFrame:
     return e.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """-> doc_id, n_shingles, component_id, kept; one row per row of documents."""
-    sk = kept(sketches(documents))
-    linked, key = sk.filter("doc_id is not null and n_shingles > 0"), ["k1", "k2", "n_shingles"]
-    # a class is its first document; partial minima take care of large groups of copies
-    classes = kept(linked.groupBy(*key).agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(*key, F.col("r.doc_id").alias("rep"), "r.bands"))
-    own = kept(linked.select("doc_id", *key).join(classes.select("rep", *key), key).select("doc_id", "rep").distinct())
-    twice = (own.join(own.groupBy("doc_id").agg(F.min("rep").alias("m")), "doc_id").filter("rep <> m")
-             .select(F.col("m").alias("a"), F.col("rep").alias("b")))
-    band = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), F.col("rep").alias("comp"))
-    # a bucket of one document is of no use; its two centres are the extremes of a hash
-    order, who = F.xxhash64("doc"), F.struct("doc", "comp")
-    centres = kept(band.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), who.alias("w")))["w"].alias("x"), F.max(F.struct(order.alias("o"), who.alias("w")))["w"].alias("y"))
-                   .filter("x.doc <> y.doc").select("bucket", F.array("x", "y").alias("c")))
-    buckets = kept(band.join(centres.select("bucket"), "bucket").select("bucket", "doc"))
-    tried = kept(stars(buckets.withColumn("comp", F.col("doc")), centres))
-    # of rows that share the id of a class any one whose set is the class's will do
-    sets = kept(full_sets(semi(documents, buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id")).filter(F.size("shingles") > 0))
-    links = kept(confirmed(tried, sets).unionByName(twice).distinct())
-    comp, fresh, centres_each = kept(components(links)), links, CENTRES
-    while True:
-        # buckets that still hold several components: the member with most links is a
-        # centre, and so are ``centres_each`` drawn members, all of them in small buckets
-        degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("links"))
-        at = kept(buckets.select("bucket", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").join(degree, "doc", "left")
-                  .select("bucket", "doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")))
-        most = F.max(F.struct("links", F.xxhash64("doc").alias("o"), who.alias("w")))["w"]
-        open_ = kept(at.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), most.alias("c"))
-                     .filter("x <> y").select("bucket", "size", F.array("c").alias("c")))
-        largest = open_.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        buckets = kept(at.join(open_.select("bucket", "size"), "bucket").select("bucket", "doc", "comp", "size"))   # a closed bucket stays closed
-        drawn = buckets.filter(F.pmod(F.xxhash64("doc", "bucket"), F.lit(1 << 30)) * F.col("size") < centres_each * (1 << 30))
-        met = (buckets.join(drawn.select("bucket", F.col("doc").alias("d"), F.col("comp").alias("dc")), "bucket").filter("comp <> dc")
-               .select(F.least("doc", "d").alias("a"), F.greatest("doc", "d").alias("b")).distinct())
-        new = kept(stars(buckets.select("bucket", "doc", "comp"), open_).unionByName(met).distinct().join(tried, ["a", "b"], "left_anti"))
-        fresh = kept(confirmed(new, sets).distinct())
-        if not fresh.isEmpty():
-            tried, links = tried.unionByName(new), links.unionByName(fresh)
+def _pairs(members: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members (bucket, doc, comp) in different components."""
+    other = members.select("bucket", F.col("doc").alias("d"), F.col("comp").alias("dc"))
+    met = members.select("bucket", "doc", "comp").join(other, "bucket").filter("doc < d and comp <> dc")
+    return met.select(F.col("doc").alias("a"), F.col("d").alias("b")).distinct()
+
+
+class _Search:
+    """Confirmed links and components while a corpus is searched; spent tables go."""
+
+    def __init__(self, scratch: Scratch, sets: DataFrame, links: DataFrame):
+        self.scratch, self.sets, self.links = scratch, sets, scratch.keep(links)
+        self.comp = components(self.links, scratch)
+        self.tried: DataFrame | None = None
+
+    def open_(self, buckets: DataFrame) -> DataFrame:
+        """(bucket, doc) -> bucket, doc, comp, size, c (the member with most links) of
+        the buckets that hold several components."""
+        degree = self.links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("links"))
+        at = self.scratch.keep(buckets.select("bucket", "doc").join(self.comp.withColumnRenamed("node", "doc"), "doc", "left").join(degree, "doc", "left")
+                               .select("bucket", "doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")))
+        most = F.max(F.struct("links", F.xxhash64("doc").alias("o"), F.struct("doc", "comp").alias("w")))["w"]
+        several = (at.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), most.alias("m"))
+                   .filter("x <> y").select("bucket", "size", F.array("m").alias("c")))
+        out = self.scratch.keep(at.drop("links").join(several, "bucket"))
+        self.scratch.drop(at)
+        return out
+
+    def look(self, edges: DataFrame) -> bool:
+        """Confirm edges (a, b) that were not looked at before; whether there are new links."""
+        if self.tried is not None:
+            edges = edges.join(self.tried, ["a", "b"], "left_anti")
+        new = self.scratch.keep(edges)
+        fresh = self.scratch.keep(confirmed(new, self.sets).distinct())
+        tried = self.scratch.keep(new if self.tried is None else self.tried.unionByName(new))
+        self.scratch.drop(new, *([] if self.tried is None else [self.tried]))
+        self.tried = tried
+        found = not fresh.isEmpty()
+        if found:
             # components of components
-            name = comp.select(F.col("node").alias("n"), F.col("component").alias("c"))
+            name = self.comp.select(F.col("node").alias("n"), F.col("component").alias("c"))
             pair = (fresh.join(name.toDF("a", "ca"), "a", "left").join(name.toDF("b", "cb"), "b", "left")
                     .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-            up = kept(components(pair))
-            every = comp.unionByName(up.select("node", F.col("node").alias("component"))).distinct()
+            up = components(pair, self.scratch)
+            every = self.comp.unionByName(up.select("node", F.col("node").alias("component"))).distinct()
             joined = every.join(up.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
-            comp = kept(joined.select("node", F.coalesce("top", "component").alias("component")).distinct())
-        if centres_each >= largest:   # every member of every open bucket has been a centre
-            break
-        centres_each *= 4
-    comp = comp.select(F.col("node").alias("rep"), "component")
-    named = (own.join(comp, "rep", "left").groupBy("doc_id")
-             .agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
-    out = sk.select("doc_id", "n_shingles").join(named, "doc_id", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+            links, comp = self.scratch.keep(self.links.unionByName(fresh)), self.scratch.keep(joined.select("node", F.coalesce("top", "component").alias("component")).distinct())
+            self.scratch.drop(self.links, self.comp, up)
+            self.links, self.comp = links, comp
+        self.scratch.drop(fresh)
+        return found
+
+    def centred(self, buckets: DataFrame) -> DataFrame | None:
+        """Rounds of centres over (bucket, doc); -> the buckets that stay open, None if none does."""
+        while True:
+            at = self.open_(buckets)
+            if at.isEmpty():
+                self.scratch.drop(at)
+                return None
+            if not self.look(stars(at.select("bucket", "doc", "comp"), at.select("bucket", "c").distinct())):
+                return at
+            rest = self.scratch.keep(at.select("bucket", "doc"))     # a closed bucket stays closed
+            self.scratch.drop(at)
+            buckets = rest
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """-> doc_id, n_shingles, component_id, kept; one row per row of documents."""
+    with Scratch(documents.sparkSession) as scratch:
+        sk = scratch.keep(sketches(documents))
+        linked, key = sk.filter("doc_id is not null and n_shingles > 0"), ["k1", "k2", "n_shingles"]
+        # a class is its first document; partial minima take care of large groups of copies
+        classes = scratch.keep(linked.groupBy(*key).agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(*key, F.col("r.doc_id").alias("rep"), "r.bands"))
+        own = scratch.keep(linked.select("doc_id", *key).join(classes.select("rep", *key), key).select("doc_id", "rep").distinct())
+        twice = (own.join(own.groupBy("doc_id").agg(F.min("rep").alias("m")), "doc_id").filter("rep <> m")
+                 .select(F.col("m").alias("a"), F.col("rep").alias("b")))
+        band = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), F.col("rep").alias("comp"))
+        # a bucket of one document is of no use; its two centres are the extremes of a hash
+        order, who = F.xxhash64("doc"), F.struct("doc", "comp")
+        ranked = F.struct(order.alias("o"), who.alias("w"))
+        centres = scratch.keep(band.groupBy("bucket").agg(F.min(ranked)["w"].alias("x"), F.max(ranked)["w"].alias("y"))
+                               .filter("x.doc <> y.doc").select("bucket", F.array("x", "y").alias("c")))
+        buckets = scratch.keep(band.join(centres.select("bucket"), "bucket").select("bucket", "doc"))
+        # of rows that share the id of a class any one whose set is the class's will do
+        sets = scratch.keep(full_sets(semi(documents, buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id")).filter(F.size("shingles") > 0))
+        search = _Search(scratch, sets, twice)
+        search.look(stars(buckets.withColumn("comp", F.col("doc")), centres))
+        scratch.drop(centres)
+        at = search.centred(buckets)
+        if at is not None:
+            search.look(_pairs(at.filter(F.col("size") <= SMALL)))
+            again = search.open_(at.filter(F.col("size") > SMALL))
+            key2 = F.transform(F.sequence(F.lit(1), F.lit(KEYS)), lambda t: F.pmod(F.xxhash64("bucket", t), F.lit(BANDS)).cast("int"))
+            other = lambda j: F.when(F.get("bands", j) == F.col("bucket"), F.get("bands", F.pmod(j + 1, F.lit(BANDS)))).otherwise(F.get("bands", j))
+            dealt = (again.select("bucket", "doc").join(classes.select(F.col("rep").alias("doc"), "bands"), "doc")
+                     .select("doc", F.explode(F.transform(key2, lambda j: F.xxhash64("bucket", j, other(j)))).alias("bucket")))
+            second = search.open_(scratch.keep(dealt.distinct()))
+            search.look(_pairs(second.filter(F.col("size") <= SMALL)))
+            rest = search.centred(second.filter(F.col("size") > SMALL))
+            if rest is not None:
+                search.look(_pairs(rest))
+        comp = search.comp.select(F.col("node").alias("rep"), "component")
+        named = (own.join(comp, "rep", "left").groupBy("doc_id")
+                 .agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
+        out = sk.select("doc_id", "n_shingles").join(named, "doc_id", "left")
+        out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+        out = scratch.keep(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+        return scratch.release(out)
 
 
 def without_copies(documents: DataFrame) -> DataFrame:
