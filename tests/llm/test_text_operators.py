@@ -128,6 +128,25 @@ def test_near_duplicates(spark):
     assert kept.filter("doc_id is null").count() == 1
 
 
+@pytest.mark.parametrize("small", [2, 5])
+def test_pairs_hidden_in_large_open_buckets(spark, monkeypatch, small):
+    """Texts that share most of a passage without being near copies, and near copies
+    among them: buckets stay open and are dealt anew."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    rnd = random.Random(small)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    passage, rows = [word() for _ in range(70)], []
+    for _ in range(18):
+        own = [word() for _ in range(35)] + passage
+        rows.append((len(rows), " ".join(own)))
+        if rnd.random() < 0.5:
+            at = rnd.randrange(30)
+            rows.append((len(rows), " ".join(own[:at] + [word()] + own[at + 1:])))
+    assert 3 < sum(x[4] for x in _components(rows)) < len(rows)
+    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((False, r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == _components(rows)
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert minhash.near_duplicates(frame(spark, [(1, "a")]).filter("false")).count() == 0
 
