@@ -870,7 +870,7 @@ def q_fit_crf(spark, sf):
     ids = wn.make_windows(docs, W, S).select("doc_id", "win", wn.byte_ids("text", W).alias("ids"))
     table = [[((b * j) % 7) / 7.0 for j in range(1, len(tags) + 1)] for b in range(257)]
     got = crf.fit_crf(w.select("doc_id", "win", "n", y.alias("y")).join(ids, ["doc_id", "win"]), "y", len(tags), ids="ids",
-                      scorer=crf.TableScorer(table), mask="n", iters=12)
+                      scorer=crf.TableScorer(table), mask="n", iters=8)
     rows = [(a, b, float(got.U[i, j])) for i, a in enumerate(tags) for j, b in enumerate(tags)]
     rows += [("<START>", t, float(v)) for t, v in zip(tags, got.b_start)] + [(t, "<END>", float(v)) for t, v in zip(tags, got.b_end)]
     return spark.createDataFrame([*rows, ("<ALL>", "<ALL>", got.history[-1])], "prev string, next string, value double")
