@@ -69,7 +69,7 @@ def clean_text(col) -> Column:
 def format_triples(spans) -> Column:
     """PRJ6 + SRT1: ``S<start> L<len> <type>`` triples, greatest start first,
     space-joined (the target line of a document)."""
-    s = F.reverse(F.array_sort(F.transform(_c(spans), lambda x, i: F.struct(
+    s = F.reverse(F.sort_array(F.transform(_c(spans), lambda x, i: F.struct(
         x["start"].alias("start"), i.alias("ord"), x["len"].alias("len"), x["type"].alias("type")))))
     return F.array_join(F.transform(s, lambda x: F.concat(
         F.lit("S"), x["start"].cast("string"), F.lit(" L"), x["len"].cast("string"), F.lit(" "), x["type"])), " ")
@@ -80,12 +80,16 @@ def parse_triples(line) -> Column:
     threes, the number after the letter)."""
     f = F.split(F.trim(_c(line)), " +")
     f = F.when(F.trim(_c(line)) == "", F.array().cast("array<string>")).otherwise(f)
-    n = (F.size(f) / 3).cast("int")   # none on an unannotated line
-    return F.transform(
-        F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(1), n),
-        lambda k: F.struct(F.substring(F.get(f, k * 3), 2, 1 << 30).cast("int").alias("start"),
-                           F.substring(F.get(f, k * 3 + 1), 2, 1 << 30).cast("int").alias("len"),
-                           F.get(f, k * 3 + 2).alias("type")))
+
+    def made(f: Column) -> Column:   # the fields, split once
+        n = (F.size(f) / 3).cast("int")   # none on an unannotated line
+        return F.transform(
+            F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(1), n),
+            lambda k: F.struct(F.substring(F.get(f, k * 3), 2, 1 << 30).cast("int").alias("start"),
+                               F.substring(F.get(f, k * 3 + 1), 2, 1 << 30).cast("int").alias("len"),
+                               F.get(f, k * 3 + 2).alias("type")))
+
+    return F.transform(F.array(f), made)[0]
 
 
 def zero_digits(col) -> Column:
