@@ -9,7 +9,7 @@ scorer's running ``inCorrect`` state machine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The scorer's sentence boundary marker.
@@ -155,6 +155,25 @@ def join_gold_pred(gold: DataFrame, pred: DataFrame, keys=("doc_id", "pos"), tag
                     F.when(both, F.coalesce("_p", F.lit(BOUNDARY))).otherwise(fail).alias("pred"))
 
 
+def join_gold_pred_docs(gold: DataFrame, pred: DataFrame, keys=("doc_id",), tags: str = "tags", pos: str = "pos") -> DataFrame:
+    """JN8 from a row of tags for each document: documents are joined, positions
+    are made behind the join.  The rows, and what raises, are ``join_gold_pred``'s."""
+    none = F.array().cast("array<string>")
+
+    def side(df: DataFrame, t: str, n: str) -> DataFrame:
+        d = df.select(*keys, F.coalesce(F.col(tags), none).alias(t))
+        return d.withColumn(n, F.max(F.size(t)).over(Window.partitionBy(*keys)))
+
+    j = side(gold, "_g", "_n").join(side(pred, "_p", "_m"), list(keys), "full_outer")
+    checked = F.when(F.coalesce("_n", F.lit(0)) == F.coalesce("_m", F.lit(0)), F.coalesce("_g", none)).otherwise(
+        F.raise_error(F.lit("gold and predicted positions differ")).cast("array<string>"))
+    z = F.zip_with(checked, F.coalesce("_p", none), lambda g, p: F.struct(
+        F.coalesce(g, F.lit(BOUNDARY)).alias("gold"), F.coalesce(p, F.lit(BOUNDARY)).alias("pred")))
+    both = F.slice(z, F.lit(1), F.least(F.coalesce(F.size("_g"), F.lit(0)), F.coalesce(F.size("_p"), F.lit(0))))
+    return (j.select(*keys, F.posexplode_outer(both).alias(pos, "_z")).filter(F.col("_z").isNotNull())
+            .select(*keys, pos, "_z.gold", "_z.pred"))
+
+
 def pair_segments(df: DataFrame, gold: str = "gold", pred: str = "pred", keys=("doc_id",)) -> DataFrame:
     """Runs of equal (gold, pred) of a row as rows with their length ``n``: what
     the token scores need, without a row per byte."""
@@ -230,7 +249,11 @@ def type_names(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def chunk_diff(gold: DataFrame, pred: DataFrame, keys=("doc_id",)):
-    """SET3: (correct, missed, spurious) chunk sets."""
+    """SET3: (correct, missed, spurious) chunk sets, all from one count of the
+    chunks of either side, whose shuffle a query that uses several shares."""
     k = list(keys) + ["start", "len", "type"]
-    g, p = gold.select(*k), pred.select(*k)
-    return g.intersect(p), g.exceptAll(p), p.exceptAll(g)
+    one = lambda df, g, p: df.select(*k, F.lit(g).cast("long").alias("_g"), F.lit(p).cast("long").alias("_p"))
+    n = one(gold, 1, 0).unionByName(one(pred, 0, 1)).groupBy(*k).agg(F.sum("_g").alias("_g"), F.sum("_p").alias("_p"))
+    more = lambda a, b: (n.filter(F.col(a) > F.col(b))
+                         .select(*k, F.explode(F.array_repeat(F.lit(0), (F.col(a) - F.col(b)).cast("int")))).select(*k))
+    return n.filter((F.col("_g") > 0) & (F.col("_p") > 0)).select(*k), more("_g", "_p"), more("_p", "_g")
