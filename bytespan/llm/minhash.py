@@ -20,8 +20,14 @@ that still hold several components are open:
    compared pair by pair, larger ones have again centres as in 1, and what is then
    still open, documents that agree in eight bins and more, is compared completely.
 
-Pairs of 2 and 3 are compared on full sets if they agree in ``AGREE`` bins: at
-similarity 0.75 the expected 120 of 160 fall that low with probability 2e-7.
+Pairs of 2 and 3 are compared on full sets if two screens let them through.  The
+first loses nothing: a document's odd sketch has a bit for each of ``ODD`` parts of
+the hashes, set if an odd number of its shingles fall there, so two sketches differ
+in at most as many bits as the sets differ in shingles, which at similarity 0.75 is a
+seventh of both sizes together.  It tells apart what lies little below the threshold,
+as in large groups of distant copies, up to some 1,800 shingles a document; for longer ones
+there is the second: pairs must agree in ``AGREE`` bins, and at similarity 0.75 the
+expected 120 of 160 fall that low with probability 2e-7.
 
 Two documents at similarity 0.75 miss every bucket with probability 0.684^40 =
 3e-7; that they meet in large buckets only and in none of the second deal has
@@ -49,6 +55,7 @@ BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 SMALL = 32         # members of an open bucket that are compared pair by pair
 KEYS = 4           # bands by which members of a larger one are dealt anew
+ODD = 1024         # bits of an odd sketch
 AGREE = 92         # bins of ``BINS`` in which a pair must agree to be compared on full sets
 
 
@@ -95,8 +102,15 @@ def band_hashes(sk: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return h
 
 
+def odd_sketch(h: np.ndarray, count: np.ndarray, bits: int = ODD) -> np.ndarray:
+    """Words of 64 bits for every row: a bit tells whether an odd number of the row's shingles has that remainder."""
+    at = np.repeat(np.arange(len(count)) * bits, count) + (h % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(count) * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64)
+
+
 def sketches(documents: DataFrame) -> DataFrame:
-    """-> doc_id, n_shingles, k1 and k2 (identity of the set), bands, bins (a byte of each)."""
+    """-> doc_id, n_shingles, k1 and k2 (identity of the set), bands, bins (a byte of each), odd."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_buffer(b.column("text"))
@@ -110,13 +124,14 @@ def sketches(documents: DataFrame) -> DataFrame:
             sk = sketch(h, n)
             bands = band_hashes(sk).view(np.int64)
             bands = [x if k else [] for x, k in zip(bands, n)]
-            out.append((n, *(k.view(np.int64) for k in keys), bands, list((sk >> np.uint64(20)).astype(np.uint8).view(np.int8))))
+            out.append((n, *(k.view(np.int64) for k in keys), bands, list((sk >> np.uint64(20)).astype(np.uint8).view(np.int8)), list(odd_sketch(h, n))))
         n, k1, k2 = (np.concatenate([x[c] for x in out]) for c in range(3))
         return pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2),
-                                pa.array([x for o in out for x in o[3]], pa.list_(pa.int64())), pa.array([x for o in out for x in o[4]], pa.list_(pa.int8()))],
-                               names=["doc_id", "n_shingles", "k1", "k2", "bands", "bins"])
+                                pa.array([x for o in out for x in o[3]], pa.list_(pa.int64())), pa.array([x for o in out for x in o[4]], pa.list_(pa.int8())),
+                                pa.array([x for o in out for x in o[5]], pa.list_(pa.int64()))],
+                               names=["doc_id", "n_shingles", "k1", "k2", "bands", "bins", "odd"])
 
-    return map_batches(texts(documents), run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bins array<tinyint>")
+    return map_batches(texts(documents), run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bins array<tinyint>, odd array<long>")
 
 
 def full_sets(documents: DataFrame) -> DataFrame:
@@ -149,15 +164,25 @@ def stars(members: DataFrame, centres: DataFrame) -> DataFrame:
     return e.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
 
 
-def _pairs(members: DataFrame, bins: DataFrame) -> DataFrame:
+def _described(members: DataFrame, traits: DataFrame) -> DataFrame:
+    """Members of buckets (bucket, doc, more) with the ``traits`` of their documents; a
+    document meets its traits once, whatever the number of its buckets (``BANDS`` and their second deal at most)."""
+    more = [c for c in members.columns if c not in ("bucket", "doc")]
+    own = members.groupBy("doc").agg(F.collect_list("bucket").alias("buckets"), *[F.first(c).alias(c) for c in more])
+    return own.join(traits, "doc").withColumn("bucket", F.explode("buckets")).drop("buckets")
+
+
+def _pairs(members: DataFrame, traits: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of a bucket's members (bucket, doc, comp) in different components
-    whose sketches (doc, bins) agree often enough."""
-    members = members.select("bucket", "doc", "comp").join(bins, "doc")
-    other = members.select("bucket", F.col("doc").alias("d"), F.col("comp").alias("dc"), F.col("bins").alias("db"))
-    same = F.size(F.filter(F.zip_with("bins", "db", lambda x, y: x == y), lambda z: z))
-    on = (members["bucket"] == other["bucket"]) & (F.col("doc") < F.col("d")) & (F.col("comp") != F.col("dc")) & (same >= AGREE)
+    whose sketches (traits: doc, n_shingles, bins, odd) may be those of similar sets."""
+    members = _described(members.select("bucket", "doc", "comp"), traits)
+    other = members.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("doc", "comp", "n_shingles", "bins", "odd")])
+    apart = sum((F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("odd2", F.lit(k)))) for k in range(ODD // 64)), F.lit(0))
+    near = apart * (100 + percent) <= (F.col("n_shingles") + F.col("n_shingles2")) * (100 - percent)
+    same = F.size(F.filter(F.zip_with("bins", "bins2", lambda x, y: x == y), lambda z: z))
+    on = (members["bucket"] == other["bucket"]) & (F.col("doc") < F.col("doc2")) & (F.col("comp") != F.col("comp2")) & near & (same >= AGREE)
     met = members.join(other, on)
-    return met.select(F.col("doc").alias("a"), F.col("d").alias("b")).distinct()
+    return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
 
 
 class _Search:
@@ -225,7 +250,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         sk = scratch.keep(sketches(documents))
         linked, key = sk.filter("doc_id is not null and n_shingles > 0"), ["k1", "k2", "n_shingles"]
         # a class is its first document; partial minima take care of large groups of copies
-        classes = scratch.keep(linked.groupBy(*key).agg(F.min(F.struct("doc_id", "bands", "bins")).alias("r")).select(*key, F.col("r.doc_id").alias("rep"), "r.bands", "r.bins"))
+        classes = scratch.keep(linked.groupBy(*key).agg(F.min(F.struct("doc_id", "bands", "bins", "odd")).alias("r"))
+                               .select(*key, F.col("r.doc_id").alias("rep"), "r.bands", "r.bins", "r.odd"))
         own = scratch.keep(linked.select("doc_id", *key).join(classes.select("rep", *key), key).select("doc_id", "rep").distinct())
         twice = (own.join(own.groupBy("doc_id").agg(F.min("rep").alias("m")), "doc_id").filter("rep <> m")
                  .select(F.col("m").alias("a"), F.col("rep").alias("b")))
@@ -241,19 +267,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         search = _Search(scratch, sets, twice)
         search.look(stars(buckets.withColumn("comp", F.col("doc")), centres))
         scratch.drop(centres)
-        at, bins = search.centred(buckets), classes.select(F.col("rep").alias("doc"), "bins")
+        at, traits = search.centred(buckets), classes.select(F.col("rep").alias("doc"), "n_shingles", "bins", "odd")
         if at is not None:
-            search.look(_pairs(at.filter(F.col("size") <= SMALL), bins))
+            search.look(_pairs(at.filter(F.col("size") <= SMALL), traits))
             again = search.open_(at.filter(F.col("size") > SMALL))
             key2 = F.transform(F.sequence(F.lit(1), F.lit(KEYS)), lambda t: F.pmod(F.xxhash64("bucket", t), F.lit(BANDS)).cast("int"))
             other = lambda j: F.when(F.get("bands", j) == F.col("bucket"), F.get("bands", F.pmod(j + 1, F.lit(BANDS)))).otherwise(F.get("bands", j))
-            dealt = (again.select("bucket", "doc").join(classes.select(F.col("rep").alias("doc"), "bands"), "doc")
+            dealt = (_described(again.select("bucket", "doc"), classes.select(F.col("rep").alias("doc"), "bands"))
                      .select("doc", F.explode(F.transform(key2, lambda j: F.xxhash64("bucket", j, other(j)))).alias("bucket")))
             second = search.open_(scratch.keep(dealt.distinct()))
-            search.look(_pairs(second.filter(F.col("size") <= SMALL), bins))
+            search.look(_pairs(second.filter(F.col("size") <= SMALL), traits))
             rest = search.centred(second.filter(F.col("size") > SMALL))
             if rest is not None:
-                search.look(_pairs(rest, bins))
+                search.look(_pairs(rest, traits))
         comp = search.comp.select(F.col("node").alias("rep"), "component")
         named = (own.join(comp, "rep", "left").groupBy("doc_id")
                  .agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
