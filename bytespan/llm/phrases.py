@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import packed, unpacked
-from .common import Scratch
+from .common import Scratch, map_arrow
 from .textarrays import LOWER, bounds, text_buffer
 
 SHARD = 1 << 21      # words
@@ -51,24 +51,36 @@ class Index:
     """Bidirectional index of a sequence of numbers; 0 is a border.
 
     Suffixes are ordered by their first ``depth`` symbols, which is enough for
-    intervals of phrases up to that length.
+    intervals of phrases up to that length.  A shard is far below 2^31 words, so
+    all but the keys of sorts are 32-bit numbers.
     """
 
     def __init__(self, sequence: np.ndarray, depth: int):
-        self.sequence = np.r_[0, sequence, 0].astype(np.int64)
+        self.sequence = np.zeros(len(sequence) + 2, np.int32)
+        self.sequence[1:-1] = sequence
         self.depth, self.sigma = depth, int(self.sequence.max()) + 1
 
     def _side(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Transform of ``s``, and where each row's symbol stands among the suffixes."""
         rank, width, order = s, 1, None
         while order is None or width < self.depth:
-            key = rank * (int(rank.max()) + 1) + np.r_[rank[width:], np.zeros(width, np.int64)][:len(s)] if self.depth > 1 else rank
+            key = rank.astype(np.int64)
+            if self.depth > 1:
+                key *= int(rank.max()) + 1
+                key[:max(0, len(s) - width)] += rank[width:]
+            order = None
             order = np.argsort(key, kind="stable")
             key = key[order]
-            rank = np.empty(len(s), np.int64)
-            rank[order] = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+            new = key[1:] != key[:-1]
+            del key
+            place = np.zeros(len(s), np.int32)
+            np.cumsum(new, out=place[1:])
+            rank = np.empty(len(s), np.int32)
+            rank[order] = place
             width *= 2
-        symbols = s[order - 1].astype(np.int32)    # a shard is far below 2^31: half the memory
+        order -= 1
+        symbols = s[order]
+        del order, rank, place, new
         to = np.empty(len(s), np.int32)
         to[np.argsort(symbols, kind="stable")] = np.arange(len(s), dtype=np.int32)
         return symbols, to
@@ -87,22 +99,27 @@ class Index:
         at = np.cumsum(size) - size
         own = np.flatnonzero(size)
         own = own[own > 0]
-        return own[:, None], at[own], at[own], size[own]
+        at = at[own].astype(np.int32)
+        return own[:, None].astype(np.int32), at, at, size[own].astype(np.int32)
 
     def extended(self, phrases: np.ndarray, lo: np.ndarray, ol: np.ndarray, size: np.ndarray, left: bool) -> tuple[np.ndarray, ...]:
         """All phrases that are one word longer on one side, with their
         intervals (``lo`` in the forward, ``ol`` in the backward transform)."""
         symbols, to = self.forward if left else self.backward
         near, far = (lo, ol) if left else (ol, lo)
-        begin = np.cumsum(size) - size
-        rows = np.repeat(near - begin, size) + np.arange(int(size.sum()))
-        key = np.repeat(np.arange(len(size)), size) * self.sigma + symbols[rows]
+        begin = np.cumsum(size, dtype=np.int32) - size
+        rows = np.arange(int(size.sum()), dtype=np.int32)
+        rows += np.repeat(near - begin, size)
+        key = np.repeat(np.arange(len(size)) * self.sigma, size)
+        key += symbols[rows]
         order = np.argsort(key, kind="stable")
         key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
-        owner, symbol = np.divmod(key[first], self.sigma)
-        count = np.diff(np.r_[first, len(key)])
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)]).astype(np.int32)
+        owner, symbol = (x.astype(np.int32) for x in np.divmod(key[first], self.sigma))
+        count = np.diff(np.r_[first, np.int32(len(key))])
+        del key
         near, far = to[rows[order[first]]], far[owner] + first - begin[owner]
+        del rows, order
         real = symbol > 0
         word, old = symbol[real, None], phrases[owner[real]]
         phrases = np.concatenate([word, old] if left else [old, word], axis=1)
@@ -127,8 +144,9 @@ def _joined(s: np.ndarray, cut: np.ndarray | None = None) -> np.ndarray:
     ends = word & ~np.r_[word[1:], False] | word & np.r_[begins[1:], True]
     alone = begins & ends
     begins, word = begins & ~alone, word & ~alone
-    at = np.cumsum(word.astype(np.int64) + begins)
-    out = np.zeros(int(at[-1]) if len(at) else 0, np.int64)
+    at = word.astype(np.int32) + begins
+    np.cumsum(at, out=at)
+    out = np.zeros(int(at[-1]) if len(at) else 0, np.int32)
     out[at[word] - 1] = s[word]
     return out
 
@@ -163,21 +181,26 @@ class _Words:
         self.codes.append(words.indices.to_numpy() + self.base)
         self.dictionaries.append(words.dictionary)
         self.base += len(words.dictionary)
-        self.langs.append(np.array([self.names.setdefault(x, len(self.names)) for x in langs.to_pylist()], np.int64)[row])
+        self.langs.append(np.array([self.names.setdefault(x, len(self.names)) for x in langs.to_pylist()], np.int32)[row])
         self.size += len(start)
 
     def shard(self) -> Iterator[pa.RecordBatch]:
         if self.size:
             merged = pa.concat_arrays(self.dictionaries).dictionary_encode()
-            code = merged.indices.to_numpy()[np.concatenate(self.codes)].astype(np.int64)
             n_words = len(merged.dictionary)
-            both, local = np.unique(np.concatenate(self.langs) * n_words + code, return_inverse=True)
+            both = np.concatenate(self.langs).astype(np.int64)
+            both *= n_words
+            both += merged.indices.to_numpy()[np.concatenate(self.codes)]
+            self.codes, self.langs, self.dictionaries = [], [], []
+            both, local = np.unique(both, return_inverse=True)
+            local = local.astype(np.int32)
             n = np.bincount(local)
             often = np.argsort(-n, kind="stable")     # frequent words have small numbers, which pack well
-            number = np.empty(len(n), np.int64)
+            number = np.empty(len(n), np.int32)
             number[often] = np.arange(len(n))
             begins = np.concatenate(self.begins)
-            at = np.arange(len(local)) + np.cumsum(begins)
+            at = np.cumsum(begins, dtype=np.int32)
+            at += np.arange(len(local), dtype=np.int32)
             sequence = np.zeros(len(local) + int(begins.sum()), np.int32)
             sequence[at] = number[local] + 1
             name = self.task << 32 | self.count
@@ -208,7 +231,7 @@ def shards(documents: DataFrame) -> DataFrame:
         yield from words.shard()
 
     src = documents.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    return src.mapInArrow(run, "shard long, lang string, word string, local int, n long, blob binary")
+    return map_arrow(src, run, "shard long, lang string, word string, local int, n long, blob binary")
 
 
 def numbered(rows: DataFrame, least: int) -> DataFrame:
@@ -237,15 +260,18 @@ def _symbols(blob: bytes, known: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     the global ids of its symbols 1, 2, ..."""
     sequence = unpacked(blob)["sequence"]
     known = unpacked(known) if known is not None else {"local": np.zeros(0, np.int32), "id": np.zeros(0, np.int64)}
-    symbol = np.zeros(max(int(sequence.max(initial=0)), int(known["local"].max(initial=0)) + 1) + 1, np.int64)
+    symbol = np.zeros(max(int(sequence.max(initial=0)), int(known["local"].max(initial=0)) + 1) + 1, np.int32)
     symbol[known["local"] + 1] = np.arange(1, len(known["id"]) + 1)
     return symbol[sequence], np.r_[0, known["id"]]
 
 
-def _key(words: np.ndarray) -> np.ndarray:
-    """Two words of each row as one number; a missing second one is 0."""
-    second = words[:, 1] if words.shape[1] > 1 else 0
-    return words[:, 0] << 32 | second
+def _key(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The ids of two words of each row as one number; a missing second one is 0."""
+    key = ids[words[:, 0]]
+    key <<= 32
+    if words.shape[1] > 1:
+        key |= ids[words[:, 1]]
+    return key
 
 
 def _chunked(**columns: np.ndarray) -> list[pa.RecordBatch]:
@@ -260,7 +286,7 @@ def pairs_of_shards(indexed: DataFrame) -> DataFrame:
             for shard, blob, known in zip(*(b.column(c) for c in ("shard", "blob", "map"))):
                 sequence, ids = _symbols(blob.as_py(), known.as_py())
                 ((words, n),) = Index(_joined(sequence), 2).phrases()
-                yield from _chunked(shard=np.full(len(n), shard.as_py(), np.int64), p=_key(ids[words]), n=n.astype(np.int32))
+                yield from _chunked(shard=np.full(len(n), shard.as_py(), np.int64), p=_key(ids, words), n=n.astype(np.int32))
 
     return indexed.mapInArrow(run, "shard long, p long, n int")
 
@@ -271,11 +297,16 @@ def _longer(shard: pa.Table, good: pa.Table) -> pa.Table:
     good = good.column("p").to_numpy()
     number = lambda x: np.searchsorted(ids, x)
     good = np.sort(number(good >> 32) * len(ids) + number(good & 0xFFFFFFFF))
-    pair = np.r_[0, sequence[:-1] * len(ids) + sequence[1:]]
+    pair = np.zeros(len(sequence), np.int64)
+    pair[1:] = sequence[:-1]
+    pair *= len(ids)
+    pair[1:] += sequence[1:]
     at = np.minimum(np.searchsorted(good, pair), max(0, len(good) - 1))
-    sequence = _joined(sequence, good[at] != pair if len(good) else np.ones(len(pair), bool))
+    cut = good[at] != pair if len(good) else np.ones(len(pair), bool)
+    del pair, at
+    sequence = _joined(sequence, cut)
     found = list(Index(sequence, LONGEST).phrases())[1:]
-    columns = {"p": np.concatenate([_key(ids[w[:, :2]]) for w, _ in found]), "q": np.concatenate([_key(ids[w[:, 2:]]) for w, _ in found]),
+    columns = {"p": np.concatenate([_key(ids, w[:, :2]) for w, _ in found]), "q": np.concatenate([_key(ids, w[:, 2:]) for w, _ in found]),
                "n": np.concatenate([n for _, n in found]).astype(np.int32)}
     return pa.Table.from_batches(_chunked(**columns), schema=pa.table(columns).schema)
 
@@ -287,7 +318,7 @@ def counted(documents: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple
     size = scratch.keep(rows.filter("word is not null").groupBy("lang").agg(F.sum("n").alias("n")))
     often = scratch.keep(numbered(rows, least))
     words = scratch.keep(often.filter("word is not null").select("id", "lang", "word", "f"))
-    maps = scratch.keep(often.groupBy("shard").applyInArrow(_map, "shard long, map binary"), bucketed="shard")
+    maps = scratch.keep(often.select("shard", "local", "id").groupBy("shard").applyInArrow(_map, "shard long, map binary"), bucketed="shard")
     scratch.drop(often)
     # sequences stay where they are: both tables lie in buckets of shards
     indexed = rows.filter("blob is not null").select("shard", "blob").join(maps, "shard", "left")

@@ -1,11 +1,13 @@
 """Screens of the near-duplicate search."""
 
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from bytespan.llm import minhash
+from bytespan.llm import minhash, phrases
 
 
 def _traits(spark, rows):
@@ -47,3 +49,17 @@ def test_a_document_meets_its_traits_once(spark):
     traits = spark.createDataFrame([(d, d * 10) for d in range(3)], "doc long, x long")
     own = minhash._described(members, traits)
     assert sorted(tuple(r) for r in own.select("bucket", "doc", "comp", "x").collect()) == sorted((b, d, d % 2, d * 10) for d in range(3) for b in range(20))
+
+
+def test_shard_index_takes_few_bytes_a_word():
+    rnd = np.random.default_rng(2)
+    s = np.minimum(rnd.zipf(1.3, 1 << 18), 9000).astype(np.int32)
+    s[rnd.random(len(s)) < 0.1] = 0
+    tracemalloc.start()
+    index = phrases.Index(phrases._joined(s), 2)
+    ((words, n),) = index.phrases()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = Counter((a, b) for a, b in zip(s[:-1].tolist(), s[1:].tolist()) if a and b)
+    assert {(a, b): c for (a, b), c in zip(words.tolist(), n.tolist())} == pairs
+    assert peak < 52 * len(s)
