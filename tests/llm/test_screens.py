@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from bytespan.llm import minhash, phrases
+from bytespan.llm import minhash, phrases, repeats
 
 
 def _traits(spark, rows):
@@ -63,3 +63,20 @@ def test_shard_index_takes_few_bytes_a_word():
     pairs = Counter((a, b) for a, b in zip(s[:-1].tolist(), s[1:].tolist()) if a and b)
     assert {(a, b): c for (a, b), c in zip(words.tolist(), n.tolist())} == pairs
     assert peak < 52 * len(s)
+
+
+def test_repeats_leave_one_table(spark):
+    """Spent tables would count as disk until the session ends."""
+    from pathlib import Path
+
+    from bytespan.session import ensure_checkpoint_dir
+
+    place = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    tables = lambda: {p for d in ("tables", "scratch") for p in place.glob(f"{d}/*")}
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    rows = [(1, text), (2, "x" + text[:200] + "yy"), (3, text), (4, "z" * 40 + text[100:260]), (5, None)]
+    before = tables()
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 200, 3: 300, 4: 160, 5: 0}
+    assert len(tables() - before) == 1
