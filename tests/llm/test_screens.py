@@ -80,3 +80,47 @@ def test_repeats_leave_one_table(spark):
     got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 200, 3: 300, 4: 160, 5: 0}
     assert len(tables() - before) == 1
+
+
+def test_transforms_and_their_merge_sort_few_rows(monkeypatch):
+    """Snippets that share long passages: rows are ordered some ten times, not once for each of 50 symbols."""
+    rnd, rows = random.Random(9), [0]
+    text = lambda n: bytes(rnd.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    parts = []
+    for _ in range(120):
+        gram = text(24)
+        parts += [text(rnd.randint(1, 26)) + gram + text(26) for _ in range(rnd.randint(2, 6))]
+        parts.append(parts[-1][1:] + b"x")
+    docs = np.array([rnd.randint(0, 99) for _ in parts])
+    parts = [p if len(p) >= 50 else p + text(50 - len(p)) for p in parts]
+    for name in ("sort", "argsort", "lexsort"):
+        def counted(a, *args, _sort=getattr(np, name), **kw):
+            rows[0] += len(a[0]) if isinstance(a, tuple) else len(a)
+            return _sort(a, *args, **kw)
+        monkeypatch.setattr(np, name, counted)
+    got = repeats.least_documents(parts, docs)
+    assert rows[0] < 15 * sum(len(p) + 1 for p in parts)
+    best = {}
+    for p, d in zip(parts, docs.tolist()):
+        for k in range(len(p) - 49):
+            best[p[k:k + 50]] = min(best.get(p[k:k + 50], 100), d)
+    assert [g.tolist() for g in got] == [[best[p[k:k + 50]] for k in range(len(p) - 49)] for p in parts]
+
+
+def test_merge_of_wide_alphabets_and_deep_repeats():
+    """Few symbols fit into a sort key, and repeats are longer than what a round adds."""
+    rnd = random.Random(10)
+    every, base = bytes(range(256)), bytes(rnd.randrange(256) for _ in range(90))
+    parts = [every, base, base[3:70] + b"z", base[5:], bytes(60), bytes(75), base, bytes(51) + base[:49], b"ab" * 40, b"ab" * 31]
+    words = [bytes(p) for p in parts]
+    made = [repeats.transform(np.array([*(c + 1 for c in w), 0]), np.full(len(w) + 1, len(w))) for w in words]
+    for depth in (1, 2, 7, 50):
+        rows, new, lcp = repeats.merge([b for _, b in made], [1] * len(words), depth)
+        begin = np.cumsum([0, *(len(w) + 1 for w in words)])
+        at = [(int(k), int(made[k][0][r - begin[k]])) for r in rows for k in [np.searchsorted(begin, r, "right") - 1]]
+        tail = lambda x: (*(c + 1 for c in words[x[0]][x[1]:]), x[0] - 99)  # noqa: E731, B023
+        cut = [tail(x)[:depth] for x in at]
+        assert cut == sorted(cut)
+        common = [next((j for j, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y))) for x, y in zip(cut[:-1], cut[1:])]
+        assert lcp.tolist() == [0] + [n if n < depth else -1 for n in common]
+        assert new.tolist() == [True] + [n < depth for n in common]
