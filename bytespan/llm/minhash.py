@@ -12,7 +12,7 @@ Edges are confirmed on full shingle sets, and components are formed.  Buckets
 that still hold several components are open:
 
 1. The member with most confirmed links becomes a centre, in round after round as
-   long as that finds links; a large group of near copies grows together here.
+   long as that links one member in ``FEW``; a large group of near copies grows together here.
 2. Open buckets of at most ``SMALL`` members are compared pair by pair, which is
    at most ``SMALL`` pairs a member.
 3. Members of larger open buckets are dealt anew by ``KEYS`` other bands each, and
@@ -54,6 +54,7 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 SMALL = 32         # members of an open bucket that are compared pair by pair
+FEW = 64           # rounds of centres go on while one links a member in so many
 KEYS = 4           # bands by which members of a larger one are dealt anew
 ODD = 1024         # bits of an odd sketch
 AGREE = 92         # bins of ``BINS`` in which a pair must agree to be compared on full sets
@@ -172,6 +173,23 @@ def _described(members: DataFrame, traits: DataFrame) -> DataFrame:
     return own.join(traits, "doc").withColumn("bucket", F.explode("buckets")).drop("buckets")
 
 
+def _held(members: DataFrame) -> DataFrame:
+    """(bucket, doc) -> doc, buckets: at most ``BANDS`` of a document, or those of their second deal."""
+    return members.groupBy("doc").agg(F.collect_list("bucket").alias("buckets"))
+
+
+def _dealt(members: DataFrame, bands: DataFrame) -> DataFrame:
+    """Members of buckets (bucket, doc) dealt anew by ``KEYS`` other bands (bands: doc, bands) -> doc, buckets."""
+
+    def anew(bucket):
+        # the number of another band, and of the next one where that is the bucket's own
+        key = lambda t: F.pmod(F.xxhash64(bucket, t), F.lit(BANDS)).cast("int")
+        other = lambda j: F.when(F.get("bands", j) == bucket, F.get("bands", F.pmod(j + 1, F.lit(BANDS)))).otherwise(F.get("bands", j))
+        return F.transform(F.transform(F.sequence(F.lit(1), F.lit(KEYS)), key), lambda j: F.xxhash64(bucket, j, other(j)))
+
+    return _held(members).join(bands, "doc").select("doc", F.array_distinct(F.flatten(F.transform("buckets", anew))).alias("buckets"))
+
+
 def _pairs(members: DataFrame, traits: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of a bucket's members (bucket, doc, comp) in different components
     whose sketches (traits: doc, n_shingles, bins, odd) may be those of similar sets."""
@@ -193,12 +211,14 @@ class _Search:
         self.comp = components(self.links, scratch)
         self.tried: DataFrame | None = None
 
-    def open_(self, buckets: DataFrame) -> DataFrame:
-        """(bucket, doc) -> bucket, doc, comp, size, c (the member with most links) of
-        the buckets that hold several components."""
+    def open_(self, held: DataFrame) -> DataFrame:
+        """(doc, buckets) -> bucket, doc, comp, size, c (the member with most links) of
+        the buckets that hold several components.  A document meets its component and
+        its links once, whatever the number of its buckets."""
         degree = self.links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("links"))
-        at = self.scratch.keep(buckets.select("bucket", "doc").join(self.comp.withColumnRenamed("node", "doc"), "doc", "left").join(degree, "doc", "left")
-                               .select("bucket", "doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")))
+        own = (held.join(self.comp.withColumnRenamed("node", "doc"), "doc", "left").join(degree, "doc", "left")
+               .select("doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"), "buckets"))
+        at = self.scratch.keep(own.select(F.explode("buckets").alias("bucket"), "doc", "comp", "links"))
         most = F.max(F.struct("links", F.xxhash64("doc").alias("o"), F.struct("doc", "comp").alias("w")))["w"]
         several = (at.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), most.alias("m"))
                    .filter("x <> y").select("bucket", "size", F.array("m").alias("c")))
@@ -206,8 +226,8 @@ class _Search:
         self.scratch.drop(at)
         return out
 
-    def look(self, edges: DataFrame) -> bool:
-        """Confirm edges (a, b) that were not looked at before; whether there are new links."""
+    def look(self, edges: DataFrame) -> int:
+        """Confirm edges (a, b) that were not looked at before; how many new links there are."""
         if self.tried is not None:
             edges = edges.join(self.tried, ["a", "b"], "left_anti")
         new = self.scratch.keep(edges)
@@ -215,7 +235,7 @@ class _Search:
         tried = self.scratch.keep(new if self.tried is None else self.tried.unionByName(new))
         self.scratch.drop(new, *([] if self.tried is None else [self.tried]))
         self.tried = tried
-        found = not fresh.isEmpty()
+        found = fresh.count()
         if found:
             # components of components
             name = self.comp.select(F.col("node").alias("n"), F.col("component").alias("c"))
@@ -230,18 +250,15 @@ class _Search:
         self.scratch.drop(fresh)
         return found
 
-    def centred(self, buckets: DataFrame) -> DataFrame | None:
-        """Rounds of centres over (bucket, doc); -> the buckets that stay open, None if none does."""
-        while True:
-            at = self.open_(buckets)
-            if at.isEmpty():
-                self.scratch.drop(at)
-                return None
-            if not self.look(stars(at.select("bucket", "doc", "comp"), at.select("bucket", "c").distinct())):
-                return at
-            rest = self.scratch.keep(at.select("bucket", "doc"))     # a closed bucket stays closed
+    def centred(self, at: DataFrame) -> DataFrame:
+        """Rounds of centres over open buckets (of ``open_``); -> what stays open.  Rounds
+        end once few links come of one: pairs are compared after them in any case, and each
+        takes up all members again."""
+        while self.look(stars(at.select("bucket", "doc", "comp"), at.select("bucket", "c").distinct())) * FEW >= at.select("doc").distinct().count() > 0:
+            rest = self.open_(_held(at))     # a closed bucket stays closed
             self.scratch.drop(at)
-            buckets = rest
+            at = rest
+        return at
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -267,19 +284,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         search = _Search(scratch, sets, twice)
         search.look(stars(buckets.withColumn("comp", F.col("doc")), centres))
         scratch.drop(centres)
-        at, traits = search.centred(buckets), classes.select(F.col("rep").alias("doc"), "n_shingles", "bins", "odd")
-        if at is not None:
+        # components are those of the last round: a pair linked since is compared once more at worst
+        traits = classes.select(F.col("rep").alias("doc"), "n_shingles", "bins", "odd")
+        at = search.centred(search.open_(_held(buckets)))
+        if not at.isEmpty():
             search.look(_pairs(at.filter(F.col("size") <= SMALL), traits))
-            again = search.open_(at.filter(F.col("size") > SMALL))
-            key2 = F.transform(F.sequence(F.lit(1), F.lit(KEYS)), lambda t: F.pmod(F.xxhash64("bucket", t), F.lit(BANDS)).cast("int"))
-            other = lambda j: F.when(F.get("bands", j) == F.col("bucket"), F.get("bands", F.pmod(j + 1, F.lit(BANDS)))).otherwise(F.get("bands", j))
-            dealt = (_described(again.select("bucket", "doc"), classes.select(F.col("rep").alias("doc"), "bands"))
-                     .select("doc", F.explode(F.transform(key2, lambda j: F.xxhash64("bucket", j, other(j)))).alias("bucket")))
-            second = search.open_(scratch.keep(dealt.distinct()))
+            second = search.open_(_dealt(at.filter(F.col("size") > SMALL), classes.select(F.col("rep").alias("doc"), "bands")))
+            scratch.drop(at)
             search.look(_pairs(second.filter(F.col("size") <= SMALL), traits))
-            rest = search.centred(second.filter(F.col("size") > SMALL))
-            if rest is not None:
-                search.look(_pairs(rest, traits))
+            rest = search.centred(scratch.keep(second.filter(F.col("size") > SMALL)))
+            scratch.drop(second)
+            search.look(_pairs(rest, traits))
         comp = search.comp.select(F.col("node").alias("rep"), "component")
         named = (own.join(comp, "rep", "left").groupBy("doc_id")
                  .agg(F.min(F.coalesce("component", "rep")).alias("component_id")))

@@ -124,3 +124,26 @@ def test_merge_of_wide_alphabets_and_deep_repeats():
         common = [next((j for j, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y))) for x, y in zip(cut[:-1], cut[1:])]
         assert lcp.tolist() == [0] + [n if n < depth else -1 for n in common]
         assert new.tolist() == [True] + [n < depth for n in common]
+
+
+def test_members_of_open_buckets_meet_their_component_by_document(spark, monkeypatch):
+    """Texts that share many open buckets: a join by document has a row a document, not one a bucket in every round."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(minhash, "SMALL", 5)
+    rnd, left, join = random.Random(12), [], DataFrame.join
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    passage = [word() for _ in range(130)]
+    texts = [[word() for _ in range(45)] + passage for _ in range(20)]
+    texts += [[word(), *t[1:]] for t in texts[:6]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+    def counted(self, other, on=None, how=None):
+        if isinstance(on, str) and on == "doc" and how == "left":
+            left.append(self.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(DataFrame, "join", counted)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 20 for i in range(26)}
+    assert left and max(left) <= len(rows) and sum(left) <= 6 * len(rows)
