@@ -155,16 +155,26 @@ def join_gold_pred(gold: DataFrame, pred: DataFrame, keys=("doc_id", "pos"), tag
                     F.when(both, F.coalesce("_p", F.lit(BOUNDARY))).otherwise(fail).alias("pred"))
 
 
-def join_gold_pred_docs(gold: DataFrame, pred: DataFrame, keys=("doc_id",), tags: str = "tags", pos: str = "pos") -> DataFrame:
+def join_gold_pred_docs(gold: DataFrame, pred: DataFrame, keys=("doc_id",), tags: str = "tags", pos: str = "pos", runs: str | None = None, n: str = "n_doc") -> DataFrame:
     """JN8 from a row of tags for each document: documents are joined, positions
-    are made behind the join.  The rows, and what raises, are ``join_gold_pred``'s."""
+    are made behind the join.  The rows, and what raises, are ``join_gold_pred``'s.
+    ``runs``: the column that holds the tags as runs over ``n`` positions; tags are
+    made of them behind the join as well, so a document is shuffled by its runs."""
     none = F.array().cast("array<string>")
 
-    def side(df: DataFrame, t: str, n: str) -> DataFrame:
+    def side(df: DataFrame, t: str, size: str) -> DataFrame:
+        if runs:
+            own = F.when(F.size(runs) > 0, F.col(n)).otherwise(F.lit(0))
+            d = df.select(*keys, F.col(runs).alias(t), F.coalesce(own, F.lit(0)).alias(f"{t}n"))
+            return d.withColumn(size, F.max(f"{t}n").over(Window.partitionBy(*keys)))
         d = df.select(*keys, F.coalesce(F.col(tags), none).alias(t))
-        return d.withColumn(n, F.max(F.size(t)).over(Window.partitionBy(*keys)))
+        return d.withColumn(size, F.max(F.size(t)).over(Window.partitionBy(*keys)))
 
     j = side(gold, "_g", "_n").join(side(pred, "_p", "_m"), list(keys), "full_outer")
+    if runs:
+        from .runs import to_tags
+        # an outer join between the runs and their tags, so no tags are made below it
+        j = j.select(*keys, "_n", "_m", to_tags("_g", "_gn").alias("_g"), to_tags("_p", "_pn").alias("_p"))
     checked = F.when(F.coalesce("_n", F.lit(0)) == F.coalesce("_m", F.lit(0)), F.coalesce("_g", none)).otherwise(
         F.raise_error(F.lit("gold and predicted positions differ")).cast("array<string>"))
     z = F.zip_with(checked, F.coalesce("_p", none), lambda g, p: F.struct(
